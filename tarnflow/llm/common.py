@@ -18,6 +18,7 @@ WHITE_SPACE = r"[\x20\x09-\x0D]+"
 #: A join side of at most so many id rows is broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 500_000
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _U = np.uint64
 
 
@@ -35,10 +36,18 @@ def scratch(spark: SparkSession, tag: str) -> str:
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts the lineage: writes df to the shared folder and reads it back."""
+    """Cuts the lineage: writes df to the shared folder and reads it back.
+
+    The shuffle files of the write are of no further use and go with it.
+    """
     spark = df.sparkSession
     path = scratch(spark, tag)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._tarn_path = path
     return out

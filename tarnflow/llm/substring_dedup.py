@@ -25,10 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import flat_words, hash_words, mixed, runs_of, small_batches
+from .common import flat_words, hash_words, materialize, mixed, runs_of, small_batches
 
 WINDOW = 50
 #: A perfect difference set modulo 31 (fixed values).
@@ -68,22 +69,24 @@ def _grouped(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, doc_id, tk, here): here says that another document of this task has the anchor too."""
+    """(h, doc_id, own): own is null once for each hash; where several documents of this task have the
+    anchor, each gets a row with its doc_id as own, which needs no company to count."""
     held: list[tuple] = []
 
     def out():
-        h, doc, tk = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((tk, doc, h))
-        h, doc, tk = h[order], doc[order], tk[order]
-        fresh = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (tk[1:] != tk[:-1])]
-        h, doc, tk = h[fresh], doc[fresh], tk[fresh]
+        h, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((doc, h))
+        h, doc = h[order], doc[order]
+        fresh = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]
+        h, doc = h[fresh], doc[fresh]
         first = np.r_[True, h[1:] != h[:-1]]
         last = np.r_[np.flatnonzero(first)[1:], len(h)] - 1
         several = (doc[last] != doc[first])[np.cumsum(first) - 1]
-        for rows, here in ((first, False), (several, True)):
-            n = int(rows.sum())
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array(h[rows].view(np.int64)), pa.array(doc[rows]), pa.array(tk[rows]), pa.array(np.full(n, here))], ["h", "doc_id", "tk", "here"])
+        for rows, own in ((first, False), (several, True)):
+            i = np.flatnonzero(rows)
+            for s in range(0, len(i), 50_000):
+                d = pa.array(doc[i[s : s + 50_000]])
+                yield pa.RecordBatch.from_arrays([pa.array(h[i[s : s + 50_000]].view(np.int64)), d, d if own else pa.nulls(len(d), pa.int64())], ["h", "doc_id", "own"])
 
     size = 0
     for batch in batches:
@@ -91,8 +94,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, _ = hash_words(words)
         at, anchors = _anchors(offsets, h)
         if len(at):
-            doc = np.searchsorted(offsets, at, side="right") - 1
-            held.append((anchors, np.asarray(batch.column("doc_id"))[doc], np.asarray(batch.column("tk"))[doc]))
+            held.append((anchors, np.asarray(batch.column("doc_id"))[np.searchsorted(offsets, at, side="right") - 1]))
             size += len(at)
         if size > HELD:
             yield from out()
@@ -101,31 +103,36 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out()
 
 
+def _marks(texts: pa.Array) -> np.ndarray:
+    """31 bits of each text, which keep apart the starts of texts that share a doc_id."""
+    return np.array([xxhash.xxh3_64_intdigest(t or b"") & 0x7FFFFFFF for t in texts.cast(pa.binary()).to_pylist()], np.int64)
+
+
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k1, k2, doc_id, tk, start, run): windows around marked anchors. run > 0: so many windows from
-    start on that a smaller document of this task settles; run 0: still to settle by key."""
+    """(k1, k2, doc_id, start, run): windows around marked anchors. run > 0: so many windows from start on
+    that a smaller document of this task settles; run 0: still to settle by key."""
     held: list[tuple] = []
 
     def out():
-        k1, k2, doc, tk, start = (np.concatenate(x) for x in zip(*held, strict=True))
+        k1, k2, doc, start = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((doc, k2, k1))
         group = _grouped(order, k1, k2)
         least = np.r_[0, np.flatnonzero(np.diff(group)) + 1]
         settled = np.zeros(len(order), bool)
         settled[order] = doc[order] > doc[order[least]][group]
         i = np.flatnonzero(~settled)
-        parts = [(k1[i].view(np.int64), k2[i], doc[i], tk[i], start[i], np.zeros(len(i), np.int32))]
+        parts = [(k1[i].view(np.int64), k2[i], doc[i], start[i], np.zeros(len(i), np.int32))]
         i = np.flatnonzero(settled)
         if len(i):
-            new = np.r_[True, (doc[i][1:] != doc[i][:-1]) | (tk[i][1:] != tk[i][:-1]) | (start[i][1:] != start[i][:-1] + 1)]
+            new = np.r_[True, (doc[i][1:] != doc[i][:-1]) | (start[i][1:] != start[i][:-1] + 1)]
             a = i[new]
             run = np.diff(np.r_[np.flatnonzero(new), len(i)]).astype(np.int32)
             with np.errstate(over="ignore"):
-                own = mixed(doc[a].view(_U) * _U(0x9E3779B97F4A7C15) + start[a].astype(_U))
-            parts.append((own.view(np.int64), np.full(len(a), -1, np.int32), doc[a], tk[a], start[a], run))
+                alone = mixed(doc[a].view(_U) * _U(0x9E3779B97F4A7C15) + start[a].view(_U))
+            parts.append((alone.view(np.int64), np.full(len(a), -1, np.int32), doc[a], start[a], run))
         for part in parts:
             for s in range(0, len(part[0]), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[s : s + 50_000]) for x in part], ["k1", "k2", "doc_id", "tk", "start", "run"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[s : s + 50_000]) for x in part], ["k1", "k2", "doc_id", "start", "run"])
 
     size = 0
     for batch in batches:
@@ -151,7 +158,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero((np.cumsum(edge[:-1]) > 0) & (place + WINDOW <= np.diff(offsets)[doc]))
         d = doc[starts]
         k1, k2 = runs_of(h, WINDOW)[starts], (runs_of(g, WINDOW)[starts] >> _U(33)).astype(np.int32)
-        held.append((k1, k2, np.asarray(batch.column("doc_id"))[d], np.asarray(batch.column("tk"))[d], place[starts].astype(np.int32)))
+        held.append((k1, k2, np.asarray(batch.column("doc_id"))[d], (_marks(batch.column("text"))[d] << 32) + place[starts]))
         size += len(starts)
         if size > HELD:
             yield from out()
@@ -172,6 +179,8 @@ def _kept(texts: bool):
                 if gone:
                     edge = np.zeros(n + 1, np.int64)
                     start, size = np.array([(r["start"], r["run"]) for r in gone], np.int64).T
+                    mine = start >> 32 == _marks(pa.array([text]))[0]
+                    start, size = start[mine] & 0xFFFFFFFF, size[mine]
                     np.add.at(edge, start, 1)
                     np.add.at(edge, np.minimum(start + size + WINDOW - 1, n), -1)
                     stay = np.cumsum(edge[:-1]) == 0
@@ -186,7 +195,7 @@ def _kept(texts: bool):
             cols = [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(digest, pa.string())]
             names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
             if texts:
-                rest = [c for c in batch.schema.names if c not in ("doc_id", "runs", "tk", "text")]
+                rest = [c for c in batch.schema.names if c not in ("doc_id", "runs", "text")]
                 cols, names = cols + [pa.array(whole, pa.string())] + [batch.column(c) for c in rest], names + ["text", *rest]
             yield pa.RecordBatch.from_arrays(cols, names)
 
@@ -201,18 +210,17 @@ def repeated_passages(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     cols = ["doc_id", "text", *keep]
-    base = docs.select(*cols, F.xxhash64("text").alias("tk")).where("doc_id is not null")
-    narrow = base.select("doc_id", "text", "tk") if keep else base
-    found = narrow.mapInArrow(_anchor_rows, "h long, doc_id long, tk long, here boolean")
-    # marked rows need no company: a key of their own spreads those of a hot anchor
-    alone = Window.partitionBy("h", F.when(F.col("here"), F.col("doc_id")).otherwise(F.lit(-1)))
-    marked = found.withColumn("lo", F.min("doc_id").over(alone)).withColumn("hi", F.max("doc_id").over(alone)).where("here or lo <> hi")
-    anchors = marked.groupBy("doc_id", "tk").agg(F.collect_list("h").alias("anchors"))
-    around = base.join(anchors, ["doc_id", "tk"]).select("doc_id", "text", "tk", "anchors")
-    keyed = around.mapInArrow(_window_rows, "k1 long, k2 int, doc_id long, tk long, start int, run int")
+    base = docs.select(*cols).where("doc_id is not null")
+    found = base.select("doc_id", "text").mapInArrow(_anchor_rows, "h long, doc_id long, own long")
+    same = Window.partitionBy("h", "own")
+    marked = found.select("h", "doc_id", "own", F.min("doc_id").over(same).alias("lo"), F.max("doc_id").over(same).alias("hi")).where("own is not null or lo <> hi")
+    anchors = materialize(marked.groupBy("doc_id").agg(F.collect_list("h").alias("anchors")), "passages")
+    # both joins deal the same columns of base by doc_id, so its texts are shuffled once
+    around = base.join(anchors, "doc_id").select(*cols, "anchors")
+    keyed = around.mapInArrow(_window_rows, "k1 long, k2 int, doc_id long, start long, run int")
     settled = keyed.withColumn("lo", F.min("doc_id").over(Window.partitionBy("k1", "k2"))).where("run > 0 or lo < doc_id")
-    runs = settled.select("doc_id", "tk", F.struct("start", F.greatest("run", F.lit(1)).alias("run")).alias("r")).groupBy("doc_id", "tk").agg(F.collect_list("r").alias("runs"))
+    runs = settled.select("doc_id", F.struct("start", F.greatest("run", F.lit(1)).alias("run")).alias("r")).groupBy("doc_id").agg(F.collect_list("r").alias("runs"))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", text string" if keep else "") + "".join(f", `{c}` {kinds[c]}" for c in keep)
-    out = base.join(runs, ["doc_id", "tk"], "left").mapInArrow(_kept(bool(keep)), schema)
+    out = base.join(runs, "doc_id", "left").mapInArrow(_kept(bool(keep)), schema)
     return out.unionAll(docs.where("doc_id is null").select(*cols).mapInArrow(_kept(bool(keep)), schema))
