@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,3 +47,16 @@ def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame
         before = mark
     star = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return star.unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def local_roots(n: int, blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Least node reachable from each of n nodes over blocks (row nodes, column nodes, links)."""
+    root = np.arange(n)
+    while True:
+        before = root.copy()
+        for rows, cols, links in blocks:
+            np.minimum.at(root, rows, np.where(links, root[cols], n).min(axis=1, initial=n))
+            np.minimum.at(root, cols, np.where(links, root[rows][:, None], n).min(axis=0, initial=n))
+        root = root[root]
+        if (root == before).all():
+            return root

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, small_batches
-from .components import connected_components
+from .components import connected_components, local_roots
 
 COSINE, BLOCKS = 0.93, 4
 #: Vectors of a tile; leading coordinates that make cells, by multiples of a tile in the label.
@@ -123,22 +123,12 @@ def _links_of_tile(cosine: float):
         # least vec_id reachable within the tile, by spreading it along the links
         names, place = np.unique(np.concatenate([hx, oz]), return_inverse=True)
         px, pz = place[: len(hx)], place[len(hx) :]
-        root, count = np.arange(len(names)), np.zeros(len(names), np.int64)
-        touched = np.zeros(len(names), bool)
+        count, touched = np.zeros(len(names), np.int64), np.zeros(len(names), bool)
         for i, c, pairs in zip(rows, cols, links, strict=True):
             np.add.at(count, px[i], pairs.sum(axis=1))
             touched[px[i][pairs.any(axis=1)]] = True
             touched[pz[c][pairs.any(axis=0)]] = True
-        while True:
-            before = root.copy()
-            for i, c, pairs in zip(rows, cols, links, strict=True):
-                least = np.where(pairs, root[pz[c]], len(names)).min(axis=1)
-                np.minimum.at(root, px[i], np.minimum(root[px[i]], least))
-                least = np.where(pairs, root[px[i]][:, None], len(names)).min(axis=0)
-                np.minimum.at(root, pz[c], np.minimum(root[pz[c]], least))
-            root = root[root]
-            if (root == before).all():
-                break
+        root = local_roots(len(names), [(px[i], pz[c], pairs) for i, c, pairs in zip(rows, cols, links, strict=True)])
         t = np.flatnonzero(touched)
         return pd.DataFrame({"vec_id": names[t], "links": count[t], "root": names[root[t]]})
 

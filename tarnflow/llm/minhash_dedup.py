@@ -9,9 +9,10 @@ lower-cased) is at least 0.75, tested in integers on the full sets. Steps:
 4. In each bucket every member is compared with the bucket's least member only (a star). One pivot
    is tried per document, the one it shares most buckets with; links are exact.
 5. Large-star/small-star components. A bucket whose members lie in one component is done.
-6. What is left in buckets of several components is compared in bounded blocks by signature, then
-   exactly, so no pair of a bucket stays undecided unless already in one component. Nothing is capped:
-   candidates are taken in windows of rank until none is left.
+6. What is left in buckets of several components is compared by signature in bounded tiles, which give
+   a spanning forest of the components that look alike, never pairs. The members of each such cluster then
+   meet once more in bounded tiles with their full sets, so every pair of a bucket is decided exactly
+   unless its documents are in one component already. Nothing is capped or sampled.
 
 Defined cases: null, empty or wordless text has no shingles and links with nothing; fewer than five
 words are one shingle; rows that repeat a doc_id are one document (all its texts count) and each is
@@ -29,13 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_id, discard, flat_words, hash_words, materialize, mixed, runs_of, small_batches
-from .components import connected_components
+from .components import connected_components, local_roots
 
 SHINGLE, HASHES, ROWS = 5, 128, 4
 NUM, DEN = 75, 100
-#: Six standard deviations of the estimate at 0.75 from 128 minima below it.
-SIGNATURE_LEAST = int(HASHES * (0.75 - 6 * (0.75 * 0.25 / HASHES) ** 0.5))
-BLOCK = 1024
+#: 4.5 standard deviations of the estimate at 0.75 from 128 minima below it: 3e-6 of links are missed.
+SIGNATURE_LEAST = int(HASHES * (0.75 - 4.5 * (0.75 * 0.25 / HASHES) ** 0.5))
+#: Documents and bytes of text of a tile's side.
+BLOCK, BLOCK_BYTES = 1024, 16_000_000
 
 _U = np.uint64
 _random = np.random.Generator(np.random.PCG64(20240501))
@@ -123,59 +125,96 @@ def _with_signatures(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.join(s.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(s.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b").select("a", "b", "sig_a", "sig_b")
 
 
-def _block_pairs(low: int, high: int):
-    """Pairs between components in one pair of blocks; ranks low..high-1 by agreement for each document
-    and other component. A row with a null b says that there are more."""
-
-    def of(pdf):
-        import pandas as pd
-
-        left, right = pdf[pdf["side"] != 2], pdf[pdf["side"] != 1]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="Int64")})
-        x, y = (np.frombuffer(b"".join(p["sig"]), np.uint32).reshape(-1, HASHES) for p in (left, right))
-        ia, ib, ca, cb = left["rep"].to_numpy(), right["rep"].to_numpy(), left["component"].to_numpy(), right["component"].to_numpy()
-        found = []
-        for i in range(len(ia)):
-            same = (y == x[i]).sum(axis=1)
-            j = np.flatnonzero((same >= SIGNATURE_LEAST) & (cb != ca[i]))
-            if len(j):
-                j = j[np.lexsort((ib[j], -same[j], cb[j]))]
-                c = cb[j]
-                first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-                rank = np.arange(len(j)) - np.repeat(first, np.diff(np.r_[first, len(j)]))
-                found += [(ia[i], b) for b in ib[j[(rank >= low) & (rank < high)]]]
-                if (rank >= high).any():
-                    found.append((ia[i], None))
-        return pd.DataFrame({"a": pd.Series([p[0] for p in found], dtype="int64"), "b": pd.array([pd.NA if p[1] is None else int(p[1]) for p in found], dtype="Int64")})
-
-    return of
-
-
-def _residual(multi: DataFrame, reps: DataFrame, comps: DataFrame, docs: DataFrame) -> list[DataFrame]:
-    """Exact links between components whose members still share a bucket."""
+def _forest(ca: np.ndarray, cb: np.ndarray, links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links between components as a forest: (component, its root), at most one row a component."""
+    names, place = np.unique(np.concatenate([ca, cb]), return_inverse=True)
+    i, j = np.flatnonzero(links.any(axis=1)), np.flatnonzero(links.any(axis=0))
+    root = local_roots(len(names), [(place[: len(ca)][i], place[len(ca) :][j], links[np.ix_(i, j)])])
+    t = np.flatnonzero(root != np.arange(len(names)))
+    return names[t], names[root[t]]
+
+
+def _sides(pdf):
+    return pdf[pdf["side"] != 2], pdf[pdf["side"] != 1]
+
+
+def _look_alike(pdf):
+    """One tile of a bucket: components that look alike (kind 0: component, root) and the documents by
+    which they do (kind 1: document, component)."""
+    import pandas as pd
+
+    left, right = _sides(pdf)
+    x, y = (np.frombuffer(b"".join(p["sig"]), np.uint8).reshape(-1, HASHES, 4)[:, :, 0].T.copy() for p in (left, right))
+    ca, cb = left["component"].to_numpy(), right["component"].to_numpy()
+    agree = np.zeros((len(ca), len(cb)), np.uint8)
+    for k in range(HASHES):  # low bytes: chance agreement only adds candidates
+        agree += x[k][:, None] == y[k]
+    near = (agree >= SIGNATURE_LEAST) & (ca[:, None] != cb)
+    a, b = _forest(ca, cb, near)
+    i, j = near.any(axis=1), near.any(axis=0)
+    who, of = np.concatenate([left["rep"].to_numpy()[i], right["rep"].to_numpy()[j]]), np.concatenate([ca[i], cb[j]])
+    return pd.DataFrame({"kind": np.repeat([0, 1], [len(a), len(who)]).astype("int32"), "a": np.concatenate([a, who]), "b": np.concatenate([b, of])})
+
+
+def _alike_in_tile(pdf):
+    """One tile of a cluster: exact links between components as a forest (a, b)."""
+    import pandas as pd
+
+    left, right = _sides(pdf)
+    sets = [shingle_sets(pa.array(p["text"].tolist(), pa.string())) for p in (left, right)]
+    n = [np.array([len(v) for v in s]) for s in sets]
+    flat = [np.concatenate(s) for s in sets]
+    values, place = np.unique(np.concatenate(flat), return_inverse=True)
+    col = place[: len(flat[0])], place[len(flat[0]) :]
+    row = [np.repeat(np.arange(len(m)), m) for m in n]
+    shared = np.ones(len(values), bool)
+    for c in col:
+        shared &= np.bincount(c, minlength=len(values)) > 0
+    number = np.cumsum(shared) - 1
+    both = np.zeros((len(n[0]), len(n[1])), np.float32)
+    for s in range(0, int(shared.sum()), 4096):  # counts of common shingles, as products of 0/1 matrices
+        part = []
+        for c, r, m in zip(col, row, n, strict=True):
+            ok = shared[c] & (number[c] >= s) & (number[c] < s + 4096)
+            dense = np.zeros((len(m), 4096), np.float32)
+            dense[r[ok], number[c[ok]] - s] = 1
+            part.append(dense)
+        both += part[0] @ part[1].T
+    both = both.astype(np.int64)
+    ca, cb = left["component"].to_numpy(), right["component"].to_numpy()
+    a, b = _forest(ca, cb, (DEN * both >= NUM * (n[0][:, None] + n[1] - both)) & (both > 0) & (ca[:, None] != cb))
+    return pd.DataFrame({"a": a, "b": b})
+
+
+def _tiles(rows: DataFrame, key: str, ident: str) -> DataFrame:
+    """Deals rows (key, k, ...) to the pairs of k blocks of their key: one side for i, one for j."""
+    cols = [c for c in rows.columns if c != "k"]
+    rows = rows.withColumn("p", F.pmod(F.xxhash64(ident), F.col("k")).cast("int"))
+    last, zero = F.col("k") - 1, F.lit(0)
+    one = rows.where("k = 1").select(*cols, zero.alias("i"), zero.alias("j"), zero.alias("side"))
+    many = rows.where("k > 1")
+    first = many.select(*cols, F.col("p").alias("i"), F.explode(F.sequence("p", last)).alias("j"), F.lit(1).alias("side"))
+    second = many.select(*cols, F.explode(F.sequence(zero, "p")).alias("i"), F.col("p").alias("j"), F.lit(2).alias("side"))
+    return one.unionAll(first).unionAll(second).groupBy(key, "i", "j")
+
+
+def _residual(multi: DataFrame, reps: DataFrame, comps: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """Exact links (a, b) between components whose members share a bucket and look alike."""
     named = multi.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
     mixed_up = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
-    rest = materialize(named.join(mixed_up.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("k")), "bucket"), "mh-rest")
-    if rest.isEmpty():
-        return []
-    part = F.pmod(F.xxhash64("rep"), F.col("k")).cast("int")
-    sides = rest.join(reps.select("rep", "sig"), "rep").withColumn("p", part)
-    every = F.sequence(F.lit(0), F.col("k") - 1)
-    tiles = sides.where("k = 1").select("bucket", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "rep", "component", "sig")
-    tiles = tiles.unionAll(sides.where("k > 1").select("bucket", F.col("p").alias("i"), F.explode(every).alias("j"), F.lit(1).alias("side"), "rep", "component", "sig"))
-    tiles = tiles.unionAll(sides.where("k > 1").select("bucket", F.explode(every).alias("i"), F.col("p").alias("j"), F.lit(2).alias("side"), "rep", "component", "sig"))
-    out, low, high = [], 0, 8
-    while True:
-        raw = materialize(tiles.groupBy("bucket", "i", "j").applyInPandas(_block_pairs(low, high), "a long, b long").distinct(), "mh-raw")
-        pairs = materialize(raw.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "mh-pairs")
-        if not pairs.isEmpty():
-            out.append(_confirm(pairs, docs))
-        more = not raw.where("b is null").isEmpty()
-        discard(raw)
-        if not more:
-            return out
-        low, high = high, high * 8
+    rest = named.join(mixed_up.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("k")), "bucket").join(reps.select("rep", "sig"), "rep")
+    raw = materialize(_tiles(rest, "bucket", "rep").applyInPandas(_look_alike, "kind int, a long, b long").distinct(), "mh-alike")
+    edges = raw.where("kind = 0").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    if edges.isEmpty():
+        return None
+    clusters = connected_components(edges, "mh-clusters").select(F.col("node").alias("component"), F.col("component").alias("cluster"))
+    flagged = materialize(raw.where("kind = 1").select(F.col("a").alias("doc_id"), F.col("b").alias("component")).join(clusters, "component"), "mh-flagged")
+    texts = materialize(by_id(docs.where("doc_id is not null and text is not null"), flagged, "doc_id"), "mh-texts")
+    sizes = texts.groupBy("cluster").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int").alias("k"))
+    tiles = _tiles(texts.join(sizes, "cluster").select("cluster", "k", "doc_id", "component", "text"), "cluster", "doc_id")
+    found = materialize(tiles.applyInPandas(_alike_in_tile, "a long, b long").distinct(), "mh-links")
+    discard(texts)
+    return found
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -195,16 +234,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = materialize(_with_signatures(stars, reps).mapInArrow(_agreeing, "a long, b long").distinct(), "mh-pairs")
     links = _confirm(pairs, docs)
     comps = materialize(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "mh-comps")
-    found = _residual(multi, reps, comps, docs)
-    if found:
-        extra = found[0]
-        for f in found[1:]:
-            extra = extra.unionAll(f)
-        name = lambda c: F.coalesce(F.col(f"{c}.component"), F.col(f"p.{c}"))
-        joined = extra.alias("p").join(comps.alias("a"), F.col("p.a") == F.col("a.node"), "left").join(comps.alias("b"), F.col("p.b") == F.col("b.node"), "left")
-        merged = materialize(connected_components(joined.select(name("a").alias("u"), name("b").alias("v"))), "mh-merged")
-        whole = comps.select("node", "component").unionAll(extra.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(comps, "node", "left_anti").select("node", F.col("node").alias("component")))
-        comps = materialize(whole.join(merged.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component")), "mh-comps")
+    extra = _residual(multi, reps, comps, docs)
+    if extra is not None:
+        merged = connected_components(extra.select(F.col("a").alias("u"), F.col("b").alias("v")), "mh-merged").select(F.col("node").alias("component"), F.col("component").alias("top"))
+        whole = comps.unionByName(merged.select(F.col("component").alias("node"), "component")).distinct()
+        comps = materialize(whole.join(merged, "component", "left").select("node", F.coalesce("top", "component").alias("component")), "mh-comps")
     classes = reps.select("set_key", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
