@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ import pyarrow.compute as pc
 from .common import flat_words
 
 #: Units remembered by a worker, at most.
-REMEMBERED = 300_000
+REMEMBERED = 900_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -41,7 +42,7 @@ def tokenizer(path: str):
 def encode_units(path: str, units: list[str]) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of each unit, by the library."""
     t = tokenizer(path)
-    return [np.array(e.ids, np.uint32).tobytes() for e in t.encode_batch_fast(units, add_special_tokens=False)]
+    return [array("I", e.ids).tobytes() for e in t.encode_batch_fast(units, add_special_tokens=False)]
 
 
 class UnitEncoder:
