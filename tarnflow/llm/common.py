@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -80,6 +81,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tidy(task):
+    """Gives what a finished task freed back to the system, as workers serve one task after another."""
+
+    def run(batches):
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except OSError:  # another C library
+            pass
+
+    return run
+
+
 def flat_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array]:
     """Words of each text (null: none) and their offsets; only A-Z are lower-cased."""
     if isinstance(texts, pa.ChunkedArray):

@@ -24,7 +24,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE_SPACE, scratch, small_batches
+from .common import WHITE_SPACE, scratch, small_batches, tidy
 
 MEMORY = 64 << 20
 NODE_BYTES = 300
@@ -213,9 +213,9 @@ def exact_duplicates(docs: DataFrame, memory: int = MEMORY) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     norm = docs.select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), WHITE_SPACE, " ").alias("norm"))
-    folded = norm.mapInArrow(_folded, "norm string, low long, n long")
+    folded = norm.mapInArrow(tidy(_folded), "norm string, low long, n long")
     dealt = folded.withColumn("size", F.octet_length("norm")).withColumn("hash", F.xxhash64("norm")).repartition("size", "hash")
-    owners = dealt.select("norm", "low", "n").mapInArrow(_owners(scratch(spark, "trie"), memory), "sha string, low long, n long")
+    owners = dealt.select("norm", "low", "n").mapInArrow(tidy(_owners(scratch(spark, "trie"), memory)), "sha string, low long, n long")
     # equal digests of unequal texts would show here as two owners; no such pair of texts is known
     answer = owners.select(F.unhex("sha").alias("digest"), F.col("low").alias("keep_id"), F.col("n").alias("group_size"))
     rows = norm.select("doc_id", F.unhex(F.sha2("norm", 256)).alias("digest"))

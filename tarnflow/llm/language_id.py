@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, tidy
 
 #: Buckets of each order of n-gram; orders; letters of a text handled at once.
 BUCKETS, ORDERS, CHUNK = 1 << 14, (2, 3), 1 << 20
@@ -170,7 +170,7 @@ def train(docs: DataFrame) -> Model:
     """Learns from all rows of docs (doc_id, text, lang, ...) that aren't held out and have a lang."""
     small_batches(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    sums = rows.select("lang", "text").mapInArrow(_counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    sums = rows.select("lang", "text").mapInArrow(tidy(_counted), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = sums.toArrow()
     lang, bucket, n = np.array(got["lang"].to_pylist(), object), np.asarray(got["bucket"]), np.asarray(got["n"])
     counts = {}
@@ -195,4 +195,4 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFr
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     extra = [c for c in keep if c != "text"]
     rows = docs.select("doc_id", held_out().alias("held_out"), "text", *extra)
-    return rows.mapInArrow(of, "doc_id long, held_out boolean, " + "".join(f"`{c}` {kinds[c]}, " for c in keep) + "lang_pred string, score double, ambiguous boolean")
+    return rows.mapInArrow(tidy(of), "doc_id long, held_out boolean, " + "".join(f"`{c}` {kinds[c]}, " for c in keep) + "lang_pred string, score double, ambiguous boolean")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_id, discard, flat_words, hash_words, materialize, mixed, runs_of, small_batches
+from .common import by_id, discard, flat_words, hash_words, materialize, mixed, runs_of, small_batches, tidy
 from .components import connected_components, local_roots
 
 SHINGLE, HASHES, ROWS = 5, 128, 4
@@ -115,7 +115,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     discard(ids)
     left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    links = materialize(both.mapInArrow(_confirmed, "a long, b long").distinct(), "mh-links")
+    links = materialize(both.mapInArrow(tidy(_confirmed), "a long, b long").distinct(), "mh-links")
     discard(texts)
     return links
 
@@ -222,7 +222,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text")
-    signed = materialize(docs.mapInArrow(_signatures, "doc_id long, n_shingles long, set_key binary, sig binary"), "mh-signed")
+    signed = materialize(docs.mapInArrow(tidy(_signatures), "doc_id long, n_shingles long, set_key binary, sig binary"), "mh-signed")
     reps = materialize(signed.where("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig")), "mh-reps")
     size = 4 * ROWS
     bands = F.array(*[F.xxhash64(F.lit(b), F.substring("sig", 1 + b * size, size)) for b in range(HASHES // ROWS)])
@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     multi = materialize(buckets.join(shared, "bucket"), "mh-buckets")
     stars = multi.where("rep <> pivot").groupBy("rep", "pivot").agg(F.count(F.lit(1)).alias("n"))
     stars = stars.groupBy("rep").agg(F.max(F.struct("n", (-F.col("pivot")).alias("minus"))).alias("best")).select(F.col("rep").alias("a"), (-F.col("best.minus")).alias("b"))
-    pairs = materialize(_with_signatures(stars, reps).mapInArrow(_agreeing, "a long, b long").distinct(), "mh-pairs")
+    pairs = materialize(_with_signatures(stars, reps).mapInArrow(tidy(_agreeing), "a long, b long").distinct(), "mh-pairs")
     links = _confirm(pairs, docs)
     comps = materialize(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "mh-comps")
     extra = _residual(multi, reps, comps, docs)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, small_batches
+from .common import discard, materialize, small_batches, tidy
 from .tokens import encoder, vocabulary_path, with_end
 
 LENGTH = 2048
@@ -47,7 +47,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFr
             crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip((offsets[row] + start).tolist(), (offsets[row] + start + size).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(size), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(of), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class Packing:
@@ -223,13 +223,13 @@ def _placed(items: pd.DataFrame, best: pd.DataFrame) -> pd.DataFrame:
 def pack(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 700)
     items = materialize(cut_pieces(docs, vocabulary or vocabulary_path("word_bpe_49k.json"), length), "pieces")
     shards = max(1, -(-items.count() // SHARD))
     dealt = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
     whole = "shard long, island int, sizes binary, population binary, elite binary, bins int, bound int"
     now = dealt.groupBy("shard").applyInPandas(_shard, "shard long, sizes binary").withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))))
-    now = materialize(now.repartition("shard", "island").mapInPandas(_island(length, 0), whole), "islands")
+    now = materialize(now.repartition(max(1, min(shards * ISLANDS, 4 * spark.sparkContext.defaultParallelism)), "shard", "island").mapInPandas(_island(length, 0), whole), "islands")
     for step in range(1, ROUNDS):
         open_ = now.groupBy("shard").agg(F.min("bins").alias("least"), F.max("bound").alias("bound")).where("least > bound").select("shard")
         moving = now.join(open_, "shard")

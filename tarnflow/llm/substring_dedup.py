@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import flat_words, hash_words, materialize, mixed, runs_of, small_batches
+from .common import flat_words, hash_words, materialize, mixed, runs_of, small_batches, tidy
 
 WINDOW = 50
 #: A perfect difference set modulo 31 (fixed values).
@@ -211,16 +211,16 @@ def repeated_passages(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     small_batches(docs.sparkSession)
     cols = ["doc_id", "text", *keep]
     base = docs.select(*cols).where("doc_id is not null")
-    found = base.select("doc_id", "text").mapInArrow(_anchor_rows, "h long, doc_id long, own long")
+    found = base.select("doc_id", "text").mapInArrow(tidy(_anchor_rows), "h long, doc_id long, own long")
     same = Window.partitionBy("h", "own")
     marked = found.select("h", "doc_id", "own", F.min("doc_id").over(same).alias("lo"), F.max("doc_id").over(same).alias("hi")).where("own is not null or lo <> hi")
     anchors = materialize(marked.groupBy("doc_id").agg(F.collect_list("h").alias("anchors")), "passages")
     # both joins deal the same columns of base by doc_id, so its texts are shuffled once
     around = base.join(anchors, "doc_id").select(*cols, "anchors")
-    keyed = around.mapInArrow(_window_rows, "k1 long, k2 int, doc_id long, start long, run int")
+    keyed = around.mapInArrow(tidy(_window_rows), "k1 long, k2 int, doc_id long, start long, run int")
     settled = keyed.withColumn("lo", F.min("doc_id").over(Window.partitionBy("k1", "k2"))).where("run > 0 or lo < doc_id")
     runs = settled.select("doc_id", F.struct("start", F.greatest("run", F.lit(1)).alias("run")).alias("r")).groupBy("doc_id").agg(F.collect_list("r").alias("runs"))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", text string" if keep else "") + "".join(f", `{c}` {kinds[c]}" for c in keep)
-    out = base.join(runs, "doc_id", "left").mapInArrow(_kept(bool(keep)), schema)
-    return out.unionAll(docs.where("doc_id is null").select(*cols).mapInArrow(_kept(bool(keep)), schema))
+    out = base.join(runs, "doc_id", "left").mapInArrow(tidy(_kept(bool(keep))), schema)
+    return out.unionAll(docs.where("doc_id is null").select(*cols).mapInArrow(tidy(_kept(bool(keep))), schema))

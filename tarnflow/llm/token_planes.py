@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch, small_batches
+from .common import scratch, small_batches, tidy
 from .tokens import encoder, vocabulary_path, with_end
 
 CHUNK_IDS = 1 << 18
@@ -179,7 +179,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, spaced: boo
     fs, base = pafs.FileSystem.from_uri(folder)
     fs.create_dir(base, recursive=True)
     ranged = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return ranged.mapInArrow(write, "file string, part long, n_docs long, n_ids long")
+    return ranged.mapInArrow(tidy(write), "file string, part long, n_docs long, n_ids long")
 
 
 def read_token_files(files: DataFrame, folder: str) -> DataFrame:
@@ -194,7 +194,7 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
                 n = np.array([r[1] for r in rows], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([None if r[0] == _NO_ID else r[0] for r in rows], pa.int64()), pa.array(base + np.cumsum(n) - n), pa.array(n), pa.array([r[2] for r in rows], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(tidy(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_file_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:

@@ -18,8 +18,8 @@ import pyarrow.compute as pc
 
 from .common import flat_words
 
-#: Units remembered by a worker, at most.
-REMEMBERED = 900_000
+#: Units remembered by a worker, at most, by whether they keep their space.
+REMEMBERED = {True: 900_000, False: 450_000}
 
 
 def vocabulary_path(name: str) -> str:
@@ -58,7 +58,7 @@ class UnitEncoder:
         if missing:
             for i, ids in zip(missing, encode_units(self.path, [units[i] for i in missing]), strict=True):
                 got[i] = ids
-                if len(known) < REMEMBERED and len(units[i]) < 64:
+                if len(known) < REMEMBERED[self.spaced] and len(units[i]) < 64:
                     known[units[i]] = ids
         return got
 

@@ -25,7 +25,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_id, materialize, scratch, small_batches
+from .common import by_id, materialize, scratch, small_batches, tidy
 
 LEAST_BYTES = 1000
 #: Fixed values of the format.
@@ -106,7 +106,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     decided = materialize(resolve_revisits(pages), "revisits")
     whole = pages.select("page_id", "url", "html", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")).alias("digest"))
     rows = by_id(whole, decided, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "owner")
-    return rows.mapInArrow(write, "file string, records long")
+    return rows.mapInArrow(tidy(write), "file string, records long")
 
 
 def read_archives(files: DataFrame, folder: str) -> DataFrame:
@@ -132,7 +132,7 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
                         rows.append((None if page is None else int(page), head["warc-record-id"], head["warc-type"], size, told, head.get("warc-refers-to")))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return files.mapInArrow(read, "page_id long, record_id string, record_type string, payload_bytes long, payload_digest string, refers_record string")
+    return files.mapInArrow(tidy(read), "page_id long, record_id string, record_type string, payload_bytes long, payload_digest string, refers_record string")
 
 
 def archive_digests(pages: DataFrame) -> DataFrame:

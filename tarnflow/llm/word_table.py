@@ -30,7 +30,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_words, hash_words, materialize, scratch, small_batches
+from .common import flat_words, hash_words, materialize, scratch, small_batches, tidy
 from .tokens import encode_units, tokenizer, vocabulary_path
 
 #: Words that a task holds before it sends them; words of a group that are remembered.
@@ -187,8 +187,8 @@ def word_table_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFr
         named = docs.select("doc_id", "text", F.input_file_name().alias("f"), F.input_file_block_start().alias("b"))
     rows = named.select("doc_id", "text", F.xxhash64("f", "b").alias("split"))
     groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asked = rows.select("text", "split").mapInArrow(_asked(groups), "split long, word_group int, words binary")
-    answered = asked.repartition("word_group").mapInArrow(_answered(vocabulary), "split long, words binary, sizes binary, ids binary")
+    asked = rows.select("text", "split").mapInArrow(tidy(_asked(groups)), "split long, word_group int, words binary")
+    answered = asked.repartition("word_group").mapInArrow(tidy(_answered(vocabulary)), "split long, words binary, sizes binary, ids binary")
     folder = scratch(spark, "words")
     answered.repartition("split").write.partitionBy("split").option("compression", "none").parquet(folder)
-    return rows.mapInArrow(_digests(vocabulary, folder), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(tidy(_digests(vocabulary, folder)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
