@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 from array import array
 
 import numpy as np
@@ -21,6 +22,8 @@ from .common import flat_words
 #: Units remembered by a worker, at most, by whether they keep their space.
 REMEMBERED = {True: 900_000, False: 450_000}
 
+_MARKED = re.compile("[ ]?[A-Za-zÀ-ÖØ-öø-ÿ]+[,.]").fullmatch
+
 
 def vocabulary_path(name: str) -> str:
     import public_tokenizers
@@ -50,11 +53,21 @@ class UnitEncoder:
 
     def __init__(self, path: str, spaced: bool):
         self.path, self.spaced, self.known = path, spaced, {}
+        self.marks = dict(zip(",.", encode_units(path, [",", "."]), strict=True))
 
     def units(self, units: list[str]) -> list[bytes]:
         known = self.known
         got = [known.get(u) for u in units]
-        missing = [i for i, g in enumerate(got) if g is None]
+        missing = []
+        for i, g in enumerate(got):
+            if g is None:
+                u = units[i]
+                # letters and a mark behind them are two tokens' worth in both vocabularies
+                base = known.get(u[:-1]) if u[-1:] in (",", ".") and _MARKED(u) else None
+                if base is None:
+                    missing.append(i)
+                else:
+                    got[i] = base + self.marks[u[-1]]
         if missing:
             for i, ids in zip(missing, encode_units(self.path, [units[i] for i in missing]), strict=True):
                 got[i] = ids
