@@ -19,9 +19,8 @@ class ConditionError(ValueError):
     """A condition that is refused."""
 
 
-def _json(path: str, op: str, want: str) -> Column:
+def _json(path: str, op: str, want: str, doc: Column) -> Column:
     """By type: text operators on strings, numeric ones on numbers, = and != on booleans; all else is false."""
-    doc = as_variant(F.col("value"))
     kind, text = json_kind(doc, path), json_at(doc, path, "string")
     on_text = {"=": text == want, "!=": text != want, "^=": text.startswith(want), "*=": text.contains(want), "!^=": ~text.startswith(want), "!*=": ~text.contains(want)}.get(op, F.lit(False))
     on_number = F.lit(False)
@@ -35,14 +34,14 @@ def _json(path: str, op: str, want: str) -> Column:
     return F.coalesce(F.when(kind == "STRING", on_text).when(kind == "NUMBER", on_number).when(kind == "BOOLEAN", on_bool), F.lit(False))
 
 
-def _one(text: str) -> Column:
+def _one(text: str, doc: Column) -> Column:
     text = text.strip()
     if text in ("not_empty", "key_not_empty"):
         return F.octet_length("key" if text.startswith("key") else "value") > 0
     if m := _JSON.match(text):
         if not m[1].strip():
             raise ConditionError(f"no path in {text!r}")
-        return _json(m[1].strip(), m[2], m[3].strip())
+        return _json(m[1].strip(), m[2], m[3].strip(), doc)
     name, colon, arg = text.partition(":")
     if colon and name in _TEXT:
         col, how = _TEXT[name]
@@ -54,12 +53,13 @@ def _one(text: str) -> Column:
     raise ConditionError(f"unknown condition: {text!r}")
 
 
-def condition(text: str) -> Column:
-    """One condition, or up to eight joined by AND or by OR, not both."""
+def condition(text: str, doc: Column | None = None) -> Column:
+    """One condition, or up to eight joined by AND or by OR, not both; doc: the parsed value, if there is one."""
+    doc = as_variant(F.col("value")) if doc is None else doc
     if " AND " in text and " OR " in text:
         raise ConditionError("AND and OR can't be mixed")
     word, how = (" AND ", operator.and_) if " AND " in text else (" OR ", operator.or_)
     parts = text.split(word)
     if len(parts) > 8:
         raise ConditionError("more than 8 parts")
-    return F.coalesce(functools.reduce(how, [_one(p) for p in parts]), F.lit(False))
+    return F.coalesce(functools.reduce(how, [_one(p, doc) for p in parts]), F.lit(False))

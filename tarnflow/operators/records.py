@@ -16,6 +16,11 @@ NO_TAGS = "cast(array() as array<string>)"
 FUNCTIONS = ("sum", "count", "avg", "min", "max")
 
 
+def _parsed(df: DataFrame) -> DataFrame:
+    """With the value's document as a column, parsed once for all that read it."""
+    return df.withColumn("_doc", as_variant(F.col("value")))
+
+
 def filter_records(df: DataFrame, text: str) -> DataFrame:
     return df.where(condition(text))
 
@@ -24,21 +29,21 @@ def map_records(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """A new JSON object in the mapping's order: `$.path` or a text constant; non-JSON goes."""
     if not mapping:
         return df
-    doc = as_variant(F.col("value"))
+    df, doc = _parsed(df), F.col("_doc")
     node = lambda v: F.coalesce(F.to_json(json_at(doc, v, "variant")), F.lit("null")) if v.startswith("$.") else F.to_json(F.to_variant_object(F.array(F.lit(v)))).substr(F.lit(2), F.length(F.to_json(F.to_variant_object(F.array(F.lit(v))))) - 2)
     parts: list[Column] = []
     for i, (name, v) in enumerate(mapping.items()):
         parts += [F.lit(("," if i else "{") + '"' + name.replace("\\", "\\\\").replace('"', '\\"') + '":'), node(v)]
-    return df.where(doc.isNotNull()).withColumn("value", F.concat(*parts, F.lit("}"))).withColumn("tags", F.expr(NO_TAGS))
+    return df.where(doc.isNotNull()).withColumn("value", F.concat(*parts, F.lit("}"))).withColumn("tags", F.expr(NO_TAGS)).drop("_doc")
 
 
 def key_by(df: DataFrame, path: str) -> DataFrame:
     """The key becomes the string, whole number or boolean at the path; all else keeps the old key."""
-    doc = as_variant(F.col("value"))
+    df, doc = _parsed(df), F.col("_doc")
     kind = json_kind(doc, path)
     whole = F.schema_of_variant(json_at(doc, path, "variant")).rlike(r"^(BIGINT|DECIMAL\(\d+,0\))")
     found = F.when(kind == "STRING", json_at(doc, path, "string")).when((kind == "NUMBER") & whole, json_at(doc, path, "long").cast("string")).when(kind == "BOOLEAN", json_at(doc, path, "boolean").cast("string"))
-    return df.withColumn("key", F.coalesce(found, F.col("key"))).withColumn("tags", F.expr(NO_TAGS))
+    return df.withColumn("key", F.coalesce(found, F.col("key"))).withColumn("tags", F.expr(NO_TAGS)).drop("_doc")
 
 
 def flat_map(df: DataFrame, path: str, element_key: str | None = None) -> DataFrame:
@@ -54,10 +59,11 @@ def flat_map(df: DataFrame, path: str, element_key: str | None = None) -> DataFr
 
 def classify(df: DataFrame, rules: list[tuple[str, str]], default: str | None = None) -> DataFrame:
     """Every rule that holds adds its tag; the default only where none holds."""
-    found = F.array_distinct(F.array_compact(F.array(*[F.when(condition(c), F.lit(t)) for c, t in rules])))
+    df = _parsed(df)
+    found = F.array_distinct(F.array_compact(F.array(*[F.when(condition(c, F.col("_doc")), F.lit(t)) for c, t in rules])))
     if default is not None:
         found = F.when(F.size(found) == 0, F.array(F.lit(default))).otherwise(found)
-    return df.withColumn("tags", F.array_union("tags", found))
+    return df.withColumn("tags", F.array_union("tags", found)).drop("_doc")
 
 
 def aggregate_input(df: DataFrame, function: str, path: str | None) -> DataFrame:
@@ -66,11 +72,11 @@ def aggregate_input(df: DataFrame, function: str, path: str | None) -> DataFrame
         raise ValueError(f"unknown function: {function}")
     if function == "count":
         return df.withColumn("x", F.lit(1.0))
-    doc = as_variant(F.col("value"))
+    df, doc = _parsed(df), F.col("_doc")
     # integers beyond 64 bits are no numbers here
     node = F.schema_of_variant(json_at(doc, path, "variant"))
     fits = (json_kind(doc, path) == "NUMBER") & ~(node.rlike(r"^DECIMAL\(\d+,0\)") & json_at(doc, path, "long").isNull())
-    return df.withColumn("x", F.when(fits, json_at(doc, path, "double"))).where("x is not null")
+    return df.withColumn("x", F.when(fits, json_at(doc, path, "double"))).drop("_doc").where("x is not null")
 
 
 def running_aggregate(df: DataFrame, function: str, path: str | None = None) -> DataFrame:
