@@ -20,10 +20,20 @@ def current(versions: DataFrame, now_ns: int | None = None) -> DataFrame:
 
 
 def history(versions: DataFrame, most: int = 64) -> DataFrame:
-    """Up to so many versions of each key, newest first; a delete hides what was before it."""
-    w = Window.partitionBy("key").orderBy(F.desc("version"))
-    ranked = versions.withColumn("n", F.row_number().over(w)).withColumn("newer_deletes", F.coalesce(F.sum(F.col("tombstone").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return ranked.where((F.col("n") <= most) & (F.col("newer_deletes") == 0)).select("key", "version", "value", "tombstone", F.col("n").cast("long").alias("rank"))
+    """Up to so many versions of each key, newest first; a delete hides what was before it.
+
+    The rank is cut first, so each task passes on so many rows of a key at most.
+    """
+    newest_first = Window.partitionBy("key").orderBy(F.desc("version"))
+    top = versions.withColumn("n", F.row_number().over(newest_first)).where(F.col("n") <= most)
+    newer = F.sum(F.col("tombstone").cast("int")).over(newest_first.rowsBetween(Window.unboundedPreceding, -1))
+    return top.withColumn("newer_deletes", F.coalesce(newer, F.lit(0))).where("newer_deletes = 0").select("key", "version", "value", "tombstone", F.col("n").cast("long").alias("rank"))
+
+
+def namespace_summary(versions: DataFrame) -> DataFrame:
+    """Per namespace: keys that are live, versions held and bytes of values."""
+    top = versions.groupBy("ns", "key").agg(F.max_by("tombstone", "version").alias("gone"), F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value")).alias("bytes"))
+    return top.groupBy("ns").agg(F.count_if(~F.col("gone")).alias("keys"), F.sum("n").alias("versions"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
 
 
 def prefix_scan(live: DataFrame, prefix: str, after: str | None = None, limit: int = 1024) -> DataFrame:

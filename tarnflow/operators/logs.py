@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import as_variant, json_at, json_kind
+from .ordered import ordinals
 
 
 def read_stream(records: DataFrame, after: tuple[int, int] | None = None, until: tuple[int, int] | None = None, count: int = 1000) -> DataFrame:
@@ -24,13 +28,32 @@ def stream_info(records: DataFrame) -> DataFrame:
     return out.select("source", "records", "bytes", F.col("a.ts_ms").alias("first_ms"), F.col("a.seq").alias("first_seq"), F.col("b.ts_ms").alias("last_ms"), F.col("b.seq").alias("last_seq"))
 
 
-def trim(records: DataFrame, before_ms: int | None = None, newest: int | None = None) -> DataFrame:
-    """Trims by exactly one of a time and a number of newest records; a record stands for its batch."""
-    if (before_ms is None) == (newest is None):
-        raise ValueError("trim by exactly one of before and newest")
+def trim(records: DataFrame, before_ms: int | None = None, newest: int | None = None, max_age_ms: int | None = None, now_ms: int | None = None) -> DataFrame:
+    """Trims each stream by exactly one of a time, a number of newest records and an age before now.
+
+    A record stands for its batch. Of equal times the higher sequences count as newer.
+    """
+    if sum(x is not None for x in (before_ms, newest, max_age_ms)) != 1:
+        raise ValueError("trim by exactly one of before, newest and max_age")
+    if max_age_ms is not None:
+        if now_ms is None or max_age_ms <= 0:
+            raise ValueError("max_age must be positive and needs now")
+        before_ms = now_ms - max_age_ms
     if before_ms is not None:
         return records.where(F.col("ts_ms") >= before_ms)
-    return records.orderBy(F.desc("ts_ms"), F.desc("seq")).limit(newest)
+    if newest <= 0:
+        raise ValueError("newest must be positive")
+    total = records.groupBy(F.col("source").alias("_source")).agg(F.count(F.lit(1)).alias("_total"))
+    placed = ordinals(records, ["source"], ["ts_ms", "seq"], "_place")
+    kept = placed.join(total, F.col("source").eqNullSafe(F.col("_source"))).where(F.col("_place") > F.col("_total") - newest)
+    return kept.drop("_place", "_source", "_total")
+
+
+def trim_report(records: DataFrame, **bound: int) -> DataFrame:
+    """A trim's dry run: per stream what would go and the first sequence that would stay."""
+    stay = trim(records, **bound).groupBy("source").agg(F.count(F.lit(1)).alias("stays"), F.min(F.struct("ts_ms", "seq")).alias("first"))
+    every = records.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return every.join(stay, "source", "left").select("source", (F.col("n") - F.coalesce("stays", F.lit(0))).alias("deleted"), F.coalesce("first.seq", F.lit(0)).alias("first_seq"))
 
 
 def ready(queue: DataFrame, now_ns: int, count: int) -> DataFrame:
@@ -74,8 +97,43 @@ def sink_points(records: DataFrame, measurement: str, fields: dict[str, str] | N
     return out.select(F.lit(measurement).alias("measurement"), "field", "tags", (F.col("ts_ms") * 1_000_000).alias("ts_ns"), F.col("seq").alias("pos"), "value")
 
 
+def forward_points(records: DataFrame, measurement: str, field: str = "value") -> DataFrame:
+    """From a ts source: the source point's own value, time and tags under another name."""
+    p = F.from_json("src", "ts_ns long, tags map<string,string>, value double")
+    out = records.withColumn("_p", p).where(F.col("_p.value").isNotNull() & ~F.isnan("_p.value") & (F.abs("_p.value") < float("inf")))
+    tags = F.coalesce("_p.tags", F.create_map().cast("map<string,string>"))
+    return out.select(F.lit(measurement).alias("measurement"), F.lit(field).alias("field"), tags.alias("tags"), F.col("_p.ts_ns").alias("ts_ns"), F.col("seq").alias("pos"), F.col("_p.value").alias("value"))
+
+
+def dead_letters(queue: DataFrame, count: int, after: tuple[int, int] | None = None) -> DataFrame:
+    """A page of dead messages, the longest dead first, behind an exclusive cursor (dead_ns, seq)."""
+    dead = queue.where(F.col("status") == "dead")
+    if after is not None:
+        t, s = F.col("dead_ns"), F.col("seq")
+        dead = dead.where((t > after[0]) | ((t == after[0]) & (s > after[1])))
+    return dead.orderBy("dead_ns", "seq").limit(count).select("queue", "seq", "dead_ns")
+
+
 def newest(records: DataFrame, count: int, search: str | None = None) -> DataFrame:
     """Newest first, with an optional substring search in lower case; count is the page's size."""
     if search:
         records = records.where(F.lower("value").contains(search.lower()))
     return records.orderBy(F.desc("ts_ms"), F.desc("seq")).limit(count)
+
+
+def list_runs(runs: DataFrame, count: int, workflow: str | None = None, status: str | None = None, search: str | None = None, after: tuple[int, str] | None = None) -> DataFrame:
+    """A page of runs (run_id, workflow, status, step, input, tags, started_ms, created_ms), newest first, then by
+    id; the search, in lower case, is a part of the id, workflow, step, input or tags; after is the last row's
+    (created_ms, run_id)."""
+    at = F.coalesce("started_ms", "created_ms")
+    out = runs.withColumn("at_ms", at)
+    if workflow:
+        out = out.where(F.col("workflow") == workflow)
+    if status:
+        out = out.where(F.col("status") == status)
+    if search:
+        hits = [F.coalesce(F.lower(c).contains(search.lower()), F.lit(False)) for c in ("run_id", "workflow", "step", "input", "tags")]
+        out = out.where(functools.reduce(operator.or_, hits))
+    if after is not None:
+        out = out.where((F.col("at_ms") < after[0]) | ((F.col("at_ms") == after[0]) & (F.col("run_id") > after[1])))
+    return out.orderBy(F.desc("at_ms"), "run_id").limit(count).select("run_id", "workflow", "status", F.col("at_ms").alias("created_ms"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import running
+
 #: Edges of the late-point histogram in milliseconds (fixed values).
 LATE_EDGES_MS = (0, 1000, 5000, 15_000, 30_000, 60_000, 300_000, 3_600_000)
 _AGG = {"avg": F.avg, "sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
@@ -75,9 +77,9 @@ def delete_series(points: DataFrame, measurement: str, tags: dict[str, str] | No
 
 def late_histogram(points: DataFrame) -> DataFrame:
     """Per measurement and field, points later than each edge behind the newest seen before, by position."""
-    w = Window.partitionBy("measurement", "field").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    behind = points.withColumn("behind", F.max("ts_ns").over(w) - F.col("ts_ns"))
-    return behind.groupBy("measurement", "field").agg(*[F.count_if(F.col("behind") > e * 1_000_000).alias(f"late_{e}") for e in LATE_EDGES_MS])
+    seen = running(points.select("measurement", "field", "ts_ns", "pos"), ["measurement", "field"], ["pos"], {"newest": ("max", "ts_ns")}, before=True)
+    behind = F.col("newest") - F.col("ts_ns")
+    return seen.groupBy("measurement", "field").agg(*[F.count_if(behind > e * 1_000_000).alias(f"late_{e}") for e in LATE_EDGES_MS])
 
 
 def append(points: DataFrame, more: DataFrame) -> DataFrame:

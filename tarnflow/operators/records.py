@@ -6,11 +6,12 @@ Nothing here depends on batch or stream but the aggregates, whose streaming form
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import as_variant, json_at, json_kind, number_text, template_key
 from .conditions import condition
+from .ordered import ordinals, running
 
 NO_TAGS = "cast(array() as array<string>)"
 FUNCTIONS = ("sum", "count", "avg", "min", "max")
@@ -21,6 +22,11 @@ def _parsed(df: DataFrame) -> DataFrame:
     return df.withColumn("_doc", as_variant(F.col("value")))
 
 
+def _carried(df: DataFrame) -> list[str]:
+    """The source point of a ts source, which goes through the chain with its record."""
+    return ["src"] if "src" in df.columns else []
+
+
 def filter_records(df: DataFrame, text: str) -> DataFrame:
     return df.where(condition(text))
 
@@ -79,27 +85,35 @@ def aggregate_input(df: DataFrame, function: str, path: str | None) -> DataFrame
     return df.withColumn("x", F.when(fits, json_at(doc, path, "double"))).drop("_doc").where("x is not null")
 
 
+def _figures(function: str) -> dict[str, tuple[str, str]]:
+    """What a function's value so far is made of."""
+    parts = {"n": ("count", "x")}
+    return parts | ({"v": ("sum" if function == "avg" else function, "x")} if function != "count" else {})
+
+
 def running_aggregate(df: DataFrame, function: str, path: str | None = None) -> DataFrame:
-    """Every accepted record emits its key's value so far."""
-    w = Window.partitionBy("source", "key").orderBy("ts_ms", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    x = aggregate_input(df, function, path)
-    value = F.count("x").over(w).cast("double") if function == "count" else getattr(F, function)("x").over(w)
-    return x.select("source", "key", value.alias("value"), F.count("x").over(w).alias("count"), "event_time_ms", "ts_ms", "seq")
+    """Every accepted record emits its key's value so far; a hot key's records spread over stretches of time."""
+    src = _carried(df)
+    x = aggregate_input(df, function, path).select("source", "key", "x", "event_time_ms", "ts_ms", "seq", *src)
+    out = running(x, ["source", "key"], ["ts_ms", "seq"], _figures(function))
+    value = {"count": lambda: F.col("n").cast("double"), "avg": lambda: F.col("v") / F.col("n")}.get(function, lambda: F.col("v"))()
+    return out.select("source", "key", value.alias("value"), F.col("n").alias("count"), "event_time_ms", "ts_ms", "seq", *src)
 
 
 def count_window_aggregate(df: DataFrame, function: str, size: int, path: str | None = None) -> DataFrame:
     """Tumbling windows of so many accepted records per key; what isn't full isn't emitted."""
-    w = Window.partitionBy("source", "key").orderBy("ts_ms", "seq")
-    x = aggregate_input(df, function, path).withColumn("w", F.floor((F.row_number().over(w) - 1) / size))
+    src = _carried(df)
+    x = aggregate_input(df, function, path).select("source", "key", "x", "event_time_ms", "ts_ms", "seq", *src)
+    placed = ordinals(x, ["source", "key"], ["ts_ms", "seq"]).withColumn("w", F.expr(f"(ordinal - 1) div {size}L"))
     how = F.count("x").cast("double") if function == "count" else getattr(F, function)("x")
-    out = x.groupBy("source", "key", "w").agg(how.alias("value"), F.count("x").alias("count"), F.max_by("event_time_ms", F.struct("ts_ms", "seq")).alias("event_time_ms"), F.max(F.struct("ts_ms", "seq")).alias("at"))
-    return out.where(F.col("count") == size).select("source", "key", "value", "count", "event_time_ms", "at.ts_ms", "at.seq")
+    out = placed.groupBy("source", "key", "w").agg(how.alias("value"), F.count("x").alias("count"), F.max_by("event_time_ms", F.struct("ts_ms", "seq")).alias("event_time_ms"), F.max(F.struct("ts_ms", "seq")).alias("at"), *[F.max_by(c, F.struct("ts_ms", "seq")).alias(c) for c in src])
+    return out.where(F.col("count") == size).select("source", "key", "value", "count", "event_time_ms", "at.ts_ms", "at.seq", *src)
 
 
 def aggregate_json(df: DataFrame) -> DataFrame:
     """Aggregates as records: {"key":k,"value":v,"count":n}."""
     text = F.concat(F.lit('{"key":'), F.to_json(F.struct("key")).substr(F.lit(8), F.length(F.to_json(F.struct("key"))) - 8), F.lit(',"value":'), F.coalesce(number_text(F.col("value")), F.lit("null")), F.lit(',"count":'), F.col("count").cast("string"), F.lit("}"))
-    return df.select("source", "key", text.alias("value"), "event_time_ms", F.expr(NO_TAGS).alias("tags"), "ts_ms", "seq")
+    return df.select("source", "key", text.alias("value"), "event_time_ms", F.expr(NO_TAGS).alias("tags"), "ts_ms", "seq", *_carried(df))
 
 
 def lookup_filter(df: DataFrame, template: str, kv: DataFrame) -> DataFrame:

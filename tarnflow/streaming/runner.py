@@ -14,11 +14,14 @@ from ..plans.job_definition import Job, Step
 
 _STATE = "n long, total double, least double, most double"
 _OUT = "source string, key string, value double, count long, event_time_ms long, ts_ms long, seq long"
+_OUT_NAMES = [c.split()[0] for c in _OUT.split(", ")]
 
 
 def stateful_aggregate(df: DataFrame, function: str, path: str | None = None, size: int | None = None) -> DataFrame:
     """Running or count-window aggregates with state that survives restarts, by (ts_ms, seq) within a batch."""
 
+    carried = ["src"] if "src" in df.columns else []
+
     def of(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, total, least, most = state.get if state.exists else (0, 0.0, float("inf"), float("-inf"))
         pdf, rows = pd.concat(list(pdfs)).sort_values(["ts_ms", "seq"]), []
@@ -26,14 +29,14 @@ def stateful_aggregate(df: DataFrame, function: str, path: str | None = None, si
             n, total, least, most = n + 1, total + r.x, min(least, r.x), max(most, r.x)
             if size is None or n == size:
                 value = {"sum": total, "count": float(n), "avg": total / n, "min": least, "max": most}[function]
-                rows.append((*key, value, n, r.event_time_ms, r.ts_ms, r.seq))
+                rows.append((*key, value, n, r.event_time_ms, r.ts_ms, r.seq, *[r.src for _ in carried]))
             if size is not None and n == size:
                 n, total, least, most = 0, 0.0, float("inf"), float("-inf")
         state.update((n, total, least, most))
-        yield pd.DataFrame(rows, columns=["source", "key", "value", "count", "event_time_ms", "ts_ms", "seq"])
+        yield pd.DataFrame(rows, columns=_OUT_NAMES + carried)
 
-    taken = records.aggregate_input(df, function, path).select("source", "key", "x", "event_time_ms", "ts_ms", "seq")
-    return taken.groupBy("source", "key").applyInPandasWithState(of, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    taken = records.aggregate_input(df, function, path).select("source", "key", "x", "event_time_ms", "ts_ms", "seq", *carried)
+    return taken.groupBy("source", "key").applyInPandasWithState(of, _OUT + (", src string" if carried else ""), _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def apply_step(df: DataFrame, step: Step, kv: Callable[[str], DataFrame] | None) -> DataFrame:
@@ -73,12 +76,14 @@ def run_chain(job: Job, sources: dict[str, DataFrame], kv: Callable[[str], DataF
         df = sources[s.settings.get("name") or s.settings["measurement"]]
         for step in job.operators:
             df = apply_step(df, step, kv)
-        out = df if out is None else out.unionByName(df)
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
 
 
 def points_as_records(points: DataFrame, measurement: str, field: str = "value", tag_key: str | None = None, lateness_ms: int | None = None) -> DataFrame:
-    """A ts source: {"measurement","value","timestamp_ms"} for each point of the exact tag set, held back by lateness."""
+    """A ts source: {"measurement","value","timestamp_ms"} for each point of the exact tag set, held back by lateness.
+
+    src carries the point itself, which a ts sink forwards whatever the chain made of the value."""
     df = points.where((F.col("measurement") == measurement) & (F.col("field") == field))
     if tag_key:
         df = df.where(F.col("tag_key") == tag_key)
@@ -87,7 +92,7 @@ def points_as_records(points: DataFrame, measurement: str, field: str = "value",
         df = df.join(F.broadcast(newest), F.col("ts_ns") <= F.col("newest") - lateness_ms * 1_000_000).drop("newest")
     ms = F.expr("ts_ns div 1000000L")
     body = F.concat(F.lit('{"measurement":"' + measurement + '","value":'), F.col("value").cast("string"), F.lit(',"timestamp_ms":'), ms.cast("string"), F.lit("}"))
-    return df.select(F.lit(measurement).alias("source"), F.lit("").alias("key"), body.alias("value"), ms.alias("event_time_ms"), F.expr(records.NO_TAGS).alias("tags"), ms.alias("ts_ms"), F.col("pos").alias("seq"))
+    return df.select(F.lit(measurement).alias("source"), F.lit("").alias("key"), body.alias("value"), ms.alias("event_time_ms"), F.expr(records.NO_TAGS).alias("tags"), ms.alias("ts_ms"), F.col("pos").alias("seq"), F.to_json(F.struct("ts_ns", "tags", "value")).alias("src"))
 
 
 def to_sinks(job: Job, out: DataFrame) -> list[tuple[str, DataFrame]]:
@@ -101,6 +106,9 @@ def to_sinks(job: Job, out: DataFrame) -> list[tuple[str, DataFrame]]:
             df = logs.sink_kv(df, o.get("prefix", ""), o.get("separator", ":"))
         elif s.kind == "queue":
             df = logs.sink_queue(df, int(o.get("priority", 0)))
+        elif "src" in df.columns:
+            forwarded = logs.forward_points(df.where("src is not null"), o["measurement"], o.get("value_field", "value"))
+            df = forwarded.unionByName(logs.sink_points(df.where("src is null"), o["measurement"], o.get("fields"), o.get("tags"), o.get("value_field", "value")))
         else:
             df = logs.sink_points(df, o["measurement"], o.get("fields"), o.get("tags"), o.get("value_field", "value"))
         made.append((s.kind, df))
