@@ -109,8 +109,9 @@ def _marks(texts: pa.Array) -> np.ndarray:
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k1, k2, doc_id, start, run): windows around marked anchors. run > 0: so many windows from start on
-    that a smaller document of this task settles; run 0: still to settle by key."""
+    """(k1, k2, doc_id, start, run, more): windows around marked anchors. run > 0: so many windows from start
+    on that a smaller document of this task settles; run 0: still to settle by key, once for each document,
+    with the window's other starts in more, so that text of one word over and over is a row a document."""
     held: list[tuple] = []
 
     def out():
@@ -120,8 +121,14 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = np.r_[0, np.flatnonzero(np.diff(group)) + 1]
         settled = np.zeros(len(order), bool)
         settled[order] = doc[order] > doc[order[least]][group]
-        i = np.flatnonzero(~settled)
-        parts = [(k1[i].view(np.int64), k2[i], doc[i], start[i], np.zeros(len(i), np.int32))]
+        i = order[~settled[order]]
+        first = np.r_[True, np.diff(_grouped(i, k1, k2, doc)) > 0][: len(i)]
+        again = np.diff(np.r_[np.flatnonzero(first), len(i)]) - 1
+        more = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(again)].astype(np.int32)), pa.array(start[i[~first]]), mask=pa.array(again == 0))
+        i = i[first]
+        back = np.argsort(i)
+        i, more = i[back], more.take(pa.array(back))
+        parts = [(k1[i].view(np.int64), k2[i], doc[i], start[i], np.zeros(len(i), np.int32), more)]
         i = np.flatnonzero(settled)
         if len(i):
             new = np.r_[True, (doc[i][1:] != doc[i][:-1]) | (start[i][1:] != start[i][:-1] + 1)]
@@ -129,10 +136,10 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             run = np.diff(np.r_[np.flatnonzero(new), len(i)]).astype(np.int32)
             with np.errstate(over="ignore"):
                 alone = mixed(doc[a].view(_U) * _U(0x9E3779B97F4A7C15) + start[a].view(_U))
-            parts.append((alone.view(np.int64), np.full(len(a), -1, np.int32), doc[a], start[a], run))
+            parts.append((alone.view(np.int64), np.full(len(a), -1, np.int32), doc[a], start[a], run, pa.nulls(len(a), pa.list_(pa.int64()))))
         for part in parts:
             for s in range(0, len(part[0]), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[s : s + 50_000]) for x in part], ["k1", "k2", "doc_id", "start", "run"])
+                yield pa.RecordBatch.from_arrays([x[s : s + 50_000] if isinstance(x, pa.Array) else pa.array(x[s : s + 50_000]) for x in part], ["k1", "k2", "doc_id", "start", "run", "more"])
 
     size = 0
     for batch in batches:
@@ -178,7 +185,9 @@ def _kept(texts: bool):
                 lost = 0
                 if gone:
                     edge = np.zeros(n + 1, np.int64)
-                    start, size = np.array([(r["start"], r["run"]) for r in gone], np.int64).T
+                    flat = [(r["start"], r["run"]) for r in gone]
+                    flat += [(x, 1) for r in gone if r["more"] for x in r["more"]]
+                    start, size = np.array(flat, np.int64).T
                     mine = start >> 32 == _marks(pa.array([text]))[0]
                     start, size = start[mine] & 0xFFFFFFFF, size[mine]
                     np.add.at(edge, start, 1)
@@ -217,9 +226,9 @@ def repeated_passages(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     anchors = materialize(marked.groupBy("doc_id").agg(F.collect_list("h").alias("anchors")), "passages")
     # both joins deal the same columns of base by doc_id, so its texts are shuffled once
     around = base.join(anchors, "doc_id").select(*cols, "anchors")
-    keyed = around.mapInArrow(tidy(_window_rows), "k1 long, k2 int, doc_id long, start long, run int")
+    keyed = around.mapInArrow(tidy(_window_rows), "k1 long, k2 int, doc_id long, start long, run int, more array<long>")
     settled = keyed.withColumn("lo", F.min("doc_id").over(Window.partitionBy("k1", "k2"))).where("run > 0 or lo < doc_id")
-    runs = settled.select("doc_id", F.struct("start", F.greatest("run", F.lit(1)).alias("run")).alias("r")).groupBy("doc_id").agg(F.collect_list("r").alias("runs"))
+    runs = settled.select("doc_id", F.struct("start", F.greatest("run", F.lit(1)).alias("run"), "more").alias("r")).groupBy("doc_id").agg(F.collect_list("r").alias("runs"))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", text string" if keep else "") + "".join(f", `{c}` {kinds[c]}" for c in keep)
     out = base.join(runs, "doc_id", "left").mapInArrow(tidy(_kept(bool(keep))), schema)

@@ -167,6 +167,13 @@ def test_substring(request, table, held, monkeypatch):
     assert result(substring_dedup.repeated_passages(df), "doc_id", "n_words", "n_removed", "kept_sha256") == passages(rows_of(df))
 
 
+def test_substring_one_word_over_and_over(spark):
+    rows = [(i, " ".join(["a"] * (60 + i * 40) + ["b", str(i)] * (i % 3))) for i in range(8)] + [(3, " ".join(["a"] * 55)), (9, " ".join(["x y"] * 100))]
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, "text")
+        assert result(substring_dedup.repeated_passages(df), "doc_id", "n_words", "n_removed", "kept_sha256") == passages(rows)
+
+
 def test_substring_random_overlaps(spark):
     rng = np.random.default_rng(9)
     pool = [f"p{x}" for x in range(3000)]
