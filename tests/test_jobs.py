@@ -136,3 +136,37 @@ def test_points_as_records(spark):
 
     p = spark.createDataFrame([("m", "value", {}, "", t * 10**9, t, float(t)) for t in (10, 20, 50)], POINTS)
     assert values(points_as_records(p, "m", lateness_ms=30_000)) == ['{"measurement":"m","value":10.0,"timestamp_ms":10000}', '{"measurement":"m","value":20.0,"timestamp_ms":20000}']
+
+
+def test_job_lifecycle(spark, tmp_path):
+    from tarnflow.streaming.jobs import Jobs, LifecycleError
+
+    df = spark.createDataFrame([("s", "", json.dumps({"user": "u", "amount": i}), i, [], i, i) for i in range(10)], RECORD)
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    jobs, job = Jobs(), parse_job(json.dumps({**JOB, "operators": JOB["operators"][:1]}))
+    jobs.start(job, {"s": live}, str(tmp_path / "a"), available_now=True)
+    jobs._entry("j").query.awaitTermination(60)
+    assert jobs.status("j")["state"] == "COMPLETED" and jobs.status("j")["records_in"] == 10 and jobs.status("j")["error"] is None
+    jobs.start(job, {"s": live}, str(tmp_path / "a"))
+    assert [s["state"] for s in jobs.list()] == ["RUNNING"] and jobs.list("FAILED") == []
+    for refused in (lambda: jobs.remove("j"), lambda: jobs.start(job, {"s": live}, str(tmp_path / "a")), lambda: jobs.status("none")):
+        with pytest.raises(LifecycleError):
+            refused()
+    jobs.stop("j")
+    jobs.stop("j")
+    assert jobs.status("j")["state"] == "STOPPED"
+    jobs.cancel("j")
+    assert jobs.status("j")["state"] == "CANCELLED"
+    jobs.remove("j")
+    assert jobs.list() == []
+
+
+def test_point_source_goes_through_to_a_point_sink(spark):
+    from tarnflow.sources.tables import POINTS
+
+    p = spark.createDataFrame([("m", "value", {"h": str(t % 2)}, f"h={t % 2}", t * 10**9 + 7, t, float(t)) for t in range(6)], POINTS)
+    spec = {"kind": "Processing", "name": "f", "sources": [{"ts": {"measurement": "m"}}], "operators": [{"type": "map", "mapping": {"x": "y"}}, {"type": "aggregate", "function": "count"}, {"type": "filter", "condition": "json:$.count>2"}], "sinks": [{"ts": {"measurement": "out"}}]}
+    job = parse_job(json.dumps(spec))
+    got = to_sinks(job, run_chain(job, {"m": points_as_records(p, "m")}))[0][1].orderBy("pos").collect()
+    assert [(r.measurement, r.field, r.tags, r.ts_ns, r.value) for r in got] == [("out", "value", {"h": str(t % 2)}, t * 10**9 + 7, float(t)) for t in (2, 3, 4, 5)]
