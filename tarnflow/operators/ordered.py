@@ -18,12 +18,13 @@ CHUNK_ROWS = 1_000_000
 _AGG = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
 
 
-def with_stretch(df: DataFrame, at: str, rows: int = CHUNK_ROWS) -> DataFrame:
-    """Adds _stretch, which rises with the long column `at`; figures come from one scalar subquery."""
-    figures = df.agg(F.struct(F.min(at).alias("low"), F.max(at).alias("high"), F.count(F.lit(1)).alias("n")).alias("f")).scalar()
-    span = figures["high"].cast("double") - figures["low"].cast("double") + 1.0
+def with_stretch(df: DataFrame, at: str, rows: int = CHUNK_ROWS, span: DataFrame | None = None) -> DataFrame:
+    """Adds _stretch, which rises with the long column `at`; figures come from one scalar subquery over span, a table
+    that df's rows are taken from (df itself if None)."""
+    figures = (df if span is None else span).agg(F.struct(F.min(at).alias("low"), F.max(at).alias("high"), F.count(F.lit(1)).alias("n")).alias("f")).scalar()
+    width = figures["high"].cast("double") - figures["low"].cast("double") + 1.0
     stretches = F.ceil(figures["n"] / F.lit(rows)).cast("double")
-    share = (F.col(at).cast("double") - figures["low"].cast("double")) / span
+    share = (F.col(at).cast("double") - figures["low"].cast("double")) / width
     return df.withColumn("_stretch", F.coalesce(F.floor(share * stretches), F.lit(-1)))
 
 
@@ -34,13 +35,13 @@ def _join_prior(local: DataFrame, prior: DataFrame, on: list[str]) -> DataFrame:
     return local.join(renamed, same, "left").drop(*[f"_p_{c}" for c in on])
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], aggs: dict[str, tuple[str, str]], before: bool = False, rows: int = CHUNK_ROWS) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: list[str], aggs: dict[str, tuple[str, str]], before: bool = False, rows: int = CHUNK_ROWS, span: DataFrame | None = None) -> DataFrame:
     """df with aggs (name -> (sum|count|min|max, column)) over the rows up to each, or before each one.
 
     Empty tables stay empty; null values count for nothing; null keys form a group; ties in the order are the
-    caller's to avoid.
+    caller's to avoid. span, if given, is a table with all of df's rows that is cheaper to count.
     """
-    parts = with_stretch(df, order[0], rows)
+    parts = with_stretch(df, order[0], rows, span)
     frame = Window.partitionBy(*keys, "_stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     local = parts
     for name, (how, col) in aggs.items():
@@ -61,6 +62,6 @@ def _combined(how: str, a: Column, b: Column) -> Column:
     return F.coalesce(a + b, a, b)
 
 
-def ordinals(df: DataFrame, keys: list[str], order: list[str], name: str = "ordinal", rows: int = CHUNK_ROWS) -> DataFrame:
+def ordinals(df: DataFrame, keys: list[str], order: list[str], name: str = "ordinal", rows: int = CHUNK_ROWS, span: DataFrame | None = None) -> DataFrame:
     """df with the row's place within its key, from 1."""
-    return running(df.withColumn("_one", F.lit(1)), keys, order, {name: ("count", "_one")}, rows=rows).drop("_one")
+    return running(df.withColumn("_one", F.lit(1)), keys, order, {name: ("count", "_one")}, rows=rows, span=span).drop("_one")

@@ -95,7 +95,7 @@ def running_aggregate(df: DataFrame, function: str, path: str | None = None) ->
     """Every accepted record emits its key's value so far; a hot key's records spread over stretches of time."""
     src = _carried(df)
     x = aggregate_input(df, function, path).select("source", "key", "x", "event_time_ms", "ts_ms", "seq", *src)
-    out = running(x, ["source", "key"], ["ts_ms", "seq"], _figures(function))
+    out = running(x, ["source", "key"], ["ts_ms", "seq"], _figures(function), span=df)
     value = {"count": lambda: F.col("n").cast("double"), "avg": lambda: F.col("v") / F.col("n")}.get(function, lambda: F.col("v"))()
     return out.select("source", "key", value.alias("value"), F.col("n").alias("count"), "event_time_ms", "ts_ms", "seq", *src)
 
@@ -104,7 +104,7 @@ def count_window_aggregate(df: DataFrame, function: str, size: int, path: str |
     """Tumbling windows of so many accepted records per key; what isn't full isn't emitted."""
     src = _carried(df)
     x = aggregate_input(df, function, path).select("source", "key", "x", "event_time_ms", "ts_ms", "seq", *src)
-    placed = ordinals(x, ["source", "key"], ["ts_ms", "seq"]).withColumn("w", F.expr(f"(ordinal - 1) div {size}L"))
+    placed = ordinals(x, ["source", "key"], ["ts_ms", "seq"], span=df).withColumn("w", F.expr(f"(ordinal - 1) div {size}L"))
     how = F.count("x").cast("double") if function == "count" else getattr(F, function)("x")
     out = placed.groupBy("source", "key", "w").agg(how.alias("value"), F.count("x").alias("count"), F.max_by("event_time_ms", F.struct("ts_ms", "seq")).alias("event_time_ms"), F.max(F.struct("ts_ms", "seq")).alias("at"), *[F.max_by(c, F.struct("ts_ms", "seq")).alias(c) for c in src])
     return out.where(F.col("count") == size).select("source", "key", "value", "count", "event_time_ms", "at.ts_ms", "at.seq", *src)
