@@ -187,7 +187,11 @@ def _alike_in_tile(pdf):
 
 
 def _tiles(rows: DataFrame, key: str, ident: str) -> DataFrame:
-    """Deals rows (key, k, ...) to the pairs of k blocks of their key: one side for i, one for j."""
+    """Deals rows (key, k, ...) to the pairs of k blocks of their key: one side for i, one for j.
+
+    They are dealt anew by the whole tile: rows that a join has left dealt by key alone would be taken as
+    they lie, with all tiles of a key in one task, and its skew could not be split.
+    """
     cols = [c for c in rows.columns if c != "k"]
     rows = rows.withColumn("p", F.pmod(F.xxhash64(ident), F.col("k")).cast("int"))
     last, zero = F.col("k") - 1, F.lit(0)
@@ -195,7 +199,7 @@ def _tiles(rows: DataFrame, key: str, ident: str) -> DataFrame:
     many = rows.where("k > 1")
     first = many.select(*cols, F.col("p").alias("i"), F.explode(F.sequence("p", last)).alias("j"), F.lit(1).alias("side"))
     second = many.select(*cols, F.explode(F.sequence(zero, "p")).alias("i"), F.col("p").alias("j"), F.lit(2).alias("side"))
-    return one.unionAll(first).unionAll(second).groupBy(key, "i", "j")
+    return one.unionAll(first).unionAll(second).repartition(key, "i", "j").groupBy(key, "i", "j")
 
 
 def _residual(multi: DataFrame, reps: DataFrame, comps: DataFrame, docs: DataFrame) -> DataFrame | None:
