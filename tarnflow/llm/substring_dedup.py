@@ -174,27 +174,40 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out()
 
 
+class _Runs:
+    """Settled windows (start, run, more) of each row of a batch, read as flat columns."""
+
+    def __init__(self, rows: pa.Array):
+        self.ends, flat = np.asarray(rows.offsets), rows.values
+        self.start, self.run, more = np.asarray(flat.field("start")), np.asarray(flat.field("run")), flat.field("more")
+        self.more_ends, self.more = np.asarray(more.offsets), np.asarray(more.values)
+
+    def of(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the i-th row's windows and how many follow one another from each."""
+        a, b = self.ends[i], self.ends[i + 1]
+        more = self.more[self.more_ends[a] : self.more_ends[b]]
+        return np.r_[self.start[a:b], more], np.r_[self.run[a:b], np.ones(len(more), np.int32)]
+
+
 def _kept(texts: bool):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_gone, digest, whole = [], [], [], []
-            runs = batch.column("runs").to_pylist() if "runs" in batch.schema.names else [None] * batch.num_rows
-            for text, gone in zip(batch.column("text").to_pylist(), runs, strict=True):
+            runs = _Runs(batch.column("runs")) if "runs" in batch.schema.names else None
+            for i, text in enumerate(batch.column("text").to_pylist()):
                 words = (text or "").encode().split()
                 n = len(words)
                 lost = 0
-                if gone:
+                start, size = runs.of(i) if runs else ((), ())
+                if len(start):
                     edge = np.zeros(n + 1, np.int64)
-                    flat = [(r["start"], r["run"]) for r in gone]
-                    flat += [(x, 1) for r in gone if r["more"] for x in r["more"]]
-                    start, size = np.array(flat, np.int64).T
                     mine = start >> 32 == _marks(pa.array([text]))[0]
                     start, size = start[mine] & 0xFFFFFFFF, size[mine]
                     np.add.at(edge, start, 1)
                     np.add.at(edge, np.minimum(start + size + WINDOW - 1, n), -1)
                     stay = np.cumsum(edge[:-1]) == 0
                     lost = n - int(stay.sum())
-                    words = [words[i] for i in np.flatnonzero(stay).tolist()]
+                    words = [words[w] for w in np.flatnonzero(stay).tolist()]
                 kept = b" ".join(words)
                 n_words.append(n)
                 n_gone.append(lost)
