@@ -71,11 +71,21 @@ def sink_stream(records: DataFrame) -> DataFrame:
     return records.select("value")
 
 
-def sink_kv(records: DataFrame, prefix: str = "", separator: str = ":") -> DataFrame:
-    """Last value of each key; a record without key and prefix goes."""
+def sink_kv(records: DataFrame, prefix: str = "", separator: str = ":", ttl_ms: int | None = None, now_ms: int | None = None) -> DataFrame:
+    """Last value of each key; a record without key and prefix goes.
+
+    With a time to live there is also expiry_ns, counted from now or else from the last record's own stamp.
+    """
     key = F.concat_ws(separator, F.when(F.lit(prefix) != "", F.lit(prefix)), F.when(F.col("key") != "", F.col("key")))
     keyed = records.select(key.alias("key"), "value", "ts_ms", "seq").where("key <> ''")
-    return keyed.groupBy("key").agg(F.max_by("value", F.struct("ts_ms", "seq")).alias("value"))
+    at = F.struct("ts_ms", "seq")
+    last = keyed.groupBy("key").agg(F.max_by("value", at).alias("value"), F.max("ts_ms").alias("ts_ms"))
+    if ttl_ms is None:
+        return last.select("key", "value")
+    if ttl_ms <= 0:
+        raise ValueError("ttl must be positive")
+    start = F.col("ts_ms") if now_ms is None else F.lit(now_ms)
+    return last.select("key", "value", ((start + ttl_ms) * 1_000_000).alias("expiry_ns"))
 
 
 def sink_queue(records: DataFrame, priority: int = 0) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.text import person_duration_ms
 from ..operators import logs, records
 from ..plans.job_definition import Job, Step
 
@@ -103,7 +104,8 @@ def to_sinks(job: Job, out: DataFrame) -> list[tuple[str, DataFrame]]:
         if s.kind == "stream":
             df = logs.sink_stream(df)
         elif s.kind == "kv":
-            df = logs.sink_kv(df, o.get("prefix", ""), o.get("separator", ":"))
+            ttl = o["ttl_ms"] if "ttl_ms" in o else person_duration_ms(str(o["ttl"])) if "ttl" in o else None
+            df = logs.sink_kv(df, o.get("prefix", ""), o.get("separator", ":"), None if ttl is None else int(ttl) or None)
         elif s.kind == "queue":
             df = logs.sink_queue(df, int(o.get("priority", 0)))
         elif "src" in df.columns:

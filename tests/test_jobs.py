@@ -170,3 +170,14 @@ def test_point_source_goes_through_to_a_point_sink(spark):
     job = parse_job(json.dumps(spec))
     got = to_sinks(job, run_chain(job, {"m": points_as_records(p, "m")}))[0][1].orderBy("pos").collect()
     assert [(r.measurement, r.field, r.tags, r.ts_ns, r.value) for r in got] == [("out", "value", {"h": str(t % 2)}, t * 10**9 + 7, float(t)) for t in (2, 3, 4, 5)]
+
+
+def test_kv_sink_time_to_live(spark):
+    rows = [("s", "a", "1", 5, [], 5, 1), ("s", "a", "2", 9, [], 9, 2), ("s", "", "3", 9, [], 9, 3)]
+    df = spark.createDataFrame(rows, "source string, key string, value string, event_time_ms long, tags array<string>, ts_ms long, seq long")
+    stamped = logs.sink_kv(df, "p", ttl_ms=100)
+    assert sorted(map(tuple, stamped.collect())) == [("p", "3", 109_000_000), ("p:a", "2", 109_000_000)]
+    assert {r.expiry_ns for r in logs.sink_kv(df, "p", ttl_ms=100, now_ms=1000).collect()} == {1_100_000_000}
+    assert logs.sink_kv(df, "p").columns == ["key", "value"] and logs.sink_kv(df).count() == 1
+    with pytest.raises(ValueError):
+        logs.sink_kv(df, ttl_ms=0)
