@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import ctypes
+import functools
+import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,14 +25,22 @@ WHITE_SPACE = r"[\x20\x09-\x0D]+"
 #: A join side of at most so many id rows is broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 500_000
 
+#: Rows and bytes of a batch that a worker takes at once.
+BATCH_ROWS, BATCH_BYTES = 1500, 16 << 20
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _U = np.uint64
+_writing = threading.Lock()
+_writers: dict[int, list] = {}
+_open: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("tarnflow_tables", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one made here where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Unset, one is made here, on a local master alone."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark, "_tarn_shared", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\[\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tarnflow-")
         spark._tarn_shared = base
     return base.rstrip("/")
@@ -36,6 +50,24 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def _freeing_shuffles(spark: SparkSession):
+    """Shuffle files of what runs within go when it ends. The session's own setting is back once the last of
+    several threads is out."""
+    with _writing:
+        held = _writers.setdefault(id(spark), [0, spark.conf.get(_CLEANUP, "false")])
+        held[0] += 1
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _writing:
+            held[0] -= 1
+            if not held[0]:
+                spark.conf.set(_CLEANUP, held[1])
+                del _writers[id(spark)]
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cuts the lineage: writes df to the shared folder and reads it back.
 
@@ -43,12 +75,11 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch(spark, tag)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    made = _open.get()
+    if made is not None:
+        made.append(path)
+    with _freeing_shuffles(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._tarn_path = path
     return out
@@ -58,7 +89,51 @@ def discard(df: DataFrame) -> None:
     """Removes a table made by materialize() that nothing reads any more."""
     path = getattr(df, "_tarn_path", None)
     if path:
-        delete_path(df.sparkSession, path)
+        _forget(df.sparkSession, path)
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    made = _open.get()
+    if made is not None and path in made:
+        made.remove(path)
+    delete_path(spark, path)
+
+
+def settled(tag: str) -> Callable:
+    """An operator whose result is written as one table; every other table that it wrote goes, errors included.
+
+    The result, a row a document or less, stays until its caller discards it.
+    """
+
+    def around(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(operator)
+        def run(first: DataFrame, *args, **kwargs) -> DataFrame:
+            ship(first.sparkSession)
+            outer, mine = _open.get(), []
+            token = _open.set(mine)
+            try:
+                out = materialize(operator(first, *args, **kwargs), tag)
+                mine.remove(out._tarn_path)
+            finally:
+                _open.reset(token)
+                for path in mine:
+                    delete_path(first.sparkSession, path)
+            if outer is not None:
+                outer.append(out._tarn_path)
+            return out
+
+        return run
+
+    return around
+
+
+def working_folder(spark: SparkSession, tag: str) -> str:
+    """A folder for files of an operator's own, which goes with its tables if it is settled."""
+    path = scratch(spark, tag)
+    made = _open.get()
+    if made is not None:
+        made.append(path)
+    return path
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -66,26 +141,37 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1500) -> None:
-    """Whole texts go to Python in Arrow batches of so many rows, which bounds a worker's memory."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def by_id(left: DataFrame, ids: DataFrame, on, how: str = "inner") -> DataFrame:
-    """Joins a wide table with a materialised table of ids, broadcast only if its counted size allows."""
-    return left.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
+    """Joins a wide table with a materialised table of ids, broadcast only if its counted size allows.
+
+    Where the join shuffles, rows of left with a null key, which meet nothing, don't take part: they would
+    all go to one task.
+    """
+    if ids.count() <= BROADCAST_IDS:
+        return left.join(F.broadcast(ids), on, how)
+    keys = [on] if isinstance(on, str) else list(on)
+    known = functools.reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    out = left.where(known).join(ids, on, how)
+    return out.unionByName(left.where(~known), allowMissingColumns=True) if how in ("left", "left_anti") else out
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tidy(task):
-    """Gives what a finished task freed back to the system, as workers serve one task after another."""
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        step = max(1, min(rows, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes)))
+        for a in range(0, batch.num_rows, step):
+            yield batch.slice(a, step)
+
+
+def tidy(task, rows: int = BATCH_ROWS):
+    """A task for mapInArrow: it gets batches of a bounded number of rows and bytes (one row at least), whatever the
+    session's settings, and what it freed goes back to the system, as workers serve one task after another."""
 
     def run(batches):
-        yield from task(batches)
+        yield from task(_slices(batches, rows))
         pa.default_memory_pool().release_unused()
         try:
             ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -95,6 +181,40 @@ def tidy(task):
     return run
 
 
+def grouped(keys: list[str], of: Callable[[pa.Table], Iterator[pa.RecordBatch] | pa.RecordBatch | None]):
+    """A task over rows sorted by integer keys: calls `of` with one table for each run of equal keys.
+
+    A group may span batches; one group is held at a time, so its size is the caller's to bound.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        at = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [np.asarray(batch.column(k)) for k in keys]
+            new = np.zeros(batch.num_rows, bool)
+            for c in cols:
+                new[1:] |= c[1:] != c[:-1]
+            cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                now = tuple(c[a] for c in cols)
+                if held and now != at:
+                    out = of(pa.Table.from_batches(held))
+                    held = []
+                    if out is not None:
+                        yield out
+                at = now
+                held.append(batch.slice(a, b - a))
+        if held:
+            out = of(pa.Table.from_batches(held))
+            if out is not None:
+                yield out
+
+    return run
+
+
 def flat_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array]:
     """Words of each text (null: none) and their offsets; only A-Z are lower-cased."""
     if isinstance(texts, pa.ChunkedArray):

@@ -9,13 +9,15 @@ both lie on the cover, so any two equal windows of 50 words share an anchor that
    once, and documents that share it there are marked at once, so a passage held by a third of all rows
    costs a row a task.
 2. Anchors seen in two documents or more mark the places to extend: the windows around a marked anchor,
-   and no others, are keyed by 96 bits of their 50 words and again folded within each task; a window
+   and no others, are keyed by 95 bits of their 50 words and again folded within each task; a window
    whose smaller owner is in the same task is settled there.
 3. The smallest doc_id of each remaining key settles the rest; the words under settled windows go.
 
 Defined cases: null text has no words; fewer than 50 words are never removed; repeats within one
 document, and between rows that share a doc_id, stay; rows with a null doc_id own nothing and lose
-nothing. Extra columns are ignored.
+nothing. A text is read whole however long it is (up to 2**32 words), by one task. An empty table gives no rows.
+Extra columns are ignored. Words under equal keys aren't compared again: of n distinct windows any two share
+their 95 bits with probability n*n/2**96.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import flat_words, hash_words, materialize, mixed, runs_of, small_batches, tidy
+from ..session import ship
+from .common import flat_words, hash_words, materialize, mixed, runs_of, settled, tidy
 
 WINDOW = 50
 #: A perfect difference set modulo 31 (fixed values).
@@ -230,7 +233,7 @@ def repeated_passages(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     With keep, also text (unchanged where nothing is removed, else the kept words joined by one space)
     and the named columns of docs.
     """
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     cols = ["doc_id", "text", *keep]
     base = docs.select(*cols).where("doc_id is not null")
     found = base.select("doc_id", "text").mapInArrow(tidy(_anchor_rows), "h long, doc_id long, own long")
@@ -246,3 +249,9 @@ def repeated_passages(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", text string" if keep else "") + "".join(f", `{c}` {kinds[c]}" for c in keep)
     out = base.join(runs, "doc_id", "left").mapInArrow(tidy(_kept(bool(keep))), schema)
     return out.unionAll(docs.where("doc_id is null").select(*cols).mapInArrow(tidy(_kept(bool(keep))), schema))
+
+
+@settled("passage-digests")
+def passage_digests(docs: DataFrame) -> DataFrame:
+    """repeated_passages() as a settled table: doc_id, n_words, n_removed, kept_sha256."""
+    return repeated_passages(docs)

@@ -15,8 +15,8 @@ renames it, so a repeated task replaces what a lost one left. The ids before a f
 the files' totals, which is all the driver sees.
 
 Defined cases: null text is empty and has only the end id; rows that share a doc_id are written each, side
-by side, in an order that is free; null doc_ids come first. Extra columns are ignored; an empty table
-writes no files.
+by side, in an order that is free; null doc_ids come first. A text is encoded whole however long it is, by one
+task, and may span chunks. Extra columns are ignored; an empty table writes no files.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch, small_batches, tidy
+from .common import settled, tidy, working_folder
 from .tokens import encoder, vocabulary_path, with_end
 
 CHUNK_IDS = 1 << 18
@@ -197,11 +197,13 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
     return files.mapInArrow(tidy(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+@settled("token-digests")
 def token_file_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """Writes all documents with the end id 0 behind each, reads the files back and returns the digests."""
+    """Writes all documents with the end id 0 behind each, reads the files back and returns the digests.
+
+    The files go once they are read; write_token_files() leaves them to its caller."""
     spark = docs.sparkSession
-    small_batches(spark)
-    folder = scratch(spark, "tokens")
+    folder = working_folder(spark, "tokens")
     made = write_token_files(docs, folder, vocabulary or vocabulary_path("byte_bpe_50k.json")).collect()  # a row a file
     base, rows = 0, []
     for r in sorted(made, key=lambda r: r["part"]):

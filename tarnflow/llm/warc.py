@@ -7,8 +7,8 @@ writes one .warc.gz file (a gzip member a record) with fresh headers. Reading pa
 each revisit record to the response that it refers to.
 
 Defined cases: null html is an empty payload; null or odd urls are percent-encoded or left out; rows that
-repeat the owner's page_id are responses each; a null page_id is always a response. Extra columns are
-ignored; an empty table writes no files.
+repeat the owner's page_id are responses each; a null page_id is always a response. A payload is read whole
+however long it is, by one task. Extra columns are ignored; an empty table writes no files.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_id, materialize, scratch, small_batches, tidy
+from .common import by_id, materialize, settled, tidy, working_folder
 
 LEAST_BYTES = 1000
 #: Fixed values of the format.
@@ -82,8 +82,6 @@ def resolve_revisits(pages: DataFrame) -> DataFrame:
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Writes pages (page_id, url, html, ...) under folder; returns (file, records), a row a file."""
-    small_batches(pages.sparkSession, 1000)
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -106,7 +104,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     decided = materialize(resolve_revisits(pages), "revisits")
     whole = pages.select("page_id", "url", "html", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")).alias("digest"))
     rows = by_id(whole, decided, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "owner")
-    return rows.mapInArrow(tidy(write), "file string, records long")
+    return rows.mapInArrow(tidy(write, 1000), "file string, records long")
 
 
 def read_archives(files: DataFrame, folder: str) -> DataFrame:
@@ -135,10 +133,13 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
     return files.mapInArrow(tidy(read), "page_id long, record_id string, record_type string, payload_bytes long, payload_digest string, refers_record string")
 
 
+@settled("archive-digests")
 def archive_digests(pages: DataFrame) -> DataFrame:
-    """Writes the archives, reads them back and resolves revisits to their responses."""
+    """Writes the archives, reads them back and resolves revisits to their responses.
+
+    The archives go once they are read; write_archives() leaves them to its caller."""
     spark = pages.sparkSession
-    folder = scratch(spark, "warc")
+    folder = working_folder(spark, "warc")
     files = materialize(write_archives(pages, folder), "warc-files")
     # a file is read by one task; the list is a row a file
     records = materialize(read_archives(files.repartition(max(1, spark.sparkContext.defaultParallelism * 4)), folder), "warc-heads")
