@@ -14,9 +14,15 @@ lower-cased) is at least 0.75, tested in integers on the full sets. Steps:
    meet once more in bounded tiles with their full sets, so every pair of a bucket is decided exactly
    unless its documents are in one component already. Nothing is capped or sampled.
 
+Shingles are held as 64-bit hashes of their words, so the "full sets" of the exact check are sets of such
+hashes: two of a corpus of n distinct shingles agree by chance with probability n*n/2**65, and a link changes
+only if that happens within one pair of documents.
+
 Defined cases: null, empty or wordless text has no shingles and links with nothing; fewer than five
-words are one shingle; rows that repeat a doc_id are one document (all its texts count) and each is
-returned; a null doc_id is returned as its own component (null). Extra columns are ignored.
+words are one shingle; a text is read whole however long it is, by one task, which then holds it and its set;
+rows that repeat a doc_id are one document (all its texts count) and each is returned; a null doc_id is returned
+as its own component (null); of documents that tie, the smallest doc_id leads. An empty table gives no rows.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,15 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_id, discard, flat_words, hash_words, materialize, mixed, runs_of, small_batches, tidy
+from .common import by_id, discard, flat_words, grouped, hash_words, materialize, mixed, runs_of, settled, tidy
 from .components import connected_components, local_roots
 
 SHINGLE, HASHES, ROWS = 5, 128, 4
 NUM, DEN = 75, 100
 #: 4.5 standard deviations of the estimate at 0.75 from 128 minima below it: 3e-6 of links are missed.
 SIGNATURE_LEAST = int(HASHES * (0.75 - 4.5 * (0.75 * 0.25 / HASHES) ** 0.5))
-#: Documents and bytes of text of a tile's side.
-BLOCK, BLOCK_BYTES = 1024, 16_000_000
+#: Documents and bytes of text of a tile's side; rows of a task of tiles, on average.
+BLOCK, BLOCK_BYTES, TASK_ROWS = 1024, 16_000_000, 4096
 
 _U = np.uint64
 _random = np.random.Generator(np.random.PCG64(20240501))
@@ -134,72 +140,92 @@ def _forest(ca: np.ndarray, cb: np.ndarray, links: np.ndarray) -> tuple[np.ndarr
     return names[t], names[root[t]]
 
 
-def _sides(pdf):
-    return pdf[pdf["side"] != 2], pdf[pdf["side"] != 1]
+def _sides(tile: pa.Table) -> tuple[pa.Table, pa.Table]:
+    side = np.asarray(tile["side"])
+    return (tile, tile) if not side.any() else (tile.filter(pa.array(side == 1)), tile.filter(pa.array(side == 2)))
 
 
-def _look_alike(pdf):
+def _look_alike(tile: pa.Table) -> pa.RecordBatch | None:
     """One tile of a bucket: components that look alike (kind 0: component, root) and the documents by
-    which they do (kind 1: document, component)."""
-    import pandas as pd
-
-    left, right = _sides(pdf)
-    x, y = (np.frombuffer(b"".join(p["sig"]), np.uint8).reshape(-1, HASHES, 4)[:, :, 0].T.copy() for p in (left, right))
-    ca, cb = left["component"].to_numpy(), right["component"].to_numpy()
-    agree = np.zeros((len(ca), len(cb)), np.uint8)
-    for k in range(HASHES):  # low bytes: chance agreement only adds candidates
-        agree += x[k][:, None] == y[k]
+    which they do (kind 1: document, component). A tile without both sides holds no pair."""
+    left, right = _sides(tile)
+    if not left.num_rows or not right.num_rows:
+        return None
+    ca, cb = np.asarray(left["component"]), np.asarray(right["component"])
+    x, y = (np.frombuffer(b"".join(p["sig"].to_pylist()), np.uint8).reshape(-1, HASHES, 4)[:, :, 0].T.copy() for p in (left, right))
+    # low bytes: chance agreement only adds candidates
+    if len(ca) * len(cb) <= 4096:
+        agree = (x[:, :, None] == y[:, None, :]).sum(axis=0, dtype=np.uint8)
+    else:
+        agree = np.zeros((len(ca), len(cb)), np.uint8)
+        for k in range(HASHES):
+            agree += x[k][:, None] == y[k]
     near = (agree >= SIGNATURE_LEAST) & (ca[:, None] != cb)
+    if not near.any():
+        return None
     a, b = _forest(ca, cb, near)
     i, j = near.any(axis=1), near.any(axis=0)
-    who, of = np.concatenate([left["rep"].to_numpy()[i], right["rep"].to_numpy()[j]]), np.concatenate([ca[i], cb[j]])
-    return pd.DataFrame({"kind": np.repeat([0, 1], [len(a), len(who)]).astype("int32"), "a": np.concatenate([a, who]), "b": np.concatenate([b, of])})
+    who, of = np.concatenate([np.asarray(left["rep"])[i], np.asarray(right["rep"])[j]]), np.concatenate([ca[i], cb[j]])
+    kind = np.repeat([0, 1], [len(a), len(who)]).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([a, who])), pa.array(np.concatenate([b, of]))], ["kind", "a", "b"])
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of sorted distinct arrays, a row for each of left: what right holds is numbered
+    once, and each of left marks its own values there."""
+    flat = np.concatenate([*right, np.zeros(0, _U)])
+    ends = np.concatenate([[0], np.cumsum([len(s) for s in right])])
+    values, place = np.unique(flat, return_inverse=True)
+    out, hit = np.zeros((len(left), len(right)), np.int64), np.zeros(len(values), bool)
+    if not len(values):
+        return out
+    for row, s in enumerate(left):
+        at = np.minimum(np.searchsorted(values, s), len(values) - 1)
+        at = at[values[at] == s]
+        if len(at):
+            hit[at] = True
+            out[row] = np.diff(np.concatenate([[0], np.cumsum(hit[place])])[ends])
+            hit[at] = False
+    return out
+
+
+def _alike_in_tile(tile: pa.Table) -> pa.RecordBatch | None:
+    """One tile of a cluster: exact links between components as a forest (a, b)."""
+    left, right = _sides(tile)
+    if not left.num_rows or not right.num_rows:
+        return None
+    x = shingle_sets(left["text"].combine_chunks())
+    y = x if right is left else shingle_sets(right["text"].combine_chunks())
+    n, m = (np.array([len(s) for s in side]) for side in (x, y))
+    ca, cb = np.asarray(left["component"]), np.asarray(right["component"])
+    both = common_counts(x, y)
+    links = (DEN * both >= NUM * (n[:, None] + m - both)) & (both > 0) & (ca[:, None] != cb)
+    if not links.any():
+        return None
+    a, b = _forest(ca, cb, links)
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def _alike_in_tile(pdf):
-    """One tile of a cluster: exact links between components as a forest (a, b)."""
-    import pandas as pd
-
-    left, right = _sides(pdf)
-    sets = [shingle_sets(pa.array(p["text"].tolist(), pa.string())) for p in (left, right)]
-    n = [np.array([len(v) for v in s]) for s in sets]
-    flat = [np.concatenate(s) for s in sets]
-    values, place = np.unique(np.concatenate(flat), return_inverse=True)
-    col = place[: len(flat[0])], place[len(flat[0]) :]
-    row = [np.repeat(np.arange(len(m)), m) for m in n]
-    shared = np.ones(len(values), bool)
-    for c in col:
-        shared &= np.bincount(c, minlength=len(values)) > 0
-    number = np.cumsum(shared) - 1
-    both = np.zeros((len(n[0]), len(n[1])), np.float32)
-    for s in range(0, int(shared.sum()), 4096):  # counts of common shingles, as products of 0/1 matrices
-        part = []
-        for c, r, m in zip(col, row, n, strict=True):
-            ok = shared[c] & (number[c] >= s) & (number[c] < s + 4096)
-            dense = np.zeros((len(m), 4096), np.float32)
-            dense[r[ok], number[c[ok]] - s] = 1
-            part.append(dense)
-        both += part[0] @ part[1].T
-    both = both.astype(np.int64)
-    ca, cb = left["component"].to_numpy(), right["component"].to_numpy()
-    a, b = _forest(ca, cb, (DEN * both >= NUM * (n[0][:, None] + n[1] - both)) & (both > 0) & (ca[:, None] != cb))
-    return pd.DataFrame({"a": a, "b": b})
-
-
-def _tiles(rows: DataFrame, key: str, ident: str) -> DataFrame:
-    """Deals rows (key, k, ...) to the pairs of k blocks of their key: one side for i, one for j.
+def _by_tiles(rows: DataFrame, key: str, ident: str, of, schema: str, tag: str) -> DataFrame:
+    """Deals rows (key, k, ...) to the pairs of k blocks of their key, one side for i and one for j, and runs
+    `of` on each tile.
 
     They are dealt anew by the whole tile: rows that a join has left dealt by key alone would be taken as
-    they lie, with all tiles of a key in one task, and its skew could not be split.
+    they lie, with all tiles of a key in one task. Tasks are as many as the rows ask for, so none grows with them.
     """
     cols = [c for c in rows.columns if c != "k"]
-    rows = rows.withColumn("p", F.pmod(F.xxhash64(ident), F.col("k")).cast("int"))
+    dealt = materialize(rows.withColumn("p", F.pmod(F.xxhash64(ident), F.col("k")).cast("int")), f"{tag}-dealt")
+    copies = dealt.agg(F.sum(F.when(F.col("k") == 1, 1).otherwise(F.col("k") + 1))).first()[0] or 0  # one number
     last, zero = F.col("k") - 1, F.lit(0)
-    one = rows.where("k = 1").select(*cols, zero.alias("i"), zero.alias("j"), zero.alias("side"))
-    many = rows.where("k > 1")
+    one = dealt.where("k = 1").select(*cols, zero.alias("i"), zero.alias("j"), zero.alias("side"))
+    many = dealt.where("k > 1")
     first = many.select(*cols, F.col("p").alias("i"), F.explode(F.sequence("p", last)).alias("j"), F.lit(1).alias("side"))
     second = many.select(*cols, F.explode(F.sequence(zero, "p")).alias("i"), F.col("p").alias("j"), F.lit(2).alias("side"))
-    return one.unionAll(first).unionAll(second).repartition(key, "i", "j").groupBy(key, "i", "j")
+    tasks = max(1, -(-copies // TASK_ROWS))
+    tiles = one.unionAll(first).unionAll(second).repartition(tasks, key, "i", "j").sortWithinPartitions(key, "i", "j")
+    out = materialize(tiles.mapInArrow(tidy(grouped([key, "i", "j"], of)), schema).distinct(), tag)
+    discard(dealt)
+    return out
 
 
 def _residual(multi: DataFrame, reps: DataFrame, comps: DataFrame, docs: DataFrame) -> DataFrame | None:
@@ -207,7 +233,7 @@ def _residual(multi: DataFrame, reps: DataFrame, comps: DataFrame, docs: DataFra
     named = multi.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
     mixed_up = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
     rest = named.join(mixed_up.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("k")), "bucket").join(reps.select("rep", "sig"), "rep")
-    raw = materialize(_tiles(rest, "bucket", "rep").applyInPandas(_look_alike, "kind int, a long, b long").distinct(), "mh-alike")
+    raw = _by_tiles(rest, "bucket", "rep", _look_alike, "kind int, a long, b long", "mh-alike")
     edges = raw.where("kind = 0").select(F.col("a").alias("u"), F.col("b").alias("v"))
     if edges.isEmpty():
         return None
@@ -215,16 +241,14 @@ def _residual(multi: DataFrame, reps: DataFrame, comps: DataFrame, docs: DataFra
     flagged = materialize(raw.where("kind = 1").select(F.col("a").alias("doc_id"), F.col("b").alias("component")).join(clusters, "component"), "mh-flagged")
     texts = materialize(by_id(docs.where("doc_id is not null and text is not null"), flagged, "doc_id"), "mh-texts")
     sizes = texts.groupBy("cluster").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int").alias("k"))
-    tiles = _tiles(texts.join(sizes, "cluster").select("cluster", "k", "doc_id", "component", "text"), "cluster", "doc_id")
-    found = materialize(tiles.applyInPandas(_alike_in_tile, "a long, b long").distinct(), "mh-links")
+    found = _by_tiles(texts.join(sizes, "cluster").select("cluster", "k", "doc_id", "component", "text"), "cluster", "doc_id", _alike_in_tile, "a long, b long", "mh-links")
     discard(texts)
     return found
 
 
+@settled("near")
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select("doc_id", "text")
     signed = materialize(docs.mapInArrow(tidy(_signatures), "doc_id long, n_shingles long, set_key binary, sig binary"), "mh-signed")
     reps = materialize(signed.where("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig")), "mh-reps")
@@ -244,6 +268,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         whole = comps.unionByName(merged.select(F.col("component").alias("node"), "component")).distinct()
         comps = materialize(whole.join(merged, "component", "left").select("node", F.coalesce("top", "component").alias("component")), "mh-comps")
     classes = reps.select("set_key", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
+    # documents without shingles have no class: they don't take part, as null keys would all go to one task
+    out = signed.where("set_key is not null").join(classes, "set_key", "left").select("doc_id", "n_shingles", "component")
+    out = out.unionByName(signed.where("set_key is null").select("doc_id", "n_shingles"), allowMissingColumns=True)
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
