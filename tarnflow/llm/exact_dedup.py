@@ -5,11 +5,14 @@ trie first folds the copies within each input partition, so a group that holds a
 sends one text a partition. The distinct texts then go to owner partitions by length and content hash,
 where full byte strings are inserted into a compressed radix trie; its terminal nodes hold the smallest
 doc_id and the number of rows. An owner over its memory budget spills its largest subtree to the shared
-folder and finishes it later on its own. Documents get their owner's answer by a join on the digest.
+folder and finishes it later on its own: behind the bytes that all its strings share, and, if it is still over
+the budget, in parts by content hash, from a list of work that needs no recursion however long and nested the
+strings are. Documents get their owner's answer by a join on the digest.
 
 Defined cases: null text counts as empty; rows that repeat a doc_id count each towards group_size and
 tie, so each is marked kept when that doc_id is the smallest; null doc_ids lose to any other id, and a
-group of them alone has a null keep_id. Extra columns are ignored.
+group of them alone has a null keep_id. A text is read whole and one distinct text must fit a worker's memory,
+whatever the budget. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,13 +24,16 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE_SPACE, scratch, small_batches, tidy
+from .common import WHITE_SPACE, settled, tidy, working_folder
 
 MEMORY = 64 << 20
 NODE_BYTES = 300
+#: Parts of a spilled subtree that doesn't fit.
+PARTS = 8
 _NONE = 1 << 63
 
 
@@ -66,7 +72,7 @@ class PatriciaTrie:
     """Byte strings -> (smallest id, rows). Edges refer to the inserted strings, nothing is copied."""
 
     def __init__(self, budget: int = MEMORY, folder: str | None = None):
-        self.root, self.budget, self.folder, self.bytes = _Node(), budget, folder, 0
+        self.root, self.budget, self.folder, self.bytes, self.strings = _Node(), budget, folder, 0, 0
         self.spilled: dict[int, _Spilled] = {}
         self.weight: dict[int, int] = {}
 
@@ -95,10 +101,11 @@ class PatriciaTrie:
             node, i = below, i + same
         if node.value is None:
             node.value = [low, rows]
+            self.strings += 1
         else:
             node.value[0] = min(node.value[0], low)
             node.value[1] += rows
-        if self.folder and self.bytes > self.budget:
+        if self.folder and self.bytes > self.budget and self.weight:
             self._spill()
 
     @staticmethod
@@ -142,20 +149,39 @@ class PatriciaTrie:
             yield from self._reloaded(store)
 
     def _reloaded(self, store: _Spilled) -> Iterator[tuple[bytes, int, int]]:
-        """A spilled subtree in a trie of its own, keyed behind the bytes that all its strings share."""
-        shared = None
-        rest = _Spilled(self.folder)
-        for key, low, rows in store.entries():
-            if shared is None:
-                shared = key
-            elif not key.startswith(shared):
-                shared = shared[: self._common(key, 0, shared, 0, len(shared)) if len(key) >= len(shared) else self._prefix(key, shared)]
-            rest.put(key, low, rows)
-        trie = PatriciaTrie(self.budget, self.folder)
-        for key, low, rows in rest.entries():
-            trie.insert(key[len(shared) :], low, rows)
-        for key, low, rows in trie.entries():
-            yield shared + key, low, rows
+        """Spilled strings in tries of their own, keyed behind the bytes that all of a store's strings share.
+
+        A store whose distinct strings don't fit the budget is dealt into PARTS by content hash, with another
+        seed each time, until they fit or one string is left.
+        """
+        work = [(store, 0)]
+        while work:
+            store, seed = work.pop()
+            shared = None
+            rest = _Spilled(self.folder)
+            for key, low, rows in store.entries():
+                if shared is None:
+                    shared = key
+                elif not key.startswith(shared):
+                    shared = shared[: self._common(key, 0, shared, 0, len(shared)) if len(key) >= len(shared) else self._prefix(key, shared)]
+                rest.put(key, low, rows)
+            trie, parts = PatriciaTrie(), None
+            for key, low, rows in rest.entries():
+                if parts is None:
+                    trie.insert(key[len(shared) :], low, rows)
+                    if trie.bytes > self.budget and trie.strings > 1:
+                        parts = [_Spilled(self.folder) for _ in range(PARTS)]
+                        for tail, *value in trie.entries():
+                            whole = shared + tail
+                            parts[xxhash.xxh3_64_intdigest(whole, seed) % PARTS].put(whole, *value)
+                        trie = None
+                else:
+                    parts[xxhash.xxh3_64_intdigest(key, seed) % PARTS].put(key, low, rows)
+            if parts is None:
+                for key, low, rows in trie.entries():
+                    yield shared + key, low, rows
+            else:
+                work += [(part, seed + 1) for part in parts]
 
     @classmethod
     def _prefix(cls, x: bytes, y: bytes) -> int:
@@ -208,14 +234,13 @@ def _owners(folder: str, budget: int):
     return of
 
 
+@settled("exact")
 def exact_duplicates(docs: DataFrame, memory: int = MEMORY) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, keep_id, group_size, kept, text_sha256."""
-    spark = docs.sparkSession
-    small_batches(spark)
     norm = docs.select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), WHITE_SPACE, " ").alias("norm"))
     folded = norm.mapInArrow(tidy(_folded), "norm string, low long, n long")
     dealt = folded.withColumn("size", F.octet_length("norm")).withColumn("hash", F.xxhash64("norm")).repartition("size", "hash")
-    owners = dealt.select("norm", "low", "n").mapInArrow(tidy(_owners(scratch(spark, "trie"), memory)), "sha string, low long, n long")
+    owners = dealt.select("norm", "low", "n").mapInArrow(tidy(_owners(working_folder(docs.sparkSession, "trie"), memory)), "sha string, low long, n long")
     # equal digests of unequal texts would show here as two owners; no such pair of texts is known
     answer = owners.select(F.unhex("sha").alias("digest"), F.col("low").alias("keep_id"), F.col("n").alias("group_size"))
     rows = norm.select("doc_id", F.unhex(F.sha2("norm", 256)).alias("digest"))
