@@ -17,7 +17,7 @@ def op2_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(url_rules.RULES, "verdict string, host string, path string")
+    rules = spark.sql("SELECT * FROM VALUES " + ", ".join(str(r) for r in url_rules.RULES) + " AS rules(verdict, host, path)")
     return url_rules.judge(read_table(spark, sf_dir, "pages"), rules)
 
 
@@ -42,7 +42,7 @@ def op8_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_passages(read_table(spark, sf_dir, "documents"))
+    return substring_dedup.passage_digests(read_table(spark, sf_dir, "documents"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

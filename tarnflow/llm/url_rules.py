@@ -6,13 +6,16 @@ a blocked Bloom filter of the listed urls (one 256-bit block a url, eight bits i
 hits, an exact hash join on (host, path) removes the false positives, and the longest rule decides. What no
 rule fits is allowed, as the listed urls alone are judged.
 
-The filter has 32 bits a listed url; as a literal it is bounded by FILTER_URLS, and a longer list is joined
-by block instead. Candidates of one url are bounded by its own dots and the list's distinct path lengths, so
-a hot host is no hot key: rows carry their own number until the decision.
+The filter has 32 bits a listed url. Up to FILTER_URLS it is one array of words, built by Spark and read as a
+scalar subquery's value, so the plan's size doesn't depend on the list; a longer list is joined by block instead.
+Pages without a possible hit are answered where they are: only hits are exploded, joined and brought back together.
+Candidates of one url are bounded by its own dots and the list's distinct path lengths, so a hot host is no hot
+key: rows carry their own number until the decision.
 
 Defined cases: a null url, or one without `://`, has an empty host and path and no rule; an empty path
-fits no rule with a path; ports and user names count as part of the host; repeated rows are judged each.
-Extra columns are ignored.
+fits no rule with a path; ports and user names count as part of the host; a url is read whole however long it is;
+repeated rows are judged each; a rule listed twice counts once if its verdicts agree, else the greater verdict by
+name wins the tie; an empty table gives no rows and an empty list lets all pages through. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +27,9 @@ from pyspark.sql import functions as F
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 DEFAULT = "allow"
 WORDS, BITS = 4, 8
-FILTER_URLS = 100_000
+#: Listed urls up to which the filter (4 bytes a url) is one value and the list is broadcast.
+FILTER_URLS = 1_000_000
+_HALF = (1 << 56) - 1
 
 
 def host_of(url: Column) -> Column:
@@ -36,60 +41,83 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def _block(key: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+def _block(hashed: Column, blocks: int) -> Column:
+    return F.pmod(F.shiftrightunsigned(hashed, 24), F.lit(blocks)).cast("int")
 
 
-def _bit(key: Column, k: int) -> Column:
-    """The k-th bit of a url within its block of 64*WORDS."""
-    return F.pmod(F.shiftright(F.xxhash64(key, F.lit("bits")), 8 * k), F.lit(64 * WORDS)).cast("int")
+def _bit(hashed: Column, k: int) -> Column:
+    """The k-th bit of a url within its block of 64*WORDS, by double hashing."""
+    step = F.shiftrightunsigned(hashed, 8).bitwiseOR(F.lit(1))
+    return (hashed + step * F.lit(k)).bitwiseAND(F.lit(64 * WORDS - 1)).cast("int")
 
 
 def bloom_blocks(listed: DataFrame, blocks: int) -> DataFrame:
-    """(block, w0..w3) of the listed urls (url string)."""
-    key = F.col("url")
-    bits = listed.select(_block(key, blocks).alias("block"), F.explode(F.array(*[_bit(key, k) for k in range(BITS)])).alias("bit"))
+    """(block, words) of the listed urls (url string)."""
+    hashed = listed.select(F.xxhash64("url").bitwiseAND(F.lit(_HALF)).alias("h"))
+    bits = hashed.select(_block(F.col("h"), blocks).alias("block"), F.explode(F.array(*[_bit(F.col("h"), k) for k in range(BITS)])).alias("bit"))
     mask = lambda w: F.bit_or(F.when(F.floor(F.col("bit") / 64) == w, F.expr("shiftleft(1L, bit % 64)")).otherwise(F.lit(0).cast("long")))
-    return bits.groupBy("block").agg(*[mask(w).alias(f"w{w}") for w in range(WORDS)])
+    return bits.groupBy("block").agg(F.array(*[mask(w) for w in range(WORDS)]).alias("words"))
 
 
-def _passes(key: Column, words: list[Column]) -> Column:
-    """All bits of the url are set in its block's words."""
+def _filter_words(made: DataFrame, blocks: int) -> Column:
+    """All words of the filter in one array, for up to FILTER_URLS urls."""
+    every = made.sparkSession.range(blocks).select(F.col("id").cast("int").alias("block")).join(made, "block", "left")
+    none = F.array(*[F.lit(0).cast("long")] * WORDS)
+    rows = F.sort_array(F.collect_list(F.struct("block", F.coalesce("words", none).alias("words"))))
+    return every.agg(F.flatten(F.transform(rows, lambda r: r["words"])).alias("w")).scalar()
+
+
+def _passes(hashed: Column, words: Column, at: Column) -> Column:
+    """All bits of a url are set in its block's words, which begin behind place `at`."""
     out = F.lit(True)
     for k in range(BITS):
-        bit = _bit(key, k)
-        word = F.element_at(F.array(*words), (F.floor(bit / 64) + 1).cast("int"))
-        out = out & (F.getbit(word, bit % 64) == 1)
+        bit = _bit(hashed, k)
+        out = out & (F.getbit(F.element_at(words, at + F.shiftright(bit, 6) + 1), bit.bitwiseAND(F.lit(63))) == 1)
     return out
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once, which a plain column needn't be where plans are merged."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def candidates(host: Column, path: Column, lengths: list[int]) -> Column:
+    """Every suffix of the host at a dot with every prefix of the path of a listed length: host, newline, path."""
+    fit = F.filter(F.array(*[F.lit(x) for x in lengths]).cast("array<int>"), lambda x: x <= F.length(path))
+    starts = _let(path, lambda p: F.transform(fit, lambda x: F.concat(F.lit("\n"), F.substring(p, F.lit(1), x))))
+    suffixes = _let(host, lambda h: F.transform(F.sequence(F.lit(1), F.length(h) - F.length(F.replace(h, F.lit("."))) + 1), lambda i: F.call_function("substring_index", h, F.lit("."), -i)))
+    return _let(F.struct(suffixes.alias("hosts"), starts.alias("paths")), lambda r: F.flatten(F.transform(r["hosts"], lambda h: F.transform(r["paths"], lambda p: F.concat(h, p)))))
+
+
 def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFrame:
     """pages (page_id, url, ...) and rules (verdict, host, path) -> page_id, host, path, rule, verdict."""
     rules = rules.select(F.col("verdict").alias("rule_verdict"), F.col("host").alias("rule_host"), F.col("path").alias("rule_path"))
-    n = max(1, rules.count())
-    lengths = sorted(r[0] for r in rules.select(F.length("rule_path")).distinct().collect())  # distinct lengths of listed paths
+    key = F.concat("rule_host", F.lit("\n"), "rule_path")
+    listed = rules.groupBy(key.alias("key")).agg(F.first(F.concat("rule_host", "rule_path")).alias("rule"), F.max("rule_verdict").alias("rule_verdict"), F.first(F.length("rule_path")).alias("path_length"))
+    size = listed.agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("path_length")).alias("lengths")).first()  # distinct lengths of listed paths
+    n, lengths = max(1, size["n"]), size["lengths"]
+    listed = listed.drop("path_length")
     blocks = max(1, n * 32 // (64 * WORDS))
-    made = bloom_blocks(rules.select(F.concat("rule_host", F.lit("\n"), "rule_path").alias("url")), blocks)
-    rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("row", F.monotonically_increasing_id())
-    parts = F.split("host", r"\.")
-    # the host itself and what follows each of its dots
-    hosts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    paths = F.filter(F.transform(F.array(*[F.lit(x) for x in lengths] or [F.lit(0)]), lambda x: F.when(x <= F.length("path"), F.col("path").substr(F.lit(1), x))), lambda p: p.isNotNull())
-    keys = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, F.lit("\n"), p))))
+    made = bloom_blocks(listed.select(F.col("key").alias("url")), blocks)
+    rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    keys = candidates(F.col("host"), F.col("path"), lengths)
     if n <= FILTER_URLS:
-        table = {r["block"]: r for r in made.collect()}  # bounded by FILTER_URLS
-        flat = F.array(*[F.lit(table[b][f"w{w}"] if b in table else 0).cast("long") for b in range(blocks) for w in range(WORDS)])
-        word = lambda key, w: F.element_at(flat, _block(key, blocks) * WORDS + (w + 1))
-        hits = F.filter(keys, lambda key: _passes(key, [word(key, w) for w in range(WORDS)]))
-        probed = rows.select("*", F.explode_outer(hits).alias("key"))
+        found = F.transform(keys, lambda k: F.struct(k.alias("key"), F.xxhash64(k).bitwiseAND(F.lit(_HALF)).alias("h")))
+        # the filter's one value is a column, as a lambda can't hold a subquery
+        hits = _let(F.col("words"), lambda w: F.transform(F.filter(found, lambda x: _passes(x["h"], w, _block(x["h"], blocks) * WORDS)), lambda x: x["key"]))
+        judged = rows.withColumn("words", _filter_words(made, blocks)).withColumn("hits", hits).drop("words")
+        missed = judged.where(F.size("hits") == 0).select("page_id", "host", "path")
+        # exploded with the empty ones and cut behind that, as a cut before would compute the hits again
+        probed = judged.withColumn("row", F.monotonically_increasing_id()).select("row", "page_id", "host", "path", F.explode_outer("hits").alias("key")).where("key is not null")
     else:
-        every = rows.select("*", F.explode_outer(keys).alias("key")).withColumn("block", _block(F.col("key"), blocks)).join(made, "block", "left")
-        probed = every.withColumn("key", F.when(_passes(F.col("key"), [F.col(f"w{w}") for w in range(WORDS)]), F.col("key"))).drop("block")
-    listed = rules.select(F.concat("rule_host", F.lit("\n"), "rule_path").alias("key"), F.concat("rule_host", "rule_path").alias("rule"), "rule_verdict")
+        every = rows.withColumn("row", F.monotonically_increasing_id()).select("*", F.explode_outer(keys).alias("key")).withColumn("h", F.xxhash64("key").bitwiseAND(F.lit(_HALF))).withColumn("block", _block(F.col("h"), blocks))
+        probed = every.join(made, "block", "left").withColumn("key", F.when(_passes(F.col("h"), F.col("words"), F.lit(0)), F.col("key"))).drop("block", "words", "h")
+        missed = None
     joined = probed.join(F.broadcast(listed) if n <= FILTER_URLS else listed, "key", "left")
     best = F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), "rule", F.col("rule_verdict").alias("verdict"))))
     won = joined.groupBy("row", "page_id", "host", "path").agg(best.alias("best"))
-    return won.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    out = won.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    return out if missed is None else out.unionByName(missed.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default)))
 
 
 ORACLE_SQL = r"""
