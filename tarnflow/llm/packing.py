@@ -3,16 +3,20 @@
 Documents are cut into pieces only where they are longer than a sequence. Pieces are dealt by hash to
 shards of a bounded number of pieces. Each shard is evolved on several islands: an individual is a set of
 bins; crossover injects whole well-filled bins of one parent into another, removes the bins that repeat
-an injected piece, and best-fits the displaced pieces, largest first. Between rounds each island's elite
-moves to the next island of its ring. A shard stops once it meets its lower bound. Shards cost at most
-about one bin each, which their size makes small.
+an injected piece, and puts the displaced pieces back; mutation empties the least filled bin and a few others.
+Displaced pieces first take the place of smaller ones where they fill a bin better, and what is left is
+best-fitted, largest first. Between rounds each island's elite moves to the next island of its ring. A shard stops
+once it meets its lower bound. Shards cost at most about one bin each, which their size makes small.
 
 Defined cases: null text is empty and has only the end id; rows that repeat a doc_id are packed each;
-a null doc_id is packed and returned as null. Extra columns are ignored; an empty table has no pieces.
+a null doc_id is packed and returned as null; a text is encoded whole however long it is, by one task; pieces of
+equal length tie by their number in the table of pieces. Extra columns are ignored; an empty table has no pieces.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import random
 import zlib
 from collections.abc import Iterator
@@ -23,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, small_batches, tidy
+from .common import discard, materialize, settled, tidy
 from .tokens import encoder, vocabulary_path, with_end
 
 LENGTH = 2048
 #: Pieces of a shard on average; islands of a shard; rounds between migrations; children a round.
-SHARD, ISLANDS, ROUNDS, CHILDREN, POPULATION = 4096, 2, 3, 6, 4
+SHARD, ISLANDS, ROUNDS, CHILDREN, POPULATION = 4096, 2, 3, 8, 4
+#: Share of children by mutation; most bins that one empties; bins of at most so many pieces give two for one.
+MUTATED, EMPTIED, PAIRED = 0.6, 8, 12
 
 
 def cut_pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFrame:
@@ -47,7 +53,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFr
             crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip((offsets[row] + start).tolist(), (offsets[row] + start + size).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(size), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(of), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(of, 700), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class Packing:
@@ -108,27 +114,78 @@ class Packing:
         return self
 
 
+def exchange(packing: Packing, loose: list[int]) -> list[int]:
+    """Loose pieces go where a bin has room, or in place of one or two smaller pieces of a bin that they fill
+    better; returns the pieces that are loose then. Every step fills a bin further, so it ends."""
+    sizes = packing.sizes
+    loose = sorted(loose, key=lambda i: sizes[i])
+    key = [sizes[i] for i in loose]
+    moved = True
+    while moved and loose:
+        moved = False
+        for b, room in enumerate(packing.free):
+            while room and loose:
+                items = packing.bins[b]
+                gain, out, at = 0, (), -1
+                pairs = itertools.combinations(items, 2) if len(items) <= PAIRED else ()
+                for given in itertools.chain(((),), ((i,) for i in items), pairs):
+                    size = sum(sizes[i] for i in given)
+                    k = bisect.bisect_right(key, size + room) - 1
+                    if k >= 0 and key[k] - size > gain:
+                        gain, out, at = key[k] - size, given, k
+                if not gain:
+                    break
+                packing.bins[b] = [i for i in items if i not in out] + [loose.pop(at)]
+                key.pop(at)
+                for i in out:
+                    k = bisect.bisect_left(key, sizes[i])
+                    key.insert(k, sizes[i])
+                    loose.insert(k, i)
+                room -= gain
+                packing.free[b] = room
+                moved = True
+    return loose
+
+
+def refill(packing: Packing, loose: list[int], rng: random.Random) -> Packing:
+    left = exchange(packing, loose)
+    return packing.best_fit(sorted(left, key=lambda i: (-packing.sizes[i], rng.random())))
+
+
+def without(packing: Packing, gone: set[int], taken: bytearray | None = None) -> tuple[Packing, list[int]]:
+    """A copy without the bins gone, and their pieces but for those that are taken."""
+    left, loose = Packing(packing.sizes, packing.capacity), []
+    for b, items in enumerate(packing.bins):
+        if b in gone:
+            loose += [i for i in items if not (taken and taken[i])]
+        else:
+            left.bins.append(list(items))
+            left.free.append(packing.free[b])
+    return left, loose
+
+
 def crossover(giver: Packing, taker: Packing, rng: random.Random) -> Packing:
-    """Injects well-filled bins of the giver; the taker's bins that repeat a piece go, their rest is refitted."""
-    ranked = sorted(range(len(giver.bins)), key=lambda b: giver.free[b])
-    chosen = [b for b in ranked[: max(1, len(ranked) // 2)] if rng.random() < 0.6] or ranked[:1]
-    child = Packing(giver.sizes, giver.capacity)
+    """Injects bins of the giver, the fuller the likelier; the taker's bins that repeat a piece and its worst go,
+    and their other pieces are put back."""
+    capacity = giver.capacity
+    chosen = [b for b, room in enumerate(giver.free) if rng.random() < 0.5 * (1 - room / capacity) ** 16]
     taken = bytearray(len(giver.sizes))
     for b in chosen:
-        child.bins.append(list(giver.bins[b]))
-        child.free.append(giver.free[b])
         for i in giver.bins[b]:
             taken[i] = 1
-    loose = []
-    worst = set(sorted(range(len(taker.bins)), key=lambda b: -taker.free[b])[: max(1, len(taker.bins) // 50)])
-    for b, items in enumerate(taker.bins):
-        if b in worst or any(taken[i] for i in items):
-            loose += [i for i in items if not taken[i]]
-        else:
-            child.bins.append(list(items))
-            child.free.append(taker.free[b])
-    loose.sort(key=lambda i: (-giver.sizes[i], rng.random()))
-    return child.best_fit(loose)
+    worst = max(range(len(taker.bins)), key=lambda b: taker.free[b])
+    child, loose = without(taker, {b for b, items in enumerate(taker.bins) if b == worst or any(taken[i] for i in items)}, taken)
+    child.bins += [list(giver.bins[b]) for b in chosen]
+    child.free += [giver.free[b] for b in chosen]
+    return refill(child, loose, rng)
+
+
+def mutation(parent: Packing, rng: random.Random) -> Packing:
+    """Empties the least filled bin and a few others and puts their pieces back."""
+    n = len(parent.bins)
+    worst = max(range(n), key=lambda b: parent.free[b])
+    child, loose = without(parent, {worst, *rng.sample(range(n), min(n, rng.randint(1, EMPTIED)))})
+    return refill(child, loose, rng)
 
 
 def lower_bound(sizes: list[int], capacity: int) -> int:
@@ -152,10 +209,13 @@ def evolve(sizes: list[int], capacity: int, population: list[Packing], bound: in
     for _ in range(children):
         if len(population[0].bins) <= bound or len(population) < 2:
             break
-        a, b = rng.sample(range(len(population)), 2)
-        child = crossover(population[min(a, b)], population[max(a, b)], rng)
-        if child.score() < population[-1].score():
-            population[-1] = child
+        a, b = sorted(rng.sample(range(len(population)), 2))
+        if rng.random() < MUTATED:
+            child, rival = mutation(population[a], rng), a  # as good as its parent: takes its place
+        else:
+            child, rival = crossover(population[a], population[b], rng), len(population) - 1
+        if child.score() <= population[rival].score():
+            population[rival] = child
             population.sort(key=Packing.score)
     return population
 
@@ -170,7 +230,7 @@ def _seeded(sizes: list[int], capacity: int, rng: random.Random, n: int, bound:
 
 
 def _canonical(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
+    return pdf.sort_values(["length", "item"], ascending=[False, True], kind="stable", ignore_index=True)
 
 
 def _shard(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -220,13 +280,15 @@ def _placed(items: pd.DataFrame, best: pd.DataFrame) -> pd.DataFrame:
     return out[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
 
 
+@settled("packed")
 def pack(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
-    small_batches(spark, 700)
-    items = materialize(cut_pieces(docs, vocabulary or vocabulary_path("word_bpe_49k.json"), length), "pieces")
+    cut = cut_pieces(docs, vocabulary or vocabulary_path("word_bpe_49k.json"), length)
+    # dealt by a number that is written with the piece, so that equal rows are spread like any others
+    items = materialize(cut.withColumn("item", F.monotonically_increasing_id()), "pieces")
     shards = max(1, -(-items.count() // SHARD))
-    dealt = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(shards)))
     whole = "shard long, island int, sizes binary, population binary, elite binary, bins int, bound int"
     now = dealt.groupBy("shard").applyInPandas(_shard, "shard long, sizes binary").withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))))
     now = materialize(now.repartition(max(1, min(shards * ISLANDS, 4 * spark.sparkContext.defaultParallelism)), "shard", "island").mapInPandas(_island(length, 0), whole), "islands")
