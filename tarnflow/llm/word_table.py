@@ -1,19 +1,23 @@
 """BPE ids by a table of distinct words, and decoding through the id-to-piece table.
 
-1. A scan cuts each input split into words and folds them: a split's distinct words leave it once,
-   grouped by word hash, sorted and compressed, one row for each split and word group.
-2. In each word group every distinct word is encoded once by the library; the ids go back to the splits
-   that asked, so a frequent word costs a row a split and no more.
-3. The answers are laid out by split in the shared folder. A second scan joins them to its words by
-   position; ids become text through the vocabulary's pieces (a table of fixed size, held by each worker)
-   as the library decodes: the pieces joined by one space.
+1. Spark splits every text into its words; within each input split they are folded, so a split's distinct
+   words leave it once, grouped by word hash, sorted and compressed, one row for each split and word group.
+2. Word groups are as many as the bytes of text ask for, so a group stays small however large the corpus is. In
+   its group every distinct word is encoded exactly once by the library; the ids go back to the splits that
+   asked, so a frequent word costs a row a split and no more.
+3. The answers are laid out by split in the shared folder, one file a split. A second scan joins them to its words
+   by position: a shuffle of every word's place would move the corpus several times over, while a split's answers
+   are a small table that its task reads. Ids become text by a join of the distinct words' ids with the
+   vocabulary's pieces, a table of fixed size that each worker holds, as the library decodes: the pieces joined
+   by one space.
 
 A word that isn't in its split's answers (a split cut anew by another plan) is encoded on the spot, so the
 result never depends on the cut. Texts that hold special tokens' text need no care: a special token has no
 white space and so lies within one word.
 
-Defined cases: null text is empty: no ids, empty decoded text; repeated rows are returned each; a null
-doc_id is returned as null. Extra columns are ignored.
+Defined cases: null text is empty: no ids, empty decoded text; a text is read whole however long it is, by one
+task; repeated rows are returned each; a null doc_id is returned as null; an empty table gives no rows. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,11 +34,11 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_words, hash_words, materialize, scratch, small_batches, tidy
+from .common import WHITE_SPACE, hash_words, materialize, settled, tidy, working_folder
 from .tokens import encode_units, tokenizer, vocabulary_path
 
-#: Words that a task holds before it sends them; words of a group that are remembered.
-HELD, REMEMBERED = 600_000, 200_000
+#: Words that a task holds before it sends them; bytes of text for each word group.
+HELD, GROUP_BYTES = 600_000, 8 << 20
 
 
 def _packed(data: bytes) -> bytes:
@@ -49,6 +53,17 @@ def _unpacked(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def _split_words(text: str):
+    """The words of a text column; null has none."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), WHITE_SPACE), lambda w: w != "")
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Offsets from 0 and the words of a column of lists."""
+    offsets = np.asarray(lists.offsets).astype(np.int64)
+    return offsets - offsets[0], lists.flatten()
+
+
 def _asked(groups: int):
     """(split, word_group, words): sorted distinct words of a split, newline-joined and compressed."""
 
@@ -71,8 +86,8 @@ def _asked(groups: int):
                     if held:
                         yield from out()
                     split, held = s, []
-                texts = batch.column("text")
-                words = flat_words(texts if len(set(ids.tolist())) == 1 else texts.filter(pa.array(ids == s)))[1]
+                lists = batch.column("words")
+                words = _flat(lists if len(set(ids.tolist())) == 1 else lists.filter(pa.array(ids == s)))[1]
                 if len(words):
                     held.append(words.unique())
                     if len(held) > 8:
@@ -88,13 +103,14 @@ def _answered(vocabulary: str):
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, bytes] = {}
+        at = None
         for batch in batches:
             sizes, ids = [], []
-            for blob in batch.column("words").to_pylist():
+            for group, blob in zip(batch.column("word_group").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                if group != at:
+                    at, known = group, {}
                 words = _unpacked(blob).decode().split("\n")
                 fresh = [w for w in words if w not in known]
-                if len(known) + len(fresh) > REMEMBERED:
-                    known = {w: known[w] for w in words if w in known}
                 known.update(zip(fresh, encode_units(vocabulary, fresh), strict=True))
                 got = [known[w] for w in words]
                 sizes.append(_packed(np.fromiter((len(g) >> 2 for g in got), np.uint32, len(got)).tobytes()))
@@ -158,7 +174,7 @@ def _digests(vocabulary: str, folder: str):
                 if s != split:
                     split, answers = s, _Answers(vocabulary, folder, s)
                 part = batch.filter(pa.array(ids == s))
-                offsets, words = flat_words(part.column("text"))
+                offsets, words = _flat(part.column("words"))
                 coded = words.dictionary_encode()
                 sizes, digits, pieces = answers.of(coded.dictionary)
                 # a word without ids (it was all combining or white space) leaves no gap
@@ -176,19 +192,20 @@ def _digests(vocabulary: str, folder: str):
     return of
 
 
+@settled("word-digests")
 def word_table_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_tokens, ids_sha256, decoded_sha256."""
     spark = docs.sparkSession
     vocabulary = vocabulary or vocabulary_path("word_bpe_49k.json")
-    small_batches(spark)
-    named = docs.select("doc_id", "text", F.input_file_name().alias("f"), F.input_file_block_start().alias("b"))
+    docs = docs.select("doc_id", "text")
     if not docs.inputFiles():  # a derived table has no splits that two scans share
-        docs = materialize(docs.select("doc_id", "text"), "words-docs")
-        named = docs.select("doc_id", "text", F.input_file_name().alias("f"), F.input_file_block_start().alias("b"))
-    rows = named.select("doc_id", "text", F.xxhash64("f", "b").alias("split"))
-    groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asked = rows.select("text", "split").mapInArrow(tidy(_asked(groups)), "split long, word_group int, words binary")
-    answered = asked.repartition("word_group").mapInArrow(tidy(_answered(vocabulary)), "split long, words binary, sizes binary, ids binary")
-    folder = scratch(spark, "words")
-    answered.repartition("split").write.partitionBy("split").option("compression", "none").parquet(folder)
+        docs = materialize(docs, "words-docs")
+    split = F.xxhash64(F.input_file_name(), F.input_file_block_start())
+    rows = docs.select("doc_id", _split_words("text").alias("words"), split.alias("split"))
+    groups = max(spark.sparkContext.defaultParallelism, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // GROUP_BYTES))
+    asked = rows.select("words", "split").mapInArrow(tidy(_asked(groups)), "split long, word_group int, words binary")
+    # as many tasks as groups: none grows with the corpus
+    answered = asked.repartition(groups, "word_group").sortWithinPartitions("word_group").mapInArrow(tidy(_answered(vocabulary)), "split long, words binary, sizes binary, ids binary")
+    folder = working_folder(spark, "words")
+    answered.repartition(groups, "split").write.partitionBy("split").option("compression", "none").parquet(folder)
     return rows.mapInArrow(tidy(_digests(vocabulary, folder)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
