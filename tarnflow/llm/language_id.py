@@ -12,7 +12,9 @@ least distance among 200 draws of a fixed seed.
 
 Defined cases: null or letterless text gives `und`, score 0, not ambiguous; with no training rows every
 row is `und`; null lang and null doc_id rows don't train (a null doc_id isn't held out); rows that repeat
-count each time. lang, source and doc_id are no inputs of a prediction.
+count each time; a text is read whole however long it is, in pieces of CHUNK letters; of languages that tie the
+first by name wins; an empty table gives no rows; more than MOST_LANGS distinct values of lang are refused.
+lang, source and doc_id are no inputs of a prediction. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,11 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, tidy
+from ..session import ship
+from .common import tidy
 
 #: Buckets of each order of n-gram; orders; letters of a text handled at once.
 BUCKETS, ORDERS, CHUNK = 1 << 14, (2, 3), 1 << 20
 SMOOTH = 0.5
+#: Languages that a model may have: each costs the driver and every worker 262 KB of sums and log odds a bit.
+MOST_LANGS = 256
 #: Slope of the margin in the loss, and the least lead over the second codeword.
 SLOPE, LEAD = 8.0, 0.02
 _MIX = np.uint32(0x9E3779B1)
@@ -166,10 +171,13 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame) -> Model:
+def train(docs: DataFrame, most: int = MOST_LANGS) -> Model:
     """Learns from all rows of docs (doc_id, text, lang, ...) that aren't held out and have a lang."""
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    langs = rows.select("lang").distinct().limit(most + 1).count()
+    if langs > most:
+        raise ValueError(f"more than {most} languages to learn")
     sums = rows.select("lang", "text").mapInArrow(tidy(_counted), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = sums.toArrow()
     lang, bucket, n = np.array(got["lang"].to_pylist(), object), np.asarray(got["bucket"]), np.asarray(got["n"])
@@ -184,7 +192,7 @@ def train(docs: DataFrame) -> Model:
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, held_out, lang_pred, score, ambiguous, and the kept columns."""
     spark = docs.sparkSession
-    small_batches(spark)
+    ship(spark)
     shared = spark.sparkContext.broadcast(model)  # languages x buckets, a bounded size
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

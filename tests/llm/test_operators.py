@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import types as T
 
-from tarnflow.llm import embed_dedup, exact_dedup, language_id, minhash_dedup, packing, queries, substring_dedup, token_planes, tokens, url_rules, warc, word_table
+from tarnflow.llm import common, embed_dedup, exact_dedup, language_id, minhash_dedup, packing, queries, substring_dedup, token_planes, tokens, url_rules, warc, word_table
 from tarnflow.llm.components import connected_components
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("sig", T.StringType()), T.StructField("start", T.LongType())])
@@ -90,6 +90,17 @@ def test_trie_spills_and_splits(tmp_path):
     assert not list(tmp_path.iterdir())
 
 
+def test_trie_of_prefixes(tmp_path):
+    """Strings that are each other's prefixes, far over the budget, and one string over it by itself."""
+    trie = exact_dedup.PatriciaTrie(20_000, f"file://{tmp_path}")
+    keys = [b"a" * i for i in range(1500)] + [b"b" * 50_000] * 3
+    for i, k in enumerate(keys):
+        trie.insert(k, i)
+        trie.insert(k, i + 1)
+    assert {k: (a, b) for k, a, b in trie.entries()} == {**{b"a" * i: (i, 2) for i in range(1500)}, b"b" * 50_000: (1500, 6)}
+    assert not list(tmp_path.iterdir())
+
+
 def shingles(text):
     words = WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
@@ -135,6 +146,47 @@ def test_minhash_chain_and_residual(spark, monkeypatch):
     assert got == sorted(comp.items(), key=repr)
 
 
+def brute_components(rows):
+    sets = [(a, shingles(t)) for a, t in rows]
+    links = [(a, b) for a, x in sets for b, y in sets if a < b and x and 100 * len(x & y) >= 75 * len(x | y)]
+    return sorted(least_reachable([a for a, _ in rows], links).items(), key=repr)
+
+
+def test_minhash_few_long_texts(spark):
+    """Texts over a tile's bytes, alike but not enough to link, whose blocks leave a tile with one side; and one
+    that does link."""
+    word = [f"shared word {i % 9973} of many {i}" for i in range(60_000)]
+    rows = []
+    for i, share in ((0, 0.0), (1, 0.176), (6, 0.176), (9, 0.02)):
+        own = int(len(word) * share)
+        rows.append((i, " ".join(word[own:] + [f"own {i} {k} text of its own" for k in range(own)])))
+    assert sum(len(t) for _, t in rows) > minhash_dedup.BLOCK_BYTES // 4
+    assert result(minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)), "doc_id", "component_id") == brute_components(rows)
+
+
+@pytest.mark.parametrize("size", [60, 3000])
+def test_minhash_tiny_blocks_of_bytes(spark, monkeypatch, size):
+    """Blocks by bytes leave many of them empty: tiles with one side hold no pair."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(minhash_dedup, "TASK_ROWS", 3)
+    rng, rows = np.random.default_rng(2), []
+    base = [f"b{i}" for i in range(size)]
+    for i in range(12):
+        w = list(base)
+        for p in rng.integers(0, size, size // 28):
+            w[p] = f"x{rng.integers(0, 10**6)}"
+        rows.append((int(i * 3 % 13), " ".join(w)))
+    assert result(minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "component_id") == brute_components(rows)
+
+
+def test_common_counts():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (0, 1, 20, 50, 0, 90)]
+    want = [[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets]
+    assert minhash_dedup.common_counts(sets, sets).tolist() == want
+    assert minhash_dedup.common_counts(sets[:2], sets[:1]).tolist() == [[0], [0]]
+
+
 def passages(rows, window=50):
     first = {}
     words = [(i, WORDS.findall(t or "")) for i, t in rows]
@@ -264,17 +316,44 @@ def test_packing(request, table):
         assert len(bins) <= packing.lower_bound(sizes, 2048) + 1
 
 
-def test_genetic_packing_improves():
+def triplets(n, capacity, seed):
+    """Pieces that fit n bins exactly, three to a bin, which best fit decreasing doesn't find."""
+    import random
+
+    rng, sizes = random.Random(seed), []
+    for _ in range(n):
+        a, b = rng.randint(capacity * 27 // 100, capacity * 40 // 100), rng.randint(capacity * 27 // 100, capacity * 40 // 100)
+        sizes += [a, b, capacity - a - b]
+    return sorted(sizes, reverse=True)
+
+
+@pytest.mark.parametrize("step", [packing.mutation, packing.crossover])
+def test_genetic_packing_beats_best_fit(step, monkeypatch):
+    """Evolution, by mutation alone and by crossover alone, needs strictly fewer bins than best fit decreasing."""
     import random
 
-    rng = random.Random(2)
-    sizes = [rng.randint(300, 1100) for _ in range(300)]
-    start = packing._seeded(sizes, 2048, rng, 4, packing.lower_bound(sizes, 2048))
-    before = len(min(start, key=packing.Packing.score).bins)
-    end = packing.evolve(sizes, 2048, start, packing.lower_bound(sizes, 2048), rng, 60)[0]
-    assert len(end.bins) <= before
-    assert sorted(i for b in end.bins for i in b) == list(range(300))
-    assert all(sum(sizes[i] for i in b) + r == 2048 and r >= 0 for b, r in zip(end.bins, end.free, strict=True))
+    monkeypatch.setattr(packing, "MUTATED", 1.0 if step is packing.mutation else 0.0)
+    for seed in range(3):
+        sizes = triplets(60, 1000, seed)
+        rng, bound = random.Random(seed), packing.lower_bound(sizes, 1000)
+        start = packing._seeded(sizes, 1000, rng, 4, bound)
+        plain = len(packing.Packing(sizes, 1000).best_fit(list(range(len(sizes)))).bins)
+        end = packing.evolve(sizes, 1000, start, bound, rng, 60)[0]
+        assert bound <= len(end.bins) < plain and len(end.bins) < min(plain, 64)
+        assert sorted(i for b in end.bins for i in b) == list(range(180))
+        assert all(sum(sizes[i] for i in b) + r == 1000 and r >= 0 for b, r in zip(end.bins, end.free, strict=True))
+
+
+def test_packing_islands_and_equal_rows(spark, monkeypatch):
+    """Islands over Spark beat best fit as well, and rows that are all equal are spread over the shards."""
+    sizes = triplets(60, 100, 3)
+    rows = [(i, " ".join(["a"] * (n - 1))) for i, n in enumerate(sizes)]  # a word is an id, and the end's
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), length=100).collect()
+    assert sorted(r.length for r in got) == sorted(sizes)
+    assert len({r.sequence_id for r in got}) < len(packing.Packing(sizes, 100).best_fit(list(range(180))).bins)
+    monkeypatch.setattr(packing, "SHARD", 50)
+    got = packing.pack(spark.createDataFrame([(7, "same text")] * 400, "doc_id long, text string")).collect()
+    assert len(got) == 400 and len({r.sequence_id >> 24 for r in got}) == 8
 
 
 def test_language_id(request, spark, docs, edge, empty):
@@ -292,6 +371,64 @@ def test_language_id(request, spark, docs, edge, empty):
     assert {r.lang_pred for r in language_id.predict(edge, language_id.train(empty)).collect()} == {"und"}
 
 
+def brute_language(text, counts):
+    """The same decision letter by letter: n-gram counts of each language, one classifier a codeword bit, loss by bit."""
+    import math
+
+    size, langs = language_id.BUCKETS, sorted(counts)
+    codes = language_id.code_matrix(len(langs))
+
+    def grams(t):
+        c = [x if x.isalpha() else "\0" for x in f" {t.lower()} "]
+        c = [x for k, x in enumerate(c) if not k or x != "\0" or c[k - 1] != "\0"]
+        for k, n in enumerate(language_id.ORDERS):
+            for a in range(len(c) - n + 1):
+                h = 0
+                for x in c[a : a + n]:
+                    h = ((h ^ (0 if x == "\0" else ord(x))) * 0x9E3779B1) & 0xFFFFFFFF
+                    h ^= h >> 15
+                yield (h >> 3) % size + k * size
+
+    if not any(x.isalpha() for x in text or ""):
+        return "und", 0.0
+    p = {}
+    for x in langs:
+        total = [language_id.SMOOTH] * (size * len(language_id.ORDERS))
+        for t in counts[x]:
+            for g in grams(t):
+                total[g] += 1
+        whole = sum(total)
+        p[x] = [v / whole for v in total]
+    found = list(grams(text))
+    margin, weight = [], []
+    for b in range(codes.shape[1]):
+        sides = [[p[x] for k, x in enumerate(langs) if codes[k, b] * s > 0] for s in (1, -1)]
+        up, down = ([sum(v) / len(side) for v in zip(*side, strict=True)] for side in sides)
+        odds = [math.log(u / d) for u, d in zip(up, down, strict=True)]
+        margin.append(sum(odds[g] for g in found) / len(found))
+        weight.append(sum((u - d) * w for u, d, w in zip(up, down, odds, strict=True)))
+    mean = sum(weight) / len(weight)
+    loss = [sum(math.log1p(math.exp(-language_id.SLOPE * m * codes[k, b])) * weight[b] / mean for b, m in enumerate(margin)) for k in range(len(langs))]
+    return langs[loss.index(min(loss))], 1 / sum(math.exp(min(loss) - x) for x in loss)
+
+
+def test_language_id_equals_brute_force(spark):
+    said = {"en": ["the cat sat on the mat", "where is the house of the king"], "de": ["die Katze sa\u00df auf der Matte", "wo ist das Haus"], "fr": ["le chat est sur le tapis", "o\u00f9 est la maison du roi"], "es": ["el gato est\u00e1 en la alfombra", "\u00bfd\u00f3nde est\u00e1 la casa?"]}
+    rows = [(i, t, x) for x, ts in said.items() for i, t in enumerate(ts * 3)]
+    asked = [(100 + i, t, None) for i, t in enumerate(["the house", "das Haus der Katze", "la maison", "la casa del gato est\u00e1 aqu\u00ed", "12 !", None, "", "Der the LE el", "long " * 60])]
+    kept = lambda i: zlib.crc32(str(i).encode()) % 5 != 0
+    counts = {x: [t for i, t, y in rows if y == x and kept(i)] for x in said}
+    schema = "doc_id long, text string, lang string"
+    model = language_id.train(spark.createDataFrame(rows, schema))
+    got = {r.doc_id: r for r in language_id.predict(spark.createDataFrame(asked, schema), model).collect()}
+    for i, t, _ in asked:
+        lang, score = brute_language(t, counts)
+        assert got[i].lang_pred == lang and abs(got[i].score - score) < 1e-3
+    assert [got[i].lang_pred for i in (104, 105, 106)] == ["und"] * 3
+    with pytest.raises(ValueError, match="languages"):
+        language_id.train(spark.createDataFrame(rows, schema), most=3)
+
+
 @pytest.mark.parametrize("n", [2, 3, 4, 5, 9, 20])
 def test_codewords(n):
     m = language_id.code_matrix(n)
@@ -303,7 +440,7 @@ def brute_vectors(rows, cosine=0.93):
     def unit(e):
         if e is None or not len(e) or any(x is None or not np.isfinite(x) for x in e) or not any(e):
             return None
-        return np.array(e, np.float32).astype(float)
+        return np.array(e, float) / np.abs(e).max()
 
     one = {}
     for i, e, label in rows:
@@ -318,16 +455,19 @@ def brute_vectors(rows, cosine=0.93):
     return sorted(((i, count[i], comp[i], i == comp[i]) for i in one), key=repr)
 
 
-@pytest.mark.parametrize("tile", [4096, 8, 40])
-def test_embeddings(spark, monkeypatch, tile):
-    if tile != 4096:
-        monkeypatch.setattr(embed_dedup, "TILE", tile)
+@pytest.mark.parametrize(("tile", "whole", "grid"), [(4096, 65_536, (10**6, 10**7)), (8, 65_536, (10**6, 10**7)), (8, 5, (10**6, 10**7)), (40, 5, (8, 10**7)), (8, 5, (8, 20))])
+def test_embeddings(spark, monkeypatch, tile, whole, grid):
+    """One cell a label in one tile and in many, and cells of one, two and three coordinates."""
+    for name, value in (("TILE", tile), ("WHOLE", whole), ("GRID", grid)):
+        monkeypatch.setattr(embed_dedup, name, value)
+    monkeypatch.setattr(embed_dedup, "RUN", 7)
     rng = np.random.default_rng(4)
     rows = []
     for k in range(30):
         center = rng.standard_normal(16)
         for _ in range(rng.integers(1, 9)):
             rows.append((len(rows) * 7 % 1009, (center + 0.25 * rng.standard_normal(16)).astype(np.float32).tolist(), int(k % 3)))
+    rows += [(3000 + i, rows[3][1], rows[3][2]) for i in range(20)]  # copies of one vector
     rows += [(2001, None, 1), (2002, [], 1), (2003, [0.0] * 16, 1), (2004, [float("nan")] * 16, 1), (2005, [1.0, None] * 8, 1), (2006, rows[0][1], None), (2007, [1.0] * 8, 0), (2008, [2.0] * 8, 0), (2009, [float("inf")] * 16, 1), rows[0]]
     schema = "vec_id long, embedding array<float>, label int, block int"
     df = spark.createDataFrame([(*r, 5) for r in rows], schema)
@@ -335,6 +475,16 @@ def test_embeddings(spark, monkeypatch, tile):
     assert embed_dedup.near_duplicate_vectors(df.where("false")).count() == 0
 
 
+def test_embeddings_of_doubles(spark):
+    """Compared as given: a pair just above the threshold and one just below it, and numbers beyond floats."""
+    def pair(cosine):
+        return [1.0, 0.0, 0.0, 0.0], [cosine, (1 - cosine * cosine) ** 0.5, 0.0, 0.0]
+
+    rows = [(2 * k + i, [x * scale for x in v], k) for k, (c, scale) in enumerate([(0.93 + 1e-9, 1.0), (0.93 - 1e-9, 1.0), (0.95, 1e300), (0.95, 1e-300)]) for i, v in enumerate(pair(c))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert [r[1] for r in result(embed_dedup.near_duplicate_vectors(df), "vec_id", "n_links")] == [1, 1, 0, 0, 1, 1, 1, 1]
+
+
 PAGES = "page_id long, url string, html string, digest string, owner long"
 
 
@@ -369,6 +519,12 @@ def test_urls(spark, monkeypatch):
     rules = spark.createDataFrame(url_rules.RULES, "verdict string, host string, path string")
     want = sorted(((i % 5, *judged(u)) for i, u in enumerate(urls + urls)), key=repr)
     assert result(url_rules.judge(df, rules), "page_id", "host", "path", "rule", "verdict") == want
+    many = spark.sql("SELECT 'block' AS verdict, concat('h', id, '.listed.org') AS host, concat('/', id % 7) AS path FROM range(3000)").unionByName(rules).unionByName(rules)
+    assert result(url_rules.judge(df, many), "page_id", "host", "path", "rule", "verdict") == want
+    hit = spark.createDataFrame([(1, "http://a.h12.listed.org/5/x", ""), (2, "http://h12.listed.org/4", "")], "page_id long, url string, host string")
+    assert result(url_rules.judge(hit, many), "page_id", "rule", "verdict") == [(1, "h12.listed.org/5", "block"), (2, None, "allow")]
+    long = "http://" + ".".join(["a"] * 300) + ".net/" + "p" * 10**6
+    assert result(url_rules.judge(spark.createDataFrame([(1, long, "")], "page_id long, url string, host string"), rules), "rule", "verdict") == [("net/", "block")]
     monkeypatch.setattr(url_rules, "FILTER_URLS", 0)
     assert result(url_rules.judge(df, rules), "page_id", "host", "path", "rule", "verdict") == want
     assert url_rules.judge(df.where("false"), rules).count() == 0
@@ -385,6 +541,58 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_tables_between_steps_go(spark):
+    """An operator leaves its result behind and nothing else, also where it fails."""
+    import os
+
+    folder = common.shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+
+    @common.settled("kept")
+    def operator(df):
+        common.materialize(df, "first")
+        second = common.materialize(inner(df), "second")
+        return second if df.columns == ["id"] else second.select("none")
+
+    @common.settled("inner")
+    def inner(df):
+        common.materialize(df, "third")
+        return df
+
+    out = operator(spark.range(5))
+    assert out.count() == 5 and {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before} == {"kept"}
+    common.discard(out)
+    with pytest.raises(Exception, match="none"):
+        operator(spark.range(5).withColumnRenamed("id", "x"))
+    assert set(os.listdir(folder)) == before
+    assert spark.conf.get(common._CLEANUP) == "false"
+
+
+def test_shared_folder_is_no_local_one_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        common.shared_folder(Session())
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_by_id_keeps_rows_with_null_keys(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "BROADCAST_IDS", most)
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (None, None)], "doc_id long, text string")
+    ids = spark.createDataFrame([(1, 7), (None, 8)], "doc_id long, owner long")
+    rows = lambda how, x: sorted(map(tuple, common.by_id(left, x, "doc_id", how).collect()), key=repr)
+    assert rows("left", ids) == sorted([(1, "a", 7), (2, "b", None), (None, "c", None), (None, None, None)], key=repr)
+    assert rows("left_anti", ids) == sorted([(2, "b"), (None, "c"), (None, None)], key=repr)
+    assert rows("left_semi", ids) == [(1, "a")] and rows("inner", ids) == [(1, "a", 7)]
+
+
 def test_queries_cover_all_operators():
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 11))
     assert isinstance(Row(x=1).x, int)

@@ -7,7 +7,9 @@ import corpus_pipeline
 
 from tarnflow.llm.common import materialize
 
-from .test_operators import WORDS, least_reachable, passages, shingles
+from .test_operators import EDGE, WORDS, least_reachable, passages, shingles
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, sig string, start long, set_key string"
 
 
 def test_stages(spark, sf):
@@ -37,3 +39,29 @@ def test_stages(spark, sf):
                 assert want[i][1] or t == before[i]
         before = after
     assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()} == before.keys()
+
+
+def test_stages_on_edge_rows(spark, sf):
+    """Nulls, repeated rows, a long text, clashing columns: every stage ends, keeps the columns and its own rule."""
+    rows = [(i, t, x, None, None, "s", -1, "k") for i, t, x in EDGE] + [(20, "x" * 2_000_000 + " word", "en", None, None, "s", 1, "k"), (None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, COLUMNS).repartition(3)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = {(r.doc_id, r.text) for r in docs.collect()}
+        docs = materialize(stage(spark, docs, sf), f"test-{name}")
+        assert tuple(docs.columns) == corpus_pipeline.COLUMNS
+        after = {(r.doc_id, r.text) for r in docs.collect()}
+        if name != "substring":
+            assert after <= before
+        if name == "language":
+            assert {i for i, _ in before - after} >= {1, 2, 3, 13}  # nothing to read
+        else:
+            assert {i for i, _ in after} >= {None, 4, 6, 14, 15, 16}  # rows of their own stay, and those without an id
+    got = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    assert {r.doc_id for r in got} == {i for i, _ in after}
+
+
+def test_stages_on_an_empty_table(spark, sf):
+    docs = spark.createDataFrame([], COLUMNS)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialize(stage(spark, docs, sf), f"test-{name}")
+        assert docs.count() == 0
