@@ -1,4 +1,10 @@
-"""A corpus from raw documents to packed sequences: five stages, each over all that the one before kept."""
+"""A corpus from raw documents to packed sequences: five stages, each over all that the one before kept.
+
+Defined cases, for every stage: rows with a null doc_id are documents of their own, which no stage can tell from
+one another by id, so dedup keeps them; null texts have no letter and go with the first stage; rows that repeat a
+doc_id share its fate; extra columns are dropped, also where their names clash with a stage's own; an empty table
+stays empty. Each stage's operator states the rest.
+"""
 
 from __future__ import annotations
 
