@@ -1,10 +1,11 @@
-"""Filter conditions of jobs, compiled to Columns on key, value and the parsed document."""
+"""Filter conditions of jobs: parsed to plain data, then compiled to Columns on key, value and the parsed document."""
 
 from __future__ import annotations
 
 import functools
 import operator
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,32 +35,68 @@ def _json(path: str, op: str, want: str, doc: Column) -> Column:
     return F.coalesce(F.when(kind == "STRING", on_text).when(kind == "NUMBER", on_number).when(kind == "BOOLEAN", on_bool), F.lit(False))
 
 
-def _one(text: str, doc: Column) -> Column:
+@dataclass(frozen=True)
+class Part:
+    """One test: a json path with operator and operand, or a named test with its argument."""
+
+    test: str
+    arg: str = ""
+    path: str = ""
+    op: str = ""
+
+
+@dataclass(frozen=True)
+class Condition:
+    parts: tuple[Part, ...]
+    every: bool
+
+    @property
+    def reads_json(self) -> bool:
+        return any(p.test == "json" for p in self.parts)
+
+
+def _part(text: str) -> Part:
     text = text.strip()
     if text in ("not_empty", "key_not_empty"):
-        return F.octet_length("key" if text.startswith("key") else "value") > 0
+        return Part(text)
     if m := _JSON.match(text):
         if not m[1].strip():
             raise ConditionError(f"no path in {text!r}")
-        return _json(m[1].strip(), m[2], m[3].strip(), doc)
+        return Part("json", m[3].strip(), m[1].strip(), m[2])
     name, colon, arg = text.partition(":")
-    if colon and name in _TEXT:
-        col, how = _TEXT[name]
-        return getattr(F.col(col), how)(arg)
-    if colon and name == "key_equals":
-        return F.col("key") == arg
-    if colon and name == "min_length" and re.fullmatch(r"\d+", arg):
-        return F.octet_length("value") >= int(arg)
+    if colon and (name in _TEXT or name == "key_equals" or name == "min_length" and re.fullmatch(r"\d{1,9}", arg)):
+        return Part(name, arg)
     raise ConditionError(f"unknown condition: {text!r}")
 
 
-def condition(text: str, doc: Column | None = None) -> Column:
-    """One condition, or up to eight joined by AND or by OR, not both; doc: the parsed value, if there is one."""
-    doc = as_variant(F.col("value")) if doc is None else doc
+def parse_condition(text: str) -> Condition:
+    """One test, or up to eight joined by AND or by OR, not both. Plain data: no session is needed."""
+    if not isinstance(text, str):
+        raise ConditionError(f"must be a text, not {text!r}")
     if " AND " in text and " OR " in text:
         raise ConditionError("AND and OR can't be mixed")
-    word, how = (" AND ", operator.and_) if " AND " in text else (" OR ", operator.or_)
-    parts = text.split(word)
+    every = " OR " not in text
+    parts = text.split(" AND " if every else " OR ")
     if len(parts) > 8:
         raise ConditionError("more than 8 parts")
-    return F.coalesce(functools.reduce(how, [_one(p, doc) for p in parts]), F.lit(False))
+    return Condition(tuple(_part(p) for p in parts), every)
+
+
+def _one(part: Part, doc: Column) -> Column:
+    if part.test == "json":
+        return _json(part.path, part.op, part.arg, doc)
+    if part.test in _TEXT:
+        col, how = _TEXT[part.test]
+        return getattr(F.col(col), how)(part.arg)
+    if part.test == "key_equals":
+        return F.col("key") == part.arg
+    if part.test == "min_length":
+        return F.octet_length("value") >= int(part.arg)
+    return F.octet_length("key" if part.test == "key_not_empty" else "value") > 0
+
+
+def condition(text: str | Condition, doc: Column | None = None) -> Column:
+    """A condition as a Column; doc: the parsed value, if there is one."""
+    parsed = parse_condition(text) if not isinstance(text, Condition) else text
+    doc = as_variant(F.col("value")) if doc is None else doc
+    return F.coalesce(functools.reduce(operator.and_ if parsed.every else operator.or_, [_one(p, doc) for p in parsed.parts]), F.lit(False))

@@ -8,18 +8,47 @@ import operator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import as_variant, json_at, json_kind
+from ..functions.text import json_at, json_kind
 from .ordered import ordinals
+from .records import parsed
 
+#: Longest message of a queue in bytes (fixed value).
+QUEUE_BYTES = 65_536
 
-def read_stream(records: DataFrame, after: tuple[int, int] | None = None, until: tuple[int, int] | None = None, count: int = 1000) -> DataFrame:
-    """Records behind an exclusive start, in order; count is the page's size."""
+
+def read_stream(records: DataFrame, after: tuple[int, int] | None = None, until: tuple[int, int] | None = None, count: int | None = 1000, partition: int | None = None, key: str | None = None) -> DataFrame:
+    """Records behind an exclusive start, in order; count is the page's size, None reads all of them, in no order.
+    partition reads one partition of a stream that has that column, key the records of one key."""
     t, s = F.col("ts_ms"), F.col("seq")
+    if partition is not None:
+        records = records.where(F.col("partition") == partition)
+    if key is not None:
+        records = records.where(F.col("key") == key)
     if after is not None:
         records = records.where((t > after[0]) | ((t == after[0]) & (s > after[1])))
     if until is not None:
         records = records.where((t < until[0]) | ((t == until[0]) & (s <= until[1])))
-    return records.orderBy("ts_ms", "seq").limit(count)
+    return records if count is None else records.orderBy("ts_ms", "seq").limit(count)
+
+
+def tail_stream(records: DataFrame, count: int = 10) -> DataFrame:
+    """The newest records, in order; count is the page's size."""
+    return records.orderBy(F.desc("ts_ms"), F.desc("seq")).limit(count).orderBy("ts_ms", "seq")
+
+
+def with_partition(records: DataFrame, partitions: int) -> DataFrame:
+    """With the partition that a record's key gives it; a record without a key goes by its place."""
+    if partitions < 1:
+        raise ValueError("partitions must be positive")
+    by = F.when(F.coalesce("key", F.lit("")) != "", F.xxhash64("key")).otherwise(F.col("seq"))
+    return records.withColumn("partition", F.pmod(by, F.lit(partitions)).cast("int"))
+
+
+def partition_info(records: DataFrame) -> DataFrame:
+    """Per stream and partition: records, bytes, first and last place."""
+    at = F.struct("ts_ms", "seq")
+    out = records.groupBy("source", "partition").agg(F.count(F.lit(1)).alias("records"), F.sum(F.octet_length("value")).alias("bytes"), F.min(at).alias("a"), F.max(at).alias("b"))
+    return out.select("source", "partition", "records", "bytes", F.col("a.seq").alias("first_seq"), F.col("b.seq").alias("last_seq"))
 
 
 def stream_info(records: DataFrame) -> DataFrame:
@@ -72,11 +101,12 @@ def sink_stream(records: DataFrame) -> DataFrame:
 
 
 def sink_kv(records: DataFrame, prefix: str = "", separator: str = ":", ttl_ms: int | None = None, now_ms: int | None = None) -> DataFrame:
-    """Last value of each key; a record without key and prefix goes.
+    """Last value of each key; a record without key and prefix goes, one with a prefix alone is kept under
+    prefix and separator.
 
     With a time to live there is also expiry_ns, counted from now or else from the last record's own stamp.
     """
-    key = F.concat_ws(separator, F.when(F.lit(prefix) != "", F.lit(prefix)), F.when(F.col("key") != "", F.col("key")))
+    key = F.concat(F.lit(prefix + separator if prefix else ""), F.coalesce("key", F.lit("")))
     keyed = records.select(key.alias("key"), "value", "ts_ms", "seq").where("key <> ''")
     at = F.struct("ts_ms", "seq")
     last = keyed.groupBy("key").agg(F.max_by("value", at).alias("value"), F.max("ts_ms").alias("ts_ms"))
@@ -91,28 +121,40 @@ def sink_kv(records: DataFrame, prefix: str = "", separator: str = ":", ttl_ms:
 def sink_queue(records: DataFrame, priority: int = 0) -> DataFrame:
     if not 0 <= priority <= 255:
         raise ValueError("priority must be 0 to 255")
-    return records.where(F.octet_length("value") <= 65536).select("value", F.lit(priority).alias("priority"))
+    return records.where(F.octet_length("value") <= QUEUE_BYTES).select("value", F.lit(priority).alias("priority"))
 
 
-def sink_points(records: DataFrame, measurement: str, fields: dict[str, str] | None = None, tags: dict[str, str] | None = None, value_field: str = "value") -> DataFrame:
-    """One point for each numeric field named in the map; else the whole value as a number."""
-    doc = as_variant(F.col("value"))
-    tag_map = F.map_filter(F.map_from_arrays(F.array(*[F.lit(t) for t in tags or {}]).cast("array<string>"), F.array(*[F.when(json_kind(doc, p) == "STRING", json_at(doc, p, "string")) for p in (tags or {}).values()]).cast("array<string>")), lambda _, v: v.isNotNull())
+def points_made(records: DataFrame, measurement: str, fields: dict[str, str] | None = None, tags: dict[str, str] | None = None, value_field: str = "value") -> DataFrame:
+    """sink_points() with what is dropped, as rows with a null value."""
+    doc, number = F.col("_doc"), lambda p: F.when(json_kind(F.col("_doc"), p) == "NUMBER", json_at(F.col("_doc"), p, "double"))
+    text = lambda p: F.when(json_kind(doc, p) == "STRING", json_at(doc, p, "string"))
+    tag_map = F.map_filter(F.map_from_arrays(F.array(*[F.lit(t) for t in tags or {}]).cast("array<string>"), F.array(*[text(p) for p in (tags or {}).values()]).cast("array<string>")), lambda _, v: v.isNotNull())
     if fields:
-        made = F.explode(F.map_from_arrays(F.array(*[F.lit(f) for f in fields]), F.array(*[F.when(json_kind(doc, p) == "NUMBER", json_at(doc, p, "double")) for p in fields.values()])))
-        out = records.select(tag_map.alias("tags"), F.col("ts_ms"), F.col("seq"), made.alias("field", "value"))
+        made = F.array(*[F.struct(F.lit(f).alias("field"), number(p).alias("value")) for f, p in fields.items()])
     else:
-        out = records.select(tag_map.alias("tags"), "ts_ms", "seq", F.lit(value_field).alias("field"), F.col("value").try_cast("double").alias("value"))
-    out = out.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
-    return out.select(F.lit(measurement).alias("measurement"), "field", "tags", (F.col("ts_ms") * 1_000_000).alias("ts_ns"), F.col("seq").alias("pos"), "value")
+        made = F.array(F.struct(F.lit("value").alias("field"), F.coalesce(number(value_field), F.col("value").try_cast("double")).alias("value")))
+    out = parsed(records).select(tag_map.alias("tags"), "ts_ms", "seq", F.inline(made))
+    finite = ~F.isnan("value") & (F.abs("value") < float("inf"))
+    return out.select(F.lit(measurement).alias("measurement"), "field", "tags", (F.col("ts_ms") * 1_000_000).alias("ts_ns"), F.col("seq").alias("pos"), F.when(finite, F.col("value")).alias("value"))
+
+
+def sink_points(records: DataFrame, measurement: str, fields: dict[str, str] | None = None, tags: dict[str, str] | None = None, value_field: str = "value") -> DataFrame:
+    """One point for each numeric field named in the map; else the field `value` alone: the number at value_field,
+    or else the whole value as a number. What isn't a finite number goes."""
+    return points_made(records, measurement, fields, tags, value_field).where("value is not null")
+
+
+def forwarded(records: DataFrame, measurement: str, field: str = "value") -> DataFrame:
+    """forward_points() with what is dropped, as rows with a null value."""
+    out = records.withColumn("_p", F.from_json("src", "ts_ns long, tags map<string,string>, value double"))
+    tags = F.coalesce("_p.tags", F.create_map().cast("map<string,string>"))
+    finite = ~F.isnan("_p.value") & (F.abs("_p.value") < float("inf"))
+    return out.select(F.lit(measurement).alias("measurement"), F.lit(field).alias("field"), tags.alias("tags"), F.col("_p.ts_ns").alias("ts_ns"), F.col("seq").alias("pos"), F.when(finite, F.col("_p.value")).alias("value"))
 
 
 def forward_points(records: DataFrame, measurement: str, field: str = "value") -> DataFrame:
     """From a ts source: the source point's own value, time and tags under another name."""
-    p = F.from_json("src", "ts_ns long, tags map<string,string>, value double")
-    out = records.withColumn("_p", p).where(F.col("_p.value").isNotNull() & ~F.isnan("_p.value") & (F.abs("_p.value") < float("inf")))
-    tags = F.coalesce("_p.tags", F.create_map().cast("map<string,string>"))
-    return out.select(F.lit(measurement).alias("measurement"), F.lit(field).alias("field"), tags.alias("tags"), F.col("_p.ts_ns").alias("ts_ns"), F.col("seq").alias("pos"), F.col("_p.value").alias("value"))
+    return forwarded(records, measurement, field).where("value is not null")
 
 
 def dead_letters(queue: DataFrame, count: int, after: tuple[int, int] | None = None) -> DataFrame:

@@ -6,20 +6,26 @@ Nothing here depends on batch or stream but the aggregates, whose streaming form
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import as_variant, json_at, json_kind, number_text, template_key
-from .conditions import condition
+from .conditions import condition, parse_condition
 from .ordered import ordinals, running
 
 NO_TAGS = "cast(array() as array<string>)"
 FUNCTIONS = ("sum", "count", "avg", "min", "max")
 
 
-def _parsed(df: DataFrame) -> DataFrame:
-    """With the value's document as a column, parsed once for all that read it."""
-    return df.withColumn("_doc", as_variant(F.col("value")))
+def parsed(df: DataFrame, value: Column | None = None) -> DataFrame:
+    """With the value's document as the column _doc, parsed once for all that read it.
+
+    A plain column would be merged into every expression that reads it, and be parsed there again; what a
+    generator puts out isn't, nor is a filter on it pushed below.
+    """
+    return df.select("*", F.explode_outer(F.array(as_variant(F.col("value") if value is None else value))).alias("_doc"))
 
 
 def _carried(df: DataFrame) -> list[str]:
@@ -28,14 +34,17 @@ def _carried(df: DataFrame) -> list[str]:
 
 
 def filter_records(df: DataFrame, text: str) -> DataFrame:
-    return df.where(condition(text))
+    found = parse_condition(text)
+    if not found.reads_json:
+        return df.where(condition(found))
+    return parsed(df).where(condition(found, F.col("_doc"))).drop("_doc")
 
 
 def map_records(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """A new JSON object in the mapping's order: `$.path` or a text constant; non-JSON goes."""
     if not mapping:
         return df
-    df, doc = _parsed(df), F.col("_doc")
+    df, doc = parsed(df), F.col("_doc")
     node = lambda v: F.coalesce(F.to_json(json_at(doc, v, "variant")), F.lit("null")) if v.startswith("$.") else F.to_json(F.to_variant_object(F.array(F.lit(v)))).substr(F.lit(2), F.length(F.to_json(F.to_variant_object(F.array(F.lit(v))))) - 2)
     parts: list[Column] = []
     for i, (name, v) in enumerate(mapping.items()):
@@ -45,7 +54,7 @@ def map_records(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
 
 def key_by(df: DataFrame, path: str) -> DataFrame:
     """The key becomes the string, whole number or boolean at the path; all else keeps the old key."""
-    df, doc = _parsed(df), F.col("_doc")
+    df, doc = parsed(df), F.col("_doc")
     kind = json_kind(doc, path)
     whole = F.schema_of_variant(json_at(doc, path, "variant")).rlike(r"^(BIGINT|DECIMAL\(\d+,0\))")
     found = F.when(kind == "STRING", json_at(doc, path, "string")).when((kind == "NUMBER") & whole, json_at(doc, path, "long").cast("string")).when(kind == "BOOLEAN", json_at(doc, path, "boolean").cast("string"))
@@ -54,7 +63,7 @@ def key_by(df: DataFrame, path: str) -> DataFrame:
 
 def flat_map(df: DataFrame, path: str, element_key: str | None = None) -> DataFrame:
     """One record for each element of the array at the path, as JSON text."""
-    out = df.withColumn("e", F.explode(json_at(as_variant(F.col("value")), path, "array<variant>"))).withColumn("value", F.to_json("e"))
+    out = parsed(df).withColumn("e", F.explode(json_at(F.col("_doc"), path, "array<variant>"))).drop("_doc").withColumn("value", F.to_json("e"))
     if element_key:
         kind = json_kind(F.col("e"), element_key)
         number = number_text(json_at(F.col("e"), element_key, "double"))
@@ -65,7 +74,7 @@ def flat_map(df: DataFrame, path: str, element_key: str | None = None) -> DataFr
 
 def classify(df: DataFrame, rules: list[tuple[str, str]], default: str | None = None) -> DataFrame:
     """Every rule that holds adds its tag; the default only where none holds."""
-    df = _parsed(df)
+    df = parsed(df)
     found = F.array_distinct(F.array_compact(F.array(*[F.when(condition(c, F.col("_doc")), F.lit(t)) for c, t in rules])))
     if default is not None:
         found = F.when(F.size(found) == 0, F.array(F.lit(default))).otherwise(found)
@@ -78,7 +87,7 @@ def aggregate_input(df: DataFrame, function: str, path: str | None) -> DataFrame
         raise ValueError(f"unknown function: {function}")
     if function == "count":
         return df.withColumn("x", F.lit(1.0))
-    df, doc = _parsed(df), F.col("_doc")
+    df, doc = parsed(df), F.col("_doc")
     # integers beyond 64 bits are no numbers here
     node = F.schema_of_variant(json_at(doc, path, "variant"))
     fits = (json_kind(doc, path) == "NUMBER") & ~(node.rlike(r"^DECIMAL\(\d+,0\)") & json_at(doc, path, "long").isNull())
@@ -118,23 +127,27 @@ def aggregate_json(df: DataFrame) -> DataFrame:
 
 def lookup_filter(df: DataFrame, template: str, kv: DataFrame) -> DataFrame:
     """Records whose templated key is live in kv (key, value); the planner broadcasts a small kv by its size."""
-    keyed = df.withColumn("lookup", template_key(as_variant(F.col("value")), template))
+    keyed = parsed(df).withColumn("lookup", template_key(F.col("_doc"), template)).drop("_doc")
     return keyed.join(kv.select(F.col("key").alias("lookup")), "lookup", "left_semi").drop("lookup")
 
 
 def lookup_enrich(df: DataFrame, template: str, kv: DataFrame, field: str = "_kv") -> DataFrame:
-    """A hit appends the KV value to the JSON object: itself if object or array, else as a string."""
-    doc = as_variant(F.col("value"))
-    keyed = df.withColumn("lookup", template_key(doc, template))
-    out = keyed.join(kv.select(F.col("key").alias("lookup"), F.col("value").alias("kv_value")), "lookup", "left")
-    text = F.rtrim("value")
-    shape = F.schema_of_variant(F.try_parse_json("kv_value"))
+    """A hit appends the KV value to the JSON object: itself if object or array, else as a string.
+
+    The object's own text is kept but for white space around it.
+    """
+    keyed = parsed(df).withColumn("lookup", template_key(F.col("_doc"), template))
+    keyed = keyed.withColumn("_shape", F.schema_of_variant("_doc")).drop("_doc")
+    found = kv.select(F.col("key").alias("lookup"), F.col("value").alias("kv_value"))
+    out = parsed(keyed.join(found, "lookup", "left"), F.col("kv_value"))
+    space = F.lit(" \t\n\r")
+    text, whole = F.trim("value", space), F.trim("kv_value", space)
     quoted = F.to_json(F.struct(F.col("kv_value").alias("v")))
-    body = F.when(shape.rlike("^(OBJECT|ARRAY)"), F.col("kv_value")).otherwise(quoted.substr(F.lit(6), F.length(quoted) - 6))
-    comma = F.when(F.schema_of_variant(doc) == "OBJECT<>", F.lit("")).otherwise(F.lit(","))
-    hit = F.col("kv_value").isNotNull() & F.schema_of_variant(doc).startswith("OBJECT")
-    spliced = F.concat(text.substr(F.lit(1), F.length(text) - 1), comma, F.lit(f'"{field}":'), body, F.lit("}"))
-    return out.withColumn("value", F.when(hit, spliced).otherwise(F.col("value"))).withColumn("tags", F.when(hit, F.expr(NO_TAGS)).otherwise(F.col("tags"))).drop("lookup", "kv_value")
+    body = F.when(F.schema_of_variant("_doc").rlike("^(OBJECT|ARRAY)"), whole).otherwise(quoted.substr(F.lit(6), F.length(quoted) - 6))
+    comma = F.when(F.col("_shape") == "OBJECT<>", F.lit("")).otherwise(F.lit(","))
+    hit = F.col("kv_value").isNotNull() & F.col("_shape").startswith("OBJECT")
+    spliced = F.concat(text.substr(F.lit(1), F.length(text) - 1), comma, F.lit(json.dumps(field, ensure_ascii=False) + ":"), body, F.lit("}"))
+    return out.withColumn("value", F.when(hit, spliced).otherwise(F.col("value"))).withColumn("tags", F.when(hit, F.expr(NO_TAGS)).otherwise(F.col("tags"))).drop("lookup", "kv_value", "_doc", "_shape")
 
 
 def route(df: DataFrame, required: list[str]) -> DataFrame:

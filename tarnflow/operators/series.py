@@ -59,11 +59,17 @@ def _edge(df: DataFrame, last: bool) -> DataFrame:
     return got.select("series_key", "p.*").select("series_key", "field", "tags", "ts_ns", "pos", "value")
 
 
-def _ranked(df: DataFrame, k: int, top: bool) -> DataFrame:
-    """Whole series by the sum of their points; ties and few series keep the order of keys."""
+def ranking(df: DataFrame, k: int, top: bool = True) -> DataFrame:
+    """series_key, score (the sum of its points) and rank from 1 of the first k series; ties keep the order of keys."""
     score = df.groupBy("series_key").agg(F.sum("value").alias("score"))
     order = [F.desc("score") if top else F.asc("score"), F.asc("series_key")]
-    return df.join(score.orderBy(*order).limit(k).select("series_key"), "series_key", "left_semi")
+    first = score.orderBy(*order).limit(k)  # k rows, so one task may number them
+    return first.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
+def _ranked(df: DataFrame, k: int, top: bool) -> DataFrame:
+    """The points of the first k series."""
+    return df.join(ranking(df, k, top).select("series_key"), "series_key", "left_semi")
 
 
 def _math(op: str, n: float) -> Column:
@@ -73,7 +79,7 @@ def _math(op: str, n: float) -> Column:
     return {"+": lambda: v + n, "-": lambda: v - n, "*": lambda: v * n, "/": lambda: v / n, "%": lambda: F.pmod(v, F.lit(n))}[op]()
 
 
-def apply_stage(df: DataFrame, stage: Stage, width_ms: int) -> DataFrame:
+def apply_stage(df: DataFrame, stage: Stage, width_ms: int, called: str | None = None) -> DataFrame:
     name, args = stage.name, stage.args
     if name in AGGREGATES:
         return _bucketed(df, width_ms, getattr(F, name)("value"))
@@ -97,11 +103,9 @@ def apply_stage(df: DataFrame, stage: Stage, width_ms: int) -> DataFrame:
         return df.withColumn("value", getattr(F, name)("value").cast("double"))
     if name == "round":
         return df.withColumn("value", F.round(F.col("value") * 10.0 ** args[0], 0) / 10.0 ** args[0])
-    if name == "alias":
-        return df.withColumn("series_key", F.lit(args[0]))
     if name == "group_by":
         tag = F.coalesce(F.element_at("tags", F.lit(args[0])), F.lit("_untagged_"))
-        base = F.split_part("series_key", F.lit(","), F.lit(1))
+        base = F.split_part("series_key", F.lit(","), F.lit(1)) if called is None else F.lit(called)
         return df.select(F.concat(base, F.lit(f",{args[0]}="), tag).alias("series_key"), "field", F.create_map(F.lit(args[0]), tag).alias("tags"), "ts_ns", "pos", "value")
     if name in ("topk", "bottomk"):
         return _ranked(df, args[0], name == "topk")
@@ -109,11 +113,20 @@ def apply_stage(df: DataFrame, stage: Stage, width_ms: int) -> DataFrame:
 
 
 def run_pipe(source: Source, text: str, now_ms: int | None = None, merged: bool = False) -> DataFrame:
-    """Runs a pipe query; merged serves all matching series as one tagless series."""
+    """Runs a pipe query; merged serves all matching series as one tagless series.
+
+    An alias renames series and merges none: stages behind it still tell them apart by their own keys.
+    """
     query = parse(text, int(time.time() * 1000) if now_ms is None else now_ms)
-    df, width = scan(source, query, merged), DEFAULT_WINDOW_MS
+    df, width, called = scan(source, query, merged), DEFAULT_WINDOW_MS, None
     for stage in query.stages:
         if stage.name == "window":
             width = stage.args[0]
-        df = apply_stage(df, stage, width)
-    return df.select("series_key", "field", "ts_ns", "value")
+        if stage.name == "alias":
+            called = stage.args[0]
+            continue
+        df = apply_stage(df, stage, width, called)
+        if stage.name == "group_by":
+            called = None
+    key = F.col("series_key") if called is None else F.lit(called)
+    return df.select(key.alias("series_key"), "field", "ts_ns", "value")

@@ -1,47 +1,63 @@
-"""Job definitions: a YAML or JSON text -> checked dataclasses. Every refusal names the setting."""
+"""Job definitions: a YAML or JSON text -> checked dataclasses. Every refusal names the setting and its place.
+
+Nothing here needs a Spark session: conditions are parsed to plain data.
+"""
 
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from ..functions.text import person_duration_ms
-from ..operators.conditions import ConditionError, condition
+from ..operators.conditions import ConditionError, parse_condition
 
 
 class JobError(ValueError):
-    """A definition that is refused."""
+    """A definition that is refused; its text begins with the setting's path."""
 
 
-#: Settings by operator type, with what each needs (fixed values of the definition format).
+#: Settings by operator type and those it needs; `map` takes any other setting as an output field (fixed values of
+#: the definition format).
 OPERATORS = {
-    "filter": ({"condition"}, {"condition"}),
-    "map": ({"mapping"}, set()),
-    "passthrough": (set(), set()),
-    "keyby": ({"key_expression"}, {"key_expression"}),
-    "flatmap": ({"array_field", "element_key"}, {"array_field"}),
-    "classify": ({"rules", "default_tag"}, {"rules"}),
-    "aggregate": ({"function", "field", "window", "window_size", "window_count"}, {"function"}),
-    "kv_lookup": ({"lookup_key", "namespace", "mode", "enrich_field"}, {"lookup_key"}),
+    "filter": (("condition",), ("condition",)),
+    "map": (None, ()),
+    "passthrough": ((), ()),
+    "keyby": (("key_expression",), ("key_expression",)),
+    "flatmap": (("array_field", "element_key"), ("array_field",)),
+    "classify": (("rules", "default_tag"), ("rules",)),
+    "aggregate": (("function", "field", "window", "window_size", "window_count"), ("function",)),
+    "kv_lookup": (("lookup_key", "namespace", "mode", "enrich_field"), ("lookup_key",)),
 }
-RESERVED = {"join", "dedup", "no_event_for", "wasm"}
-TOP = {"kind", "name", "description", "namespace", "batch_size", "sources", "sinks", "operators"}
-SOURCE_KEYS = {"stream": {"name", "namespace", "partition", "batch_size", "poll_interval_ms"}, "ts": {"measurement", "field", "tags", "namespace", "lateness_ms", "batch_size", "poll_interval_ms"}}
-SINK_KEYS = {"stream": {"name", "namespace"}, "kv": {"prefix", "separator", "ttl", "ttl_ms", "namespace"}, "queue": {"name", "priority", "namespace"}, "ts": {"measurement", "field", "fields", "value_field", "tags", "namespace"}}
+RESERVED = ("join", "dedup", "no_event_for", "wasm")
+LATER = ("event_time_field", "max_delay_ms", "window_type")
+FUNCTIONS = ("sum", "count", "avg", "min", "max")
+TOP = ("kind", "name", "description", "namespace", "batch_size", "sources", "sinks", "operators")
+SOURCES = {"stream": ("name", "namespace", "partitions", "batch_size", "poll_interval_ms"), "ts": ("measurement", "namespace", "field", "tags", "batch_size", "poll_interval_ms", "lateness_ms")}
+SINKS = {"kv": ("namespace", "key_prefix", "separator", "ttl_ms"), "queue": ("name", "namespace", "priority"), "ts": ("measurement", "namespace", "value_field", "tags", "fields"), "stream": ("name", "namespace")}
 MOST = {"sources": 64, "sinks": 64, "operators": 256}
+MOST_TAGS, MOST_NAME, MOST_KEY, MOST_LATENESS_MS = 32, 255, 1024, 86_400_000
+LATENESS_MS, POLL_MS, BATCH = 30_000, 1000, 100
 
 
 @dataclass(frozen=True)
 class Endpoint:
+    """A source or sink: kind, its settings with defaults filled in, its own name, and a sink's tags."""
+
     kind: str
     settings: dict
+    name: str = ""
     match: tuple[str, ...] = ()
 
+    @property
+    def reads(self) -> str:
+        """What it reads or writes: a stream or queue by name, a measurement."""
+        return self.settings.get("name") or self.settings.get("measurement", "")
+
 
 @dataclass(frozen=True)
 class Step:
     kind: str
     settings: dict
+    name: str = ""
 
 
 @dataclass(frozen=True)
@@ -51,9 +67,8 @@ class Job:
     sources: tuple[Endpoint, ...]
     operators: tuple[Step, ...]
     sinks: tuple[Endpoint, ...]
-    batch_size: int = 100
+    batch_size: int = BATCH
     description: str = ""
-    extra: dict = field(default_factory=dict)
 
 
 def _pairs(pairs):
@@ -90,107 +105,203 @@ def load(text: str) -> dict:
         raise JobError(f"not YAML: {e}") from None
 
 
-def _known(settings, allowed: set[str], at: str) -> None:
-    if not isinstance(settings, dict):
-        raise JobError(f"{at}: must be a mapping")
-    for k in settings:
-        if k not in allowed:
-            raise JobError(f"{at}.{k}: unknown setting")
+class Settings:
+    """A mapping of the definition with its place, which every refusal names."""
+
+    def __init__(self, value, at: str, allowed: tuple[str, ...] | None = None):
+        if not isinstance(value, dict) or not all(isinstance(k, str) for k in value):
+            raise JobError(f"{at}: must be a mapping, not {value!r}")
+        self.value, self.at = value, at
+        for k in value:
+            if k in LATER:
+                raise JobError(f"{at}.{k}: not supported")
+            if allowed is not None and k not in allowed:
+                raise JobError(f"{at}.{k}: unknown setting")
+
+    def _of(self, key: str, kind: type, said: str, default):
+        if key not in self.value:
+            return default
+        v = self.value[key]
+        if not isinstance(v, kind) or kind is int and isinstance(v, bool):
+            raise JobError(f"{self.at}.{key}: must be {said}, not {v!r}")
+        return v
+
+    def text(self, key: str, default: str | None = "", needed: bool = False) -> str:
+        if needed and key not in self.value:
+            raise JobError(f"{self.at}.{key}: is required")
+        return self._of(key, str, "a text", default)
+
+    def number(self, key: str, low: int, high: int, default):
+        n = self._of(key, int, "a whole number", default)
+        if key in self.value and not low <= n <= high:
+            raise JobError(f"{self.at}.{key}: must be {low} to {high}, not {n}")
+        return n
 
+    def list(self, key: str) -> list:
+        return self._of(key, list, "a list", [])
 
-def _list(doc: dict, key: str, least: int) -> list:
-    items = doc.get(key) or []
-    if not isinstance(items, list) or len(items) < least:
-        raise JobError(f"{key}: needs a list")
+    def texts(self, key: str) -> dict[str, str]:
+        """A mapping of texts to texts."""
+        found = Settings(self._of(key, dict, "a mapping", {}), f"{self.at}.{key}", None)
+        return {k: found.text(k) for k in found.value}
+
+    def choice(self, key: str, among: tuple[str, ...], default: str | None = None):
+        v = self.text(key, default)
+        if v is not None and v not in among:
+            raise JobError(f"{self.at}.{key}: must be one of {', '.join(among)}, not {v!r}")
+        return v
+
+    def condition(self, key: str) -> str:
+        text = self.text(key, needed=True)
+        try:
+            parse_condition(text)
+        except ConditionError as e:
+            raise JobError(f"{self.at}.{key}: bad condition: {e}") from None
+        return text
+
+
+def _items(doc: Settings, key: str) -> list[tuple[dict, str]]:
+    items = doc.list(key)
     if len(items) > MOST[key]:
         raise JobError(f"{key}: more than {MOST[key]}")
-    return items
+    return [(x, f"{key}[{i}]") for i, x in enumerate(items)]
 
 
-def _endpoint(item: dict, at: str, kinds: dict[str, set[str]], extra: set[str], namespace: str) -> Endpoint:
-    _known(item, set(kinds) | extra, at)
-    given = [k for k in kinds if k in item]
+def _kind(item: Settings, kinds: dict[str, tuple[str, ...]]) -> tuple[str, Settings]:
+    given = [k for k in kinds if k in item.value]
     if len(given) != 1:
-        raise JobError(f"{at}: needs exactly one of {', '.join(kinds)}")
-    kind, settings = given[0], item[given[0]]
-    if isinstance(settings, str):
-        settings = {"measurement" if kind == "ts" else "prefix" if kind == "kv" else "name": settings}
-    settings = settings or {}
-    _known(settings, kinds[kind], f"{at}.{kind}")
-    need = "measurement" if kind == "ts" else None if kind == "kv" else "name"
-    if need and not settings.get(need):
-        raise JobError(f"{at}.{kind}.{need}: is required")
-    match = item.get("match") or []
-    if len(match) > 32:
-        raise JobError(f"{at}.match: more than 32 tags")
-    return Endpoint(kind, {"namespace": namespace, **settings}, tuple([match] if isinstance(match, str) else match))
-
-
-def _step(item: dict, at: str) -> Step:
-    kind = item.get("type") if isinstance(item, dict) else None
+        raise JobError(f"{item.at}: needs exactly one of {', '.join(kinds)}")
+    return given[0], Settings(item.value[given[0]], f"{item.at}.{given[0]}", kinds[given[0]])
+
+
+def _source(value, at: str, index: int, job_batch: int, namespace: str) -> Endpoint:
+    item = Settings(value, at, (*SOURCES, "name"))
+    kind, s = _kind(item, SOURCES)
+    whole = 2**32 - 1
+    shared = {"namespace": s.text("namespace", namespace), "batch_size": s.number("batch_size", 1, whole, job_batch), "poll_interval_ms": s.number("poll_interval_ms", 1, whole, POLL_MS)}
+    if kind == "stream":
+        if s.text("partitions", "all") != "all":
+            raise JobError(f"{s.at}.partitions: must be all")
+        own = {"name": s.text("name", needed=True)}
+    else:
+        own = {"measurement": s.text("measurement", needed=True), "field": s.text("field"), "tags": s.texts("tags"), "lateness_ms": s.number("lateness_ms", 0, MOST_LATENESS_MS, LATENESS_MS)}
+    return Endpoint(kind, {**own, **shared}, item.text("name", f"default-source-{index}"))
+
+
+def _match(item: Settings) -> tuple[str, ...]:
+    given = item.value.get("match", [])
+    tags = [given] if isinstance(given, str) else item.list("match")
+    for i, tag in enumerate(tags):
+        if not isinstance(tag, str):
+            raise JobError(f"{item.at}.match[{i}]: must be a text, not {tag!r}")
+    return tuple(tags)
+
+
+def _sink(value, at: str, index: int, namespace: str) -> Endpoint:
+    item = Settings(value, at, (*SINKS, "name", "match"))
+    kind, s = _kind(item, SINKS)
+    name = item.text("name", f"default-sink-{index}")
+    if kind == "kv":
+        own = {"key_prefix": s.text("key_prefix"), "separator": s.text("separator", ":"), "ttl_ms": s.number("ttl_ms", 1, (2**63 - 1) // 1_000_000, None)}
+        if own["key_prefix"] and len((own["key_prefix"] + own["separator"]).encode()) >= MOST_KEY:
+            raise JobError(f"{s.at}.key_prefix: leaves no room for a key of at most {MOST_KEY} bytes")
+    elif kind == "queue":
+        own = {"name": s.text("name", name), "priority": s.number("priority", 0, 255, 0)}
+    elif kind == "ts":
+        own = {"measurement": s.text("measurement", name), "value_field": s.text("value_field", "value"), "tags": s.texts("tags"), "fields": s.texts("fields")}
+    else:
+        own = {"name": s.text("name", needed=True)}
+    return Endpoint(kind, {**own, "namespace": s.text("namespace", namespace)}, name, _match(item))
+
+
+def _scalar(item: Settings, key: str) -> str:
+    v = item.value[key]
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if not isinstance(v, (str, int, float)):
+        raise JobError(f"{item.at}.{key}: must be a text, number or boolean, not {v!r}")
+    return str(v)
+
+
+def _rules(item: Settings) -> list[dict[str, str]]:
+    made = []
+    for i, rule in enumerate(item.list("rules")):
+        r = Settings(rule, f"{item.at}.rules[{i}]", ("condition", "tag"))
+        made.append({"condition": r.condition("condition"), "tag": r.text("tag", needed=True)})
+    return made
+
+
+def _count_window(item: Settings) -> int | None:
+    sizes = [k for k in ("window_size", "window_count") if k in item.value]
+    if "window" not in item.value:
+        if sizes:
+            raise JobError(f"{item.at}.{sizes[0]}: needs window: count")
+        return None
+    if item.text("window") in ("tumbling", "sliding", "session"):
+        raise JobError(f"{item.at}.window: {item.text('window')} is not supported")
+    item.choice("window", ("count",))
+    if len(sizes) != 1:
+        raise JobError(f"{item.at}.window: a count window takes window_count or window_size, one of them")
+    return item.number(sizes[0], 1, 2**63 - 1, None)
+
+
+def _step(value, at: str, namespace: str) -> Step:
+    item = Settings(value, at, None)
+    kind = item.text("type", needed=True)
     if kind in RESERVED:
         raise JobError(f"{at}.type: {kind} is reserved and not supported")
     if kind not in OPERATORS:
         raise JobError(f"{at}.type: unknown operator {kind!r}")
-    for reserved in ("window_type", "event_time_field", "max_delay_ms"):
-        if reserved in item:
-            raise JobError(f"{at}.{reserved}: not supported")
     allowed, needed = OPERATORS[kind]
-    _known(item, allowed | {"type", "name"}, at)
+    if allowed is not None:
+        item = Settings(value, at, (*allowed, "type", "name"))
     for k in needed:
-        if not item.get(k):
+        if k not in item.value:
             raise JobError(f"{at}.{k}: is required")
-    s = {k: v for k, v in item.items() if k not in ("type", "name")}
-    try:
-        if kind == "filter":
-            condition(s["condition"])
-        if kind == "classify":
-            for r in s["rules"]:
-                _known(r, {"condition", "tag"}, f"{at}.rules")
-                condition(r["condition"])
-            if len({r["tag"] for r in s["rules"]} | {s.get("default_tag")} - {None}) > 32:
-                raise JobError(f"{at}.rules: more than 32 tags")
-    except ConditionError as e:
-        raise JobError(f"{at}.condition: {e}") from None
+    name = item.text("name", kind)
+    if kind == "map":
+        return Step(kind, {"mapping": {k: _scalar(item, k) for k in item.value if k not in ("type", "name")}}, name)
+    if kind == "classify":
+        rules, other = _rules(item), item.text("default_tag", None)
+        if len({r["tag"] for r in rules} | ({other} - {None})) > MOST_TAGS:
+            raise JobError(f"{at}.rules: more than {MOST_TAGS} tags")
+        return Step(kind, {"rules": rules, "default_tag": other}, name)
+    if kind == "filter":
+        return Step(kind, {"condition": item.condition("condition")}, name)
     if kind == "aggregate":
-        if s["function"] not in ("sum", "count", "avg", "min", "max"):
-            raise JobError(f"{at}.function: unknown {s['function']!r}")
-        if s["function"] != "count" and not s.get("field"):
-            raise JobError(f"{at}.field: is required")
-        if s.get("window") not in (None, "count"):
-            raise JobError(f"{at}.window: {s['window']} is not supported")
-        size = s.get("window_size", s.get("window_count"))
-        if (s.get("window") == "count") != (size is not None) or size is not None and (not isinstance(size, int) or size < 1):
-            raise JobError(f"{at}.window_size: needs window: count and a positive number")
-    if kind == "kv_lookup" and s.get("mode", "filter") not in ("filter", "enrich"):
-        raise JobError(f"{at}.mode: filter or enrich")
-    return Step(kind, s)
+        function = item.choice("function", FUNCTIONS)
+        return Step(kind, {"function": function, "field": item.text("field", None, needed=function != "count"), "window_size": _count_window(item)}, name)
+    if kind == "kv_lookup":
+        item.choice("mode", ("filter", "enrich"))
+    made = {k: item.text(k) for k in allowed if k in item.value}
+    return Step(kind, {"namespace": namespace, **made} if kind == "kv_lookup" else made, name)
 
 
 def parse_job(text: str, namespace: str = "default") -> Job:
-    doc = load(text)
-    _known(doc, TOP, "job")
-    if doc.get("kind") != "Processing":
-        raise JobError("kind: must be Processing")
-    if not doc.get("name"):
-        raise JobError("name: is required")
-    ns = doc.get("namespace") or namespace
-    sources = tuple(_endpoint(s, f"sources[{i}]", SOURCE_KEYS, set(), ns) for i, s in enumerate(_list(doc, "sources", 1)))
-    names = [s.settings["name"] for s in sources if s.kind == "stream"]
-    if len(set(names)) < len(names):
+    doc = Settings(load(text), "job", TOP)
+    if doc.text("kind", needed=True) != "Processing":
+        raise JobError("job.kind: must be Processing")
+    name, ns = doc.text("name", "unnamed-job"), doc.text("namespace", namespace)
+    if len(name.encode()) > MOST_NAME:
+        raise JobError(f"job.name: more than {MOST_NAME} bytes")
+    batch = doc.number("batch_size", 1, 2**32 - 1, BATCH)
+    sources = tuple(_source(x, at, i, batch, ns) for i, (x, at) in enumerate(_items(doc, "sources")))
+    sinks = tuple(_sink(x, at, i, ns) for i, (x, at) in enumerate(_items(doc, "sinks")))
+    steps = tuple(_step(x, at, ns) for x, at in _items(doc, "operators"))
+    for what, some in (("sources", sources), ("sinks", sinks)):
+        if not some:
+            raise JobError(f"{what}: needs at least one")
+        names = [s.name for s in some]
+        if len(set(names)) < len(names):
+            raise JobError(f"{what}: a name may appear once")
+    read = [(s.reads, s.settings["namespace"]) for s in sources if s.kind == "stream"]
+    if len(set(read)) < len(read):
         raise JobError("sources: a stream may appear once")
-    sinks = tuple(_endpoint(s, f"sinks[{i}]", SINK_KEYS, {"match", "name"}, ns) for i, s in enumerate(_list(doc, "sinks", 1)))
     for i, s in enumerate(sinks):
         if s.settings["namespace"] != ns:
-            raise JobError(f"sinks[{i}].namespace: must be the job's")
-        if s.kind == "queue" and not 0 <= int(s.settings.get("priority", 0)) <= 255:
-            raise JobError(f"sinks[{i}].queue.priority: must be 0 to 255")
+            raise JobError(f"sinks[{i}].{s.kind}.namespace: must be the job's")
         if s.kind == "kv" and any(x.kind == "ts" for x in sources):
             raise JobError(f"sinks[{i}].kv: not with a ts source")
-        if "ttl" in s.settings:
-            person_duration_ms(str(s.settings["ttl"]))
-    for i, s in enumerate(sources):
-        if not 0 <= int(s.settings.get("lateness_ms", 30_000)) <= 86_400_000:
-            raise JobError(f"sources[{i}].ts.lateness_ms: must be 0 to 86400000")
-    steps = tuple(_step(s, f"operators[{i}]") for i, s in enumerate(_list(doc, "operators", 0)))
-    return Job(doc["name"], ns, sources, steps, sinks, int(doc.get("batch_size", 100)), doc.get("description", ""))
+    if len({t for s in sinks for t in s.match}) > MOST_TAGS:
+        raise JobError(f"sinks: more than {MOST_TAGS} tags to match")
+    return Job(name, ns, sources, steps, sinks, batch, doc.text("description"))
