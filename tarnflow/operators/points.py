@@ -19,6 +19,11 @@ def has_tags(filters: dict[str, str]) -> Column:
     return out
 
 
+def exact_tags(tags: dict[str, str]) -> Column:
+    """Exactly these tags and no others."""
+    return has_tags(tags) & (F.size("tags") == len(tags))
+
+
 def bucket_query(points: DataFrame, measurement: str, field: str = "value", tags: dict[str, str] | None = None, agg: str = "avg", window_ns: int = 60_000_000_000, low_ns: int = 0, high_ns: int = 0) -> DataFrame:
     """Buckets aligned to the epoch over all matching series; 0 leaves a bound open."""
     if agg not in _AGG:
@@ -50,6 +55,20 @@ def read_page(points: DataFrame, measurement: str, field: str = "value", tags: d
     return df.orderBy(*order).limit(limit).select("ts_ns", "pos", "value")
 
 
+def next_cursor(page: DataFrame, limit: int, at: tuple[str, str] = ("ts_ns", "pos"), descending: bool = False) -> tuple[int, int] | None:
+    """Where the page after this one begins (exclusive), of a page of points or, with at, of records; None once a
+    page isn't full. The driver sees one row."""
+    place = F.struct(*at)
+    row = page.agg(F.count(F.lit(1)).alias("n"), (F.min if descending else F.max)(place).alias("p")).first()
+    return tuple(row["p"]) if row["n"] >= limit else None
+
+
+def page_status(points: DataFrame, measurement: str, field: str = "value") -> DataFrame:
+    """One row: found is false where the measurement has no such field at all, which an empty page doesn't tell."""
+    here = points.where((F.col("measurement") == measurement) & (F.col("field") == field)).limit(1)
+    return here.agg((F.count(F.lit(1)) > 0).alias("found"))
+
+
 def list_measurements(points: DataFrame) -> DataFrame:
     return points.groupBy("measurement").agg(F.countDistinct("tag_key").alias("series"), F.countDistinct("field").alias("fields"), F.count(F.lit(1)).alias("points"))
 
