@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..functions.schedule import latest_fire
 from ..operators import delivery, keyvalue, logs, records
 from ..sources import tables as t
+from ..operators.points import exact_tags
+from ..streaming.lateness import ready_points
 from ..streaming.runner import points_as_records, run_chain, to_sinks
 from .job_definition import parse_job
 
@@ -112,15 +114,15 @@ def _runs(spark, sf_dir):
 
 _add("runs_list", lambda spark, sf: logs.list_runs(_runs(spark, sf), 100, status="running", search="URGENT"), "SELECT 'run-' || o_orderkey AS run_id, o_orderpriority AS workflow, 'running' AS status, epoch_us(o_orderdate) // 1000 AS created_ms FROM orders WHERE o_orderstatus <> 'F' AND contains(lower(o_orderpriority), 'urgent') ORDER BY created_ms DESC, run_id LIMIT 100")
 
-_JOB = json.dumps({"kind": "Processing", "name": "forward", "sources": [{"ts": {"measurement": "click"}}], "operators": [{"type": "filter", "condition": "json:$.value>50"}, {"type": "map", "mapping": {"v": "$.timestamp_ms"}}], "sinks": [{"ts": {"measurement": "big", "value_field": "v"}}]})
+_JOB = json.dumps({"kind": "Processing", "name": "forward", "sources": [{"ts": {"measurement": "click"}}], "operators": [{"type": "filter", "condition": "json:$.value>50"}, {"type": "map", "v": "$.timestamp_ms"}], "sinks": [{"ts": {"measurement": "big", "value_field": "v"}}]})
 
 
 def _forward(spark, sf_dir):
     job = parse_job(_JOB)
-    out = run_chain(job, {"click": points_as_records(t.event_points(spark, sf_dir), "click")})
+    out = run_chain(job, {"click": t.event_points(spark, sf_dir)})
     return to_sinks(job, out)[0][1].select("measurement", "field", F.element_at("tags", "user").alias("user"), "ts_ns", "value")
 
 
-_add("job_points_forward", _forward, "SELECT 'big' AS measurement, 'v' AS field, CAST(user_id AS VARCHAR) AS user, epoch_us(ts) * 1000 AS ts_ns, value FROM events WHERE event_type = 'click' AND value > 50")
-_add("job_points_held_back", lambda spark, sf: points_as_records(t.event_points(spark, sf), "click", tag_key="user=7", lateness_ms=DAY_MS).select("seq", F.col("ts_ms")), f"SELECT event_id AS seq, epoch_us(ts) // 1000 AS ts_ms FROM events WHERE event_type = 'click' AND user_id = 7 AND epoch_us(ts) <= (SELECT max(epoch_us(ts)) FROM events WHERE event_type = 'click' AND user_id = 7) - {DAY_MS * 1000}")
+_add("job_points_forward", _forward, "SELECT 'big' AS measurement, 'v' AS field, CAST(user_id AS VARCHAR) AS user, epoch_us(ts) * 1000 AS ts_ns, value FROM (SELECT *, max(epoch_us(ts)) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM events WHERE event_type = 'click') WHERE value > 50 AND coalesce(newest - epoch_us(ts) <= 30000000, true)")
+_add("job_points_held_back", lambda spark, sf: points_as_records(ready_points(t.event_points(spark, sf).where((F.col("measurement") == "click") & exact_tags({"user": "7"})), DAY_MS), "click").select("seq", F.col("ts_ms")), f"WITH p AS (SELECT *, epoch_us(ts) AS us, max(epoch_us(ts)) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest, max(epoch_us(ts)) OVER () AS last FROM events WHERE event_type = 'click' AND user_id = 7) SELECT event_id AS seq, us // 1000 AS ts_ms FROM p WHERE us <= last - {DAY_MS * 1000} AND coalesce(newest - us <= {DAY_MS * 1000}, true)")
 _add("job_ordinals", lambda spark, sf: records.ordinals(records.key_by(t.event_stream(spark, sf), "$.type"), ["key"], ["ts_ms", "seq"], rows=1000).select("key", "seq", "ordinal"), f"SELECT event_type AS key, event_id AS seq, row_number() OVER (PARTITION BY event_type ORDER BY {_MS}, event_id) AS ordinal FROM events")

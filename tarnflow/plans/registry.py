@@ -78,7 +78,7 @@ _add("ts_summary", lambda spark, sf: points.summary(t.event_points(spark, sf), "
 _add("ts_retention", lambda spark, sf: points.retain(t.event_points(spark, sf), HIGH * 1_000_000, 10 * 86_400_000_000_000).select("measurement", "ts_ns", "pos", "value"), f"WITH {_EV} SELECT m AS measurement, ts_ns, pos, v AS value FROM e WHERE ts_ns >= {HIGH * 1_000_000 - 10 * 86_400_000_000_000}")
 _add("ts_delete", lambda spark, sf: points.delete_series(t.event_points(spark, sf), "click", {"user": "7"}).groupBy("measurement").agg(F.count(F.lit(1)).alias("n")), "SELECT event_type AS measurement, count(*) AS n FROM events WHERE NOT (event_type = 'click' AND user_id = 7) GROUP BY 1")
 _late = ", ".join(f"count(*) FILTER (behind > {e * 1_000_000}) AS late_{e}" for e in points.LATE_EDGES_MS)
-_add("ts_late_histogram", lambda spark, sf: points.late_histogram(t.lineitem_points(spark, sf).where("field = 'tax'").withColumn("pos", F.col("pos") * 1)), f"WITH p AS (SELECT epoch_us(l_shipdate) * 1000 AS ts_ns, l_orderkey * 8 + l_linenumber AS pos FROM lineitem), b AS (SELECT max(ts_ns) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - ts_ns AS behind FROM p) SELECT 'lineitem' AS measurement, 'tax' AS field, {_late} FROM b")
+_add("ts_late_histogram", lambda spark, sf: points.late_histogram(t.lineitem_points(spark, sf)), f"WITH p AS (SELECT epoch_us(l_shipdate) * 1000 AS ts_ns, l_orderkey * 8 + l_linenumber AS pos FROM lineitem), b AS (SELECT max(ts_ns) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - ts_ns AS behind FROM p) SELECT 'lineitem' AS measurement, f.field, {_late} FROM b, (VALUES ('quantity'), ('extendedprice'), ('discount'), ('tax')) f(field) GROUP BY f.field")
 
 
 def _lines(spark, sf_dir):

@@ -69,6 +69,8 @@ def test_lookups(spark):
     kv = spark.createDataFrame([("account:alice", "x"), ("account:bob", '{"t":1}')], "key string, value string")
     df = stream(spark, ['{"id":"alice"}', '{"id":"charlie"}', '{"id":"bob"}', '{"id":5}', "no"])
     assert len(values(records.lookup_filter(df, "account:${$.id}", kv))) == 2
+    spaced = stream(spark, ['{"id":"alice"}\n', ' \t{"id":"bob" } \r\n'])
+    assert values(records.lookup_enrich(spaced, "account:${$.id}", kv, 'a"b')) == ['{"id":"alice","a\\"b":"x"}', '{"id":"bob" ,"a\\"b":{"t":1}}']
     assert values(records.lookup_enrich(df, "account:${$.id}", kv, "tier")) == ['{"id":"alice","tier":"x"}', '{"id":"charlie"}', '{"id":"bob","tier":{"t":1}}', '{"id":5}', "no"]
 
 
@@ -77,6 +79,7 @@ def test_point_sink(spark):
     got = logs.sink_points(df, "m", {"cpu": "$.cpu"}, {"host": "$.host"}).orderBy("pos").collect()
     assert [(r.tags, r.value) for r in got] == [({"host": "a"}, 72.5), ({}, 85.3)]
     assert [r.value for r in logs.sink_points(df, "m").collect()] == [1.5]
+    assert [(r.field, r.value) for r in logs.sink_points(df, "m", value_field="cpu").orderBy("pos").collect()] == [("value", 72.5), ("value", 85.3), ("value", 1.5)]
 
 
 def test_kv_fold(spark):
@@ -87,7 +90,7 @@ def test_kv_fold(spark):
     assert [got[i] for i in range(6, 12)] == [(True, 1, '{"p":[{"c":1}]}'), (True, 2, '{"p":[{"c":2}]}'), (False, 2, '{"p":[{"c":2}]}'), (True, 3, '{"p":[]}'), (True, 3, '{"p":[]}'), (True, 4, "3")]
 
 
-JOB = {"kind": "Processing", "name": "j", "sources": [{"stream": "s"}], "operators": [{"type": "filter", "condition": "json:$.amount>5"}, {"type": "keyby", "key_expression": "$.user"}, {"type": "aggregate", "function": "sum", "field": "$.amount"}], "sinks": [{"stream": "out"}, {"kv": {"prefix": "p"}}]}
+JOB = {"kind": "Processing", "name": "j", "sources": [{"stream": {"name": "s"}}], "operators": [{"type": "filter", "condition": "json:$.amount>5"}, {"type": "keyby", "key_expression": "$.user"}, {"type": "aggregate", "function": "sum", "field": "$.amount"}], "sinks": [{"stream": {"name": "out"}}, {"kv": {"key_prefix": "p"}}]}
 
 
 def change(**kw):
@@ -97,10 +100,16 @@ def change(**kw):
 @pytest.mark.parametrize(
     ("text", "said"),
     [
-        (change(kind="X"), "kind"), (change(extra=1), "extra"), (change(sources=[]), "sources"), (change(sources=[{"stream": "a"}, {"stream": "a"}]), "once"), (change(sources=[{"stream": "a", "ts": "b"}]), "exactly one"),
+        (change(kind="X"), "kind"), (change(extra=1), "extra"), (change(sources=[]), "sources"), (change(sources=[{"stream": {"name": "a"}}, {"stream": {"name": "a"}}]), "once"), (change(sources=[{"stream": {"name": "a"}, "ts": {"measurement": "b"}}]), "exactly one"),
         (change(operators=[{"type": "join"}]), "join"), (change(operators=[{"type": "dedup"}]), "dedup"), (change(operators=[{"type": "aggregate", "function": "sum", "field": "a", "window": "tumbling"}]), "window"), (change(operators=[{"type": "aggregate", "function": "count", "event_time_field": "t"}]), "event_time_field"),
-        (change(operators=[{"type": "filter", "condition": "what"}]), "condition"), (change(operators=[{"type": "filter"}]), "condition"), (change(sinks=[{"kv": {"prefix": "x"}, "queue": "q"}]), "exactly one"), (change(sources=[{"ts": "m"}]), "kv"), (change(sinks=[{"stream": {"name": "o", "namespace": "other"}}]), "namespace"),
-        ('{"kind":"Processing","kind":"Processing"}', "twice"), (change(sinks=[{"queue": {"name": "q", "priority": 300}}]), "priority"), (change(operators=[{"type": "passthrough"}] * 257), "256"),
+        (change(operators=[{"type": "filter", "condition": "what"}]), "condition"), (change(operators=[{"type": "filter"}]), "condition"), (change(sinks=[{"kv": {"key_prefix": "x"}, "queue": {"name": "q"}}]), "exactly one"), (change(sources=[{"ts": {"measurement": "m"}}]), "kv"), (change(sinks=[{"stream": {"name": "o", "namespace": "other"}}]), "namespace"),
+        (change(sources=[{"stream": {"name": "a", "partition": 1}}]), r"sources\[0\].stream.partition"), (change(sources=[{"stream": {"name": "a", "partitions": 3}}]), "partitions"), (change(sources=["a"]), r"sources\[0\]: must be a mapping"), (change(sources=[{"stream": "a"}]), "mapping"),
+        (change(match=5), "job.match"), (change(sinks=[{"stream": {"name": "o"}, "match": 5}]), "match"), (change(sinks=[{"stream": {"name": "o"}, "match": ["a", 1]}]), r"match\[1\]"), (change(operators=[{"type": "classify", "rules": [{"tag": "x"}]}]), r"rules\[0\].condition"),
+        (change(operators=[{"type": "classify", "rules": [{"condition": "not_empty"}]}]), r"rules\[0\].tag"), (change(operators=[{"type": "filter", "condition": 5}]), "condition"), (change(sinks=[{"queue": {"priority": "high"}}]), "priority"), (change(batch_size=0), "batch_size"), (change(batch_size=-5), "batch_size"),
+        (change(batch_size="many"), "batch_size"), (change(batch_size=True), "batch_size"), (change(sources=[{"ts": {"measurement": "m", "lateness_ms": "1s"}}], sinks=[{"stream": {"name": "o"}}]), "lateness_ms"), (change(sinks=[{"kv": {"ttl_ms": -1}}]), "ttl_ms"), (change(sinks=[{"kv": {"ttl_ms": "5"}}]), "ttl_ms"),
+        (change(sinks=[{"kv": {"prefix": "p"}}]), "kv.prefix"), (change(sinks=[{"ts": {"field": "x"}}]), "ts.field"), (change(sinks=[{"ts": {"tags": {"a": 1}}}]), "tags.a"), (change(name=5), "name"), (change(operators=[{"type": "map", "x": ["a"]}]), r"operators\[0\].x"),
+        (change(operators=[{"type": "aggregate", "function": "sum", "field": 5}]), "field"), (change(operators=[{"type": "aggregate", "function": "count", "window": "count", "window_size": 2, "window_count": 2}]), "one of them"),
+        (change(operators=[{"type": "aggregate", "function": "count", "window": "count", "window_size": 0}]), "window_size"), (change(operators=[{"type": "aggregate", "function": "count", "window_count": 2}]), "window_count"), ("[1]", "mapping"), ('{"kind":"Processing","kind":"Processing"}', "twice"), (change(sinks=[{"queue": {"name": "q", "priority": 300}}]), "priority"), (change(operators=[{"type": "passthrough"}] * 257), "256"),
     ],
 )
 def test_refused_jobs(text, said):
@@ -110,8 +119,33 @@ def test_refused_jobs(text, said):
 
 def test_yaml_job():
     pytest.importorskip("yaml")
-    job = parse_job("kind: Processing\nname: y\nsources:\n  - stream: {name: a}\nsinks:\n  - queue: q\n    match: [hot]\noperators:\n  - type: classify\n    rules:\n      - {condition: 'value_contains:x', tag: hot}\n")
-    assert job.sinks[0].match == ("hot",) and job.operators[0].kind == "classify"
+    job = parse_job("kind: Processing\nname: y\nsources:\n  - stream: {name: a}\nsinks:\n  - queue: {priority: 3}\n    name: q\n    match: [hot]\noperators:\n  - type: classify\n    rules:\n      - {condition: 'value_contains:x', tag: hot}\n  - type: map\n    who: $.user\n    n: 5\n")
+    assert job.sinks[0].match == ("hot",) and job.sinks[0].settings["name"] == "q" and job.operators[0].kind == "classify"
+    assert job.operators[1].settings == {"mapping": {"who": "$.user", "n": "5"}}
+
+
+@pytest.mark.parametrize("word", ["payment", "refund", "transfer"])
+def test_router_jobs(spark, word):
+    """Jobs of the shape that routers have: a named source that reads all partitions, a named filter and sink."""
+    spec = {"kind": "Processing", "name": f"{word}-router", "namespace": "default", "sources": [{"name": "raw", "stream": {"name": "transactions", "partitions": "all"}}], "operators": [{"type": "filter", "name": f"is-{word}", "condition": f"value_contains:{word}"}], "sinks": [{"name": "output", "stream": {"name": f"{word}s"}}]}
+    job = parse_job(json.dumps(spec))
+    assert (job.sources[0].name, job.sources[0].reads, job.operators[0].name, job.sinks[0].reads) == ("raw", "transactions", f"is-{word}", f"{word}s")
+    df = stream(spark, ["a payment", "a refund", "a transfer", "nothing"])
+    assert values(run_chain(job, {"transactions": df})) == [f"a {word}"]
+
+
+def test_lookup_job(spark):
+    spec = {"kind": "Processing", "name": "deposits", "namespace": "default", "sources": [{"name": "hooks", "stream": {"name": "in", "partitions": "all"}}], "operators": [{"type": "filter", "name": "deposits-only", "condition": "value_contains:deposit"}, {"type": "kv_lookup", "name": "known", "lookup_key": "account:${$.account_id}", "namespace": "default", "mode": "filter"}], "sinks": [{"stream": {"name": "out"}}]}
+    kv = spark.createDataFrame([("account:1", "x")], "key string, value string")
+    df = stream(spark, ['{"type":"deposit","account_id":"1"}', '{"type":"deposit","account_id":"2"}', '{"type":"other","account_id":"1"}'])
+    assert values(run_chain(parse_job(json.dumps(spec)), {"in": df}, {"default": kv}.get)) == ['{"type":"deposit","account_id":"1"}']
+
+
+def test_defaults_of_a_job():
+    job = parse_job(json.dumps({"kind": "Processing", "sources": [{"ts": {"measurement": "m", "tags": {"h": "a"}}}, {"stream": {"name": "s", "batch_size": 7, "poll_interval_ms": 50}}], "sinks": [{"ts": {}}, {"stream": {"name": "o"}}], "batch_size": 500}))
+    assert job.name == "unnamed-job" and [s.name for s in job.sources] == ["default-source-0", "default-source-1"]
+    assert job.sources[0].settings == {"measurement": "m", "field": "", "tags": {"h": "a"}, "lateness_ms": 30_000, "namespace": "default", "batch_size": 500, "poll_interval_ms": 1000}
+    assert job.sources[1].settings["batch_size"] == 7 and job.sinks[0].settings["measurement"] == "default-sink-0"
 
 
 def test_streaming_equals_batch(spark, tmp_path):
@@ -133,9 +167,10 @@ def test_streaming_equals_batch(spark, tmp_path):
 
 def test_points_as_records(spark):
     from tarnflow.sources.tables import POINTS
+    from tarnflow.streaming.lateness import ready_points
 
     p = spark.createDataFrame([("m", "value", {}, "", t * 10**9, t, float(t)) for t in (10, 20, 50)], POINTS)
-    assert values(points_as_records(p, "m", lateness_ms=30_000)) == ['{"measurement":"m","value":10.0,"timestamp_ms":10000}', '{"measurement":"m","value":20.0,"timestamp_ms":20000}']
+    assert values(points_as_records(ready_points(p, 30_000), "m")) == ['{"measurement":"m","value":10.0,"timestamp_ms":10000}', '{"measurement":"m","value":20.0,"timestamp_ms":20000}']
 
 
 def test_job_lifecycle(spark, tmp_path):
@@ -166,9 +201,9 @@ def test_point_source_goes_through_to_a_point_sink(spark):
     from tarnflow.sources.tables import POINTS
 
     p = spark.createDataFrame([("m", "value", {"h": str(t % 2)}, f"h={t % 2}", t * 10**9 + 7, t, float(t)) for t in range(6)], POINTS)
-    spec = {"kind": "Processing", "name": "f", "sources": [{"ts": {"measurement": "m"}}], "operators": [{"type": "map", "mapping": {"x": "y"}}, {"type": "aggregate", "function": "count"}, {"type": "filter", "condition": "json:$.count>2"}], "sinks": [{"ts": {"measurement": "out"}}]}
+    spec = {"kind": "Processing", "name": "f", "sources": [{"ts": {"measurement": "m"}}], "operators": [{"type": "map", "x": "y"}, {"type": "aggregate", "function": "count"}, {"type": "filter", "condition": "json:$.count>2"}], "sinks": [{"ts": {"measurement": "out"}}]}
     job = parse_job(json.dumps(spec))
-    got = to_sinks(job, run_chain(job, {"m": points_as_records(p, "m")}))[0][1].orderBy("pos").collect()
+    got = to_sinks(job, run_chain(job, {"m": p}))[0][1].orderBy("pos").collect()
     assert [(r.measurement, r.field, r.tags, r.ts_ns, r.value) for r in got] == [("out", "value", {"h": str(t % 2)}, t * 10**9 + 7, float(t)) for t in (2, 3, 4, 5)]
 
 
@@ -176,8 +211,135 @@ def test_kv_sink_time_to_live(spark):
     rows = [("s", "a", "1", 5, [], 5, 1), ("s", "a", "2", 9, [], 9, 2), ("s", "", "3", 9, [], 9, 3)]
     df = spark.createDataFrame(rows, "source string, key string, value string, event_time_ms long, tags array<string>, ts_ms long, seq long")
     stamped = logs.sink_kv(df, "p", ttl_ms=100)
-    assert sorted(map(tuple, stamped.collect())) == [("p", "3", 109_000_000), ("p:a", "2", 109_000_000)]
+    assert sorted(map(tuple, stamped.collect())) == [("p:", "3", 109_000_000), ("p:a", "2", 109_000_000)]
     assert {r.expiry_ns for r in logs.sink_kv(df, "p", ttl_ms=100, now_ms=1000).collect()} == {1_100_000_000}
     assert logs.sink_kv(df, "p").columns == ["key", "value"] and logs.sink_kv(df).count() == 1
     with pytest.raises(ValueError):
         logs.sink_kv(df, ttl_ms=0)
+
+
+def test_late_points_batch_equals_stream(spark, tmp_path):
+    """Points in three files: one within the lateness behind the newest is read, one behind it is late and counted, and
+    what may still be overtaken waits for newer ones."""
+    import json as j
+
+    from tarnflow.sources.tables import POINTS
+    from tarnflow.streaming.jobs import Jobs
+    from tarnflow.streaming.lateness import hold_back, mark_late, ready_points
+
+    at = [10_000, 20_000, 18_000, 9_000, 30_000, 26_500, 27_500, 30_000]
+    rows = [("m", "value", {"h": "ab"[i % 2]}, f"h={'ab'[i % 2]}", t * 10**6, i, float(i)) for i, t in enumerate(at)]
+    df = spark.createDataFrame(rows, POINTS)
+    for low, high in ((0, 2), (2, 5), (5, 8)):
+        df.where(F.col("pos").between(low, high - 1)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert [r.pos for r in mark_late(df, 3000).where("late").orderBy("pos").collect()] == [3, 5]
+    assert [r.pos for r in ready_points(df, 3000).orderBy("ts_ns", "pos").collect()] == [0, 2, 1]
+
+    live = spark.readStream.schema(POINTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = hold_back(live, 3000, idle=False).writeStream.format("parquet").option("path", str(tmp_path / "held")).option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "held")).collect()
+    assert sorted(r.pos for r in got if not r.late) == [0, 1, 2] and sorted(r.pos for r in got if r.late) == [3, 5]
+    assert {r.pos: r.tags for r in got}[1] == {"h": "b"}
+
+    spec = {"kind": "Processing", "name": "late", "sources": [{"ts": {"measurement": "m", "lateness_ms": 3000, "poll_interval_ms": 100}}], "sinks": [{"stream": {"name": "o"}}]}
+    job, jobs = parse_job(j.dumps(spec)), Jobs()
+    batch = values(run_chain(job, {"m": df}))
+    jobs.start(job, {"m": live}, str(tmp_path / "job"))
+    import time
+
+    for _ in range(60):  # the field goes quiet, and what is held is released after its lateness
+        time.sleep(0.5)
+        if jobs.status("late")["records_out"] == 6:
+            break
+    status = jobs.status("late")
+    jobs.stop("late")
+    assert (status["records_out"], status["dropped"], status["late_points"]) == (6, 0, 2)
+    assert sorted(r.value for r in spark.read.parquet(str(tmp_path / "job/sink0-stream")).collect()) == sorted(batch)
+
+
+def test_a_source_applies_its_field_and_exact_tags(spark):
+    from tarnflow.sources.tables import POINTS
+
+    p = spark.createDataFrame([("m", f, t, "", 10**9 * i, i, float(i)) for i, (f, t) in enumerate([("value", {"h": "a"}), ("value", {"h": "a", "z": "1"}), ("other", {"h": "a"}), ("value", {"h": "b"}), ("value", {"h": "a"})])], POINTS)
+    job = parse_job(json.dumps({"kind": "Processing", "sources": [{"ts": {"measurement": "m", "tags": {"h": "a"}}}], "sinks": [{"stream": {"name": "o"}}]}))
+    assert [json.loads(v)["timestamp_ms"] for v in values(run_chain(job, {"m": p}))] == [0, 4000]
+    job = parse_job(json.dumps({"kind": "Processing", "sources": [{"ts": {"measurement": "m", "field": "other"}}], "sinks": [{"stream": {"name": "o"}}]}))
+    assert len(values(run_chain(job, {"m": p}))) == 1
+
+
+def test_sinks_count_what_they_drop(spark, tmp_path):
+    df = stream(spark, ['{"v":1}', '{"v":"x"}', "NaN", "2.5", "z" * 70_000])
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    job = parse_job(json.dumps({"kind": "Processing", "sources": [{"stream": {"name": "s"}}], "sinks": [{"ts": {"measurement": "m", "value_field": "v"}}, {"kv": {}}, {"queue": {"name": "q"}}, {"stream": {"name": "o"}}]}))
+    start_job(job, {"s": live}, str(tmp_path / "out")).awaitTermination(120)
+    got = {r.kind: (r.taken, r.dropped) for r in spark.read.parquet(str(tmp_path / "out/counters")).collect()}
+    assert got == {"ts": (5, 3), "kv": (5, 5), "queue": (5, 1), "stream": (5, 0)}
+
+
+def test_lookups_of_a_stream_see_new_keys(spark, tmp_path):
+    """The kv frame is built for each micro-batch: a key set between two of them is found by the second."""
+    df = stream(spark, ['{"id":"a"}', '{"id":"b"}'])
+    for i in (0, 1):
+        df.where(F.col("seq") == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    asked = []
+
+    def kv(_):
+        asked.append(1)
+        return spark.createDataFrame([("a" if len(asked) == 1 else "b", "1")], "key string, value string")
+
+    live = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    job = parse_job(json.dumps({"kind": "Processing", "sources": [{"stream": {"name": "s"}}], "operators": [{"type": "kv_lookup", "lookup_key": "${$.id}"}], "sinks": [{"stream": {"name": "o"}}]}))
+    start_job(job, {"s": live}, str(tmp_path / "out"), kv).awaitTermination(120)
+    assert len(asked) == 2 and spark.read.parquet(str(tmp_path / "out/sink0-stream")).count() == 2
+
+
+def test_user_functions(spark, tmp_path):
+    from dataclasses import replace
+
+    from tarnflow.plans.job_definition import Step
+    from tarnflow.streaming import user_functions
+
+    @user_functions.register("tagger")
+    def tagger(pdf):
+        out = pdf[pdf["value"].str.len() > 1].copy()
+        out["tags"] = [["long"] if len(v) > 3 else [] for v in out["value"]]
+        return out
+
+    @user_functions.register("counter", stateful=True)
+    def counter(pdf, state):
+        n = state.get("n", 0) + 1 + pdf.reset_index(drop=True).index
+        state["n"] = int(n[-1])
+        return pdf.assign(value=[f"{k}{i}" for k, i in zip(pdf["key"], n, strict=True)])
+
+    try:
+        df = stream(spark, ["aaaa", "b", "cc", "dddd"], ["x", "y", "x", "x"])
+        base = parse_job(change(operators=[], sinks=[{"stream": {"name": "o"}}]))
+        job = replace(base, operators=(Step("function", {"function": "tagger"}), Step("function", {"function": "counter"})))
+        out = run_chain(job, {"s": df})
+        assert values(out) == ["x1", "x2", "x3"] and values(records.route(out, ["long"])) == ["x1", "x3"]
+        for i in range(4):
+            df.where(F.col("seq") == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        live = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        start_job(job, {"s": live}, str(tmp_path / "out")).awaitTermination(120)
+        assert sorted(r.value for r in spark.read.parquet(str(tmp_path / "out/sink0-stream")).collect()) == ["x1", "x2", "x3"]
+        with pytest.raises(ValueError):
+            user_functions.register("tagger")(tagger)
+    finally:
+        user_functions.unregister("tagger")
+        user_functions.unregister("counter")
+    with pytest.raises(ValueError, match="no function"):
+        user_functions.apply_function(df, "tagger")
+
+
+def test_count_windows_over_batches(spark, tmp_path):
+    """Windows of three records that begin in one micro-batch and end in another."""
+    df = stream(spark, [json.dumps({"u": "ab"[i % 2], "n": float(i * 7 % 11)}) for i in range(20)])
+    for part in range(3):
+        df.where(F.floor(F.col("seq") / 7) == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for function in ("avg", "min"):
+        job = parse_job(change(operators=[{"type": "keyby", "key_expression": "$.u"}, {"type": "aggregate", "function": function, "field": "$.n", "window": "count", "window_count": 3}], sinks=[{"stream": {"name": "o"}}]))
+        live = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        start_job(job, {"s": live}, str(tmp_path / function)).awaitTermination(120)
+        assert sorted(r.value for r in spark.read.parquet(str(tmp_path / function / "sink0-stream")).collect()) == sorted(values(run_chain(job, {"s": df})))
