@@ -38,7 +38,7 @@ from .common import WHITE_SPACE, hash_words, materialize, settled, tidy, working
 from .tokens import encode_units, tokenizer, vocabulary_path
 
 #: Words that a task holds before it sends them; bytes of text for each word group.
-HELD, GROUP_BYTES = 600_000, 8 << 20
+HELD, GROUP_BYTES = 600_000, 32 << 20
 
 
 def _packed(data: bytes) -> bytes:
@@ -65,10 +65,13 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
 
 
 def _asked(groups: int):
-    """(split, word_group, words): sorted distinct words of a split, newline-joined and compressed."""
+    """(split, part, word_group, words): sorted distinct words of a split, newline-joined and compressed; part is the
+    task that read the split."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, held = None, []
+        from pyspark import TaskContext
+
+        split, held, part = None, [], TaskContext.get().partitionId()
 
         def out():
             words = pa.concat_arrays(held).unique()
@@ -77,7 +80,7 @@ def _asked(groups: int):
             order = np.argsort(group, kind="stable")
             ends = np.searchsorted(group[order], np.arange(groups + 1, dtype=np.uint64))
             rows = [(g, _packed("\n".join(words.take(pa.array(order[a:b])).to_pylist()).encode())) for g, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array([split] * len(rows), pa.int64()), pa.array([g for g, _ in rows], pa.int32()), pa.array([w for _, w in rows], pa.binary())], ["split", "word_group", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array([split] * len(rows), pa.int64()), pa.array([part] * len(rows), pa.int32()), pa.array([g for g, _ in rows], pa.int32()), pa.array([w for _, w in rows], pa.binary())], ["split", "part", "word_group", "words"])
 
         for batch in batches:
             ids = np.asarray(batch.column("split"))
@@ -99,7 +102,7 @@ def _asked(groups: int):
 
 
 def _answered(vocabulary: str):
-    """(split, words, sizes, ids): each word of a group is encoded once, however many splits ask."""
+    """(split, part, words, sizes, ids): each word of a group is encoded once, however many splits ask."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, bytes] = {}
@@ -115,7 +118,7 @@ def _answered(vocabulary: str):
                 got = [known[w] for w in words]
                 sizes.append(_packed(np.fromiter((len(g) >> 2 for g in got), np.uint32, len(got)).tobytes()))
                 ids.append(_packed(b"".join(got)))
-            yield pa.RecordBatch.from_arrays([batch.column("split"), batch.column("words"), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], ["split", "words", "sizes", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("split"), batch.column("part"), batch.column("words"), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], ["split", "part", "words", "sizes", "ids"])
 
     return of
 
@@ -202,10 +205,12 @@ def word_table_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFr
         docs = materialize(docs, "words-docs")
     split = F.xxhash64(F.input_file_name(), F.input_file_block_start())
     rows = docs.select("doc_id", _split_words("text").alias("words"), split.alias("split"))
-    groups = max(spark.sparkContext.defaultParallelism, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // GROUP_BYTES))
-    asked = rows.select("words", "split").mapInArrow(tidy(_asked(groups)), "split long, word_group int, words binary")
+    groups = max(4 * spark.sparkContext.defaultParallelism, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // GROUP_BYTES))
+    asked = rows.select("words", "split").mapInArrow(tidy(_asked(groups)), "split long, part int, word_group int, words binary")
     # as many tasks as groups: none grows with the corpus
-    answered = asked.repartition(groups, "word_group").sortWithinPartitions("word_group").mapInArrow(tidy(_answered(vocabulary)), "split long, words binary, sizes binary, ids binary")
+    answered = asked.repartition(groups, "word_group").sortWithinPartitions("word_group").mapInArrow(tidy(_answered(vocabulary)), "split long, part int, words binary, sizes binary, ids binary")
     folder = working_folder(spark, "words")
-    answered.repartition(groups, "split").write.partitionBy("split").option("compression", "none").parquet(folder)
+    # a task for each that read splits, so what one of them lays out doesn't grow with the corpus either
+    parts = max(1, rows.rdd.getNumPartitions())
+    answered.repartitionById(parts, "part").drop("part").write.partitionBy("split").option("compression", "none").parquet(folder)
     return rows.mapInArrow(tidy(_digests(vocabulary, folder)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
