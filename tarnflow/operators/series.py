@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import glob_match
 from ..plans.pipe_language import AGGREGATES, PipeQuery, Stage, TagFilter, parse
+from .ordered import previous
 
 DEFAULT_WINDOW_MS, MOST_BUCKETS = 60_000, 1_000_000
 Source = Callable[[int | None, int | None], DataFrame]
@@ -49,8 +50,8 @@ def _bucketed(df: DataFrame, width_ms: int, agg: Column) -> DataFrame:
 
 
 def _previous(df: DataFrame) -> DataFrame:
-    w = Window.partitionBy("series_key").orderBy("ts_ns", "pos")
-    return df.withColumn("v0", F.lag("value").over(w)).withColumn("t0", F.lag("ts_ns").over(w)).where("t0 is not null")
+    """With the value and time of the series' point before; a series' first point goes."""
+    return previous(df, ["series_key"], ["ts_ns", "pos"], {"v0": "value", "t0": "ts_ns"}).where("t0 is not null")
 
 
 def _edge(df: DataFrame, last: bool) -> DataFrame:

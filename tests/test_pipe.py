@@ -132,3 +132,44 @@ def test_range_reaches_the_scan(spark, sf):
     spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
     plan = event_points(spark, sf, 1704067200000 * 1_000_000, None).where(F.col("measurement") == "click")._jdf.queryExecution().toString()
     assert "PushedFilters: [" in plan and "GreaterThanOrEqual(ts" in plan and "EqualTo(event_type,click)" in plan
+
+
+@pytest.mark.parametrize("rows", [7, None])
+def test_values_before_equal_a_plain_walk(spark, rows):
+    """Previous and running values over stretches, with most rows crowded into a short time, ties, nulls and one far away."""
+    from pyspark.sql import functions as F
+
+    from tarnflow.operators.ordered import previous, running, with_stretch
+
+    at = [0] + [10**12 + i // 3 for i in range(200)] + [10**15]
+    table = [("ab"[i % 5 == 0], t, i, None if i % 11 == 0 else float(i * 7 % 13)) for i, t in enumerate(at)] + [(None, 5, 900, 1.0), (None, 10**12, 901, 2.0)]
+    df = spark.createDataFrame(table, "k string, at long, pos long, v double").repartition(4)
+    got = {r.pos: r for r in previous(df, ["k"], ["at", "pos"], {"v0": "v", "p0": "pos"}, rows=rows).collect()}
+    sums = {r.pos: (r.s, r.n) for r in running(df, ["k"], ["at", "pos"], {"s": ("sum", "v"), "n": ("count", "v")}, rows=rows).collect()}
+    assert len(got) == len(sums) == len(table)
+    last, total = {}, {}
+    for k, _, pos, v in sorted(table, key=lambda r: (r[1], r[2])):
+        assert (got[pos].v0, got[pos].p0) == last.get(k, (None, None))
+        last[k] = (v, pos)
+        s, n = total.get(k, (None, 0))
+        total[k] = (s, n) if v is None else ((s or 0.0) + v, n + 1)
+        assert sums[pos] == total[k]
+    if rows == 7:
+        sizes = [r["count"] for r in with_stretch(df, "at", 7).groupBy("_stretch").count().collect()]
+        assert max(sizes) <= 30 and len(sizes) > 15
+    assert previous(df.where("false"), ["k"], ["at", "pos"], {"v0": "v"}, rows=rows).count() == 0
+    assert with_stretch(df.withColumn("at", F.lit(None).cast("long")), "at", 7).select("_stretch").distinct().count() == 1
+
+
+def test_rate_of_many_stretches(spark, monkeypatch):
+    """rate and delta of one hot series, over stretches."""
+    from tarnflow.operators import ordered
+
+    rows = [("m", "value", {"h": "a"}, "h=a", i * 10**9, i, float(i * i % 17)) for i in range(300)]
+    df = spark.createDataFrame(rows, POINTS)
+    source = lambda low, high: df
+    want = {s: sorted(map(tuple, run_pipe(source, f"m[0..400000] | {s}", 400_000, True).collect())) for s in ("rate(1m)", "delta()")}
+    monkeypatch.setattr(ordered, "SMALL_BYTES", 0)
+    monkeypatch.setattr(ordered, "CHUNK_ROWS", 20)
+    for s, rows in want.items():
+        assert len(rows) in (299, 300) and sorted(map(tuple, run_pipe(source, f"m[0..400000] | {s}", 400_000, True).collect())) == rows
