@@ -69,6 +69,26 @@ def page_status(points: DataFrame, measurement: str, field: str = "value") -> Da
     return here.agg((F.count(F.lit(1)) > 0).alias("found"))
 
 
+def dashboard_page(points: DataFrame, measurement: str, window: str | None = None, aggregation: str | None = None, **page) -> DataFrame:
+    """A page as a dashboard asks for it: window and aggregation are given back beside the points and not applied."""
+    out = read_page(points, measurement, **page)
+    return out.select(F.lit(measurement).alias("measurement"), F.lit(window).cast("string").alias("window"), F.lit(aggregation).cast("string").alias("aggregation"), "ts_ns", "pos", "value")
+
+
+def names_page(df: DataFrame, column: str, after: str | None = None, prefix: str = "", limit: int = 100) -> DataFrame:
+    """A page of a column's distinct names in order, behind an exclusive name; limit is the page's size."""
+    names = df.select(F.col(column).alias("name")).where(F.col("name").startswith(prefix))
+    if after is not None:
+        names = names.where(F.col("name") > after)
+    return names.distinct().orderBy("name").limit(limit)
+
+
+def guarded(df: DataFrame, most: int, what: str) -> DataFrame:
+    """df, or an error once it is run where it has more rows than allowed; it is counted first, by one subquery."""
+    n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return df.withColumn("_n", n).where(F.when(F.col("_n") > most, F.raise_error(F.concat(F.lit(f"{what}: more than {most} points, "), F.col("_n").cast("string"))).cast("boolean")).otherwise(F.lit(True))).drop("_n")
+
+
 def list_measurements(points: DataFrame) -> DataFrame:
     return points.groupBy("measurement").agg(F.countDistinct("tag_key").alias("series"), F.countDistinct("field").alias("fields"), F.count(F.lit(1)).alias("points"))
 

@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from ..functions.text import glob_match
 from ..plans.pipe_language import AGGREGATES, PipeQuery, Stage, TagFilter, parse
 from .ordered import previous
+from .points import guarded
 
 DEFAULT_WINDOW_MS, MOST_BUCKETS = 60_000, 1_000_000
+#: A server's limits (fixed values).
+MOST_SCANNED, MOST_ANSWERED = 131_072, 4096
 Source = Callable[[int | None, int | None], DataFrame]
 
 
@@ -113,13 +116,16 @@ def apply_stage(df: DataFrame, stage: Stage, width_ms: int, called: str | None =
     return df  # field and window act at plan time
 
 
-def run_pipe(source: Source, text: str, now_ms: int | None = None, merged: bool = False) -> DataFrame:
-    """Runs a pipe query; merged serves all matching series as one tagless series.
+def run_pipe(source: Source, text: str, now_ms: int | None = None, merged: bool = False, strict_limits: bool = False) -> DataFrame:
+    """Runs a pipe query; merged serves all matching series as one tagless series. With strict_limits a query that
+    scans or answers more points than a server would is an error; analytics do without.
 
     An alias renames series and merges none: stages behind it still tell them apart by their own keys.
     """
     query = parse(text, int(time.time() * 1000) if now_ms is None else now_ms)
     df, width, called = scan(source, query, merged), DEFAULT_WINDOW_MS, None
+    if strict_limits:
+        df = guarded(df, MOST_SCANNED, "scan")
     for stage in query.stages:
         if stage.name == "window":
             width = stage.args[0]
@@ -130,4 +136,6 @@ def run_pipe(source: Source, text: str, now_ms: int | None = None, merged: bool
         if stage.name == "group_by":
             called = None
     key = F.col("series_key") if called is None else F.lit(called)
+    if strict_limits:
+        df = guarded(df, MOST_ANSWERED, "answer")
     return df.select(key.alias("series_key"), "field", "ts_ns", "value")

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from ..operators import keyvalue, logs, records
 from ..operators.catalog import current_catalog, fold_catalog
-from ..operators.points import page_status
+from ..operators.points import dashboard_page, names_page, page_status
 from ..operators.series import ranking, run_pipe
 from ..sources import tables as t
+from ..streaming import event_time
 from ..streaming.lateness import mark_late
 from ..streaming.runner import run_chain, to_sinks
 from .job_definition import parse_job
@@ -157,3 +158,22 @@ def _catalog(spark, sf_dir):
 _add("catalog_fold", lambda spark, sf: fold_catalog(_catalog(spark, sf)).where("seq < 6").select("name", "seq", "applied", "exists", F.element_at("settings", F.lit("keep")).alias("keep"), F.element_at("settings", F.lit("parts")).alias("parts")), "SELECT n_name AS name, s.* FROM nation, (VALUES (1::BIGINT, true, true, '1d', '4'), (2, false, true, '1d', '4'), (3, true, true, '2d', '4'), (4, true, false, NULL, NULL), (5, false, false, NULL, NULL)) s(seq, applied, exists, keep, parts)")
 _add("catalog_current", lambda spark, sf: current_catalog(_catalog(spark, sf)).select("name", F.element_at("settings", F.lit("keep")).alias("keep"), F.element_at("settings", F.lit("parts")).alias("parts")), "SELECT n_name AS name, CAST(NULL AS VARCHAR) AS keep, '1' AS parts FROM nation WHERE n_nationkey % 2 = 1")
 _add("ts_late_points", lambda spark, sf: mark_late(t.lineitem_points(spark, sf), 86_400_000).groupBy("field").agg(F.count_if("late").alias("late"), F.count(F.lit(1)).alias("points")), "WITH p AS (SELECT epoch_us(l_shipdate) AS us, max(epoch_us(l_shipdate)) OVER (ORDER BY l_orderkey * 8 + l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM lineitem) SELECT f.field, count(*) FILTER (newest - us > 86400000000) AS late, count(*) AS points FROM p, (VALUES ('quantity'), ('extendedprice'), ('discount'), ('tax')) f(field) GROUP BY f.field")
+
+
+_add("ts_dashboard", lambda spark, sf: dashboard_page(t.event_points(spark, sf), "click", "1h", "avg", limit=50), f"WITH {_EV} SELECT 'click' AS measurement, '1h' AS window, 'avg' AS aggregation, ts_ns, pos, v AS value FROM e ORDER BY ts_ns, pos LIMIT 50")
+_add("names_page", lambda spark, sf: names_page(t.customer_kv(spark, sf), "key", "customer:12", "customer:1", 30), "SELECT DISTINCT 'customer:' || c_custkey AS name FROM customer WHERE CAST(c_custkey AS VARCHAR) LIKE '1%' AND 'customer:' || c_custkey > 'customer:12' ORDER BY name LIMIT 30")
+_add("pq_strict", lambda spark, sf: run_pipe(lambda a, b: t.event_points(spark, sf, a, b), f"click[{LOW}..{HIGH}] | window(1d) | sum()", HIGH, True, True).withColumn("value", F.round("value", 6)), f"WITH {_EV}, s AS (SELECT *, min(ts_ns) OVER () AS o FROM e) SELECT 'click' AS series_key, 'value' AS field, o + (ts_ns - o) // 86400000000000 * 86400000000000 AS ts_ns, round(sum(v), 6) AS value FROM s GROUP BY o, (ts_ns - o) // 86400000000000")
+_add("job_time_window", lambda spark, sf: event_time.window_aggregate(_by_type(spark, sf), "sum", "$.amount", 3_600_000).select("key", "start_ms", F.round("value", 4).alias("value"), "count"), f"SELECT event_type AS key, {_MS} // 3600000 * 3600000 AS start_ms, round(sum(value), 4) AS value, count(*) AS count FROM events GROUP BY ALL")
+_add("job_sliding_window", lambda spark, sf: event_time.window_aggregate(_by_type(spark, sf), "max", "$.amount", 7_200_000, 3_600_000).select("key", "start_ms", "end_ms", "value"), f"WITH e AS (SELECT *, {_MS} // 3600000 * 3600000 AS h FROM events), w AS (SELECT event_type, h AS s, value FROM e UNION ALL SELECT event_type, h - 3600000, value FROM e) SELECT event_type AS key, s AS start_ms, s + 7200000 AS end_ms, max(value) AS value FROM w GROUP BY event_type, s")
+_add("job_session", lambda spark, sf: event_time.session_aggregate(records.key_by(t.event_stream(spark, sf), "$.user"), "count", None, 6 * 3_600_000).select("key", "start_ms", "end_ms", "count"), f"WITH e AS (SELECT *, {_MS} AS ms FROM events), g AS (SELECT *, coalesce(ms - lag(ms) OVER w >= 21600000, true) AS fresh FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id)), n AS (SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS s FROM g) SELECT 'u' || user_id AS key, min(ms) AS start_ms, max(ms) + 21600000 AS end_ms, count(*) AS count FROM n GROUP BY user_id, s")
+_add("job_dedup", lambda spark, sf: event_time.dedup(records.key_by(t.event_stream(spark, sf), "$.user"), ["key"]).select("key", "seq"), f"SELECT 'u' || user_id AS key, arg_min(event_id, ({_MS}, event_id)) AS seq FROM events GROUP BY user_id")
+
+
+def _clicks_and_errors(spark, sf_dir):
+    ev = records.key_by(t.event_stream(spark, sf_dir), "$.user")
+    kind = F.get_json_object("value", "$.type")
+    return event_time.join_within(ev.where(kind == "click"), ev.where(kind == "error"), 3_600_000, width_ms=10_000_000).select("key", "left_seq", "right_seq")
+
+
+_add("job_join_within", _clicks_and_errors, f"WITH e AS (SELECT *, {_MS} AS ms FROM events) SELECT 'u' || a.user_id AS key, a.event_id AS left_seq, b.event_id AS right_seq FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'error' AND abs(a.ms - b.ms) <= 3600000")
+_add("job_quiet_keys", lambda spark, sf: event_time.quiet_keys(records.key_by(t.event_stream(spark, sf), "$.user"), 86_400_000, HIGH).select("key", "last_ms", "quiet_ms"), f"WITH e AS (SELECT user_id, {_MS} AS ms, lead({_MS}, 1, {HIGH}) OVER (PARTITION BY user_id ORDER BY {_MS}, event_id) AS nxt FROM events) SELECT 'u' || user_id AS key, ms AS last_ms, nxt - ms AS quiet_ms FROM e WHERE nxt - ms >= 86400000")

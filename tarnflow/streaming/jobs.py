@@ -82,8 +82,9 @@ class Jobs:
         taken, dropped = self._counted(e)
         told = [(p.observedMetrics or {}).get("late_points") for p in recent]
         late = sum(row["late"] or 0 for row in told if row is not None)
+        newest = [m["newest_ms"] for p in recent for k, m in (p.observedMetrics or {}).items() if k.startswith("newest_") and m["newest_ms"] is not None]
         return {
-            "name": name, "records_out": taken, "dropped": dropped, "late_points": late, "state": self._state(e), "records_in": sum(p.numInputRows for p in recent), "batches": len(recent), "last_batch_ms": last.durationMs.get("triggerExecution", 0) if last else None,
+            "watermark_ms": max(newest, default=None), "name": name, "records_out": taken, "dropped": dropped, "late_points": late, "state": self._state(e), "records_in": sum(p.numInputRows for p in recent), "batches": len(recent), "last_batch_ms": last.durationMs.get("triggerExecution", 0) if last else None,
             "rows_a_second": last.processedRowsPerSecond if last else None, "watermark": last.eventTime.get("watermark") if last else None, "error": str(error) if error is not None else None,
         }
 

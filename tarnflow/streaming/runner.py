@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import threading
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -96,6 +98,34 @@ def source_records(source: Endpoint, df: DataFrame, idle: bool = True) -> DataFr
     return points_as_records(marked.where("not late").drop("late"), s["measurement"], s["field"] or "value")
 
 
+def blocking_read(live: DataFrame, after: tuple[int, int] | None = None, count: int = 1000, timeout_s: float = 30.0) -> list:
+    """Waits for records of a stream behind a place and returns the first page that has some, in order; an empty page
+    once the time is over. count, the page's size, bounds what the driver gets."""
+    found: list = []
+    arrived = threading.Event()
+
+    def take(batch: DataFrame, _: int) -> None:
+        if not found:
+            found.extend(logs.read_stream(batch, after, None, count).collect())
+            if found:
+                arrived.set()
+
+    query = live.writeStream.foreachBatch(take).trigger(processingTime="100 milliseconds").start()
+    try:
+        arrived.wait(timeout_s)
+    finally:
+        query.stop()
+    return found
+
+
+def seen_times(df: DataFrame) -> DataFrame:
+    """A source whose newest time is observed for the job's status; it drives nothing."""
+    if not df.isStreaming:
+        return df
+    at = F.expr("ts_ns div 1000000L") if "ts_ns" in df.columns else F.col("event_time_ms")
+    return df.observe(f"newest_{uuid.uuid4().hex}", F.max(at).alias("newest_ms"))
+
+
 def run_chain(job: Job, sources: dict[str, DataFrame], kv: Callable[[str], DataFrame] | None = None, steps: tuple[Step, ...] | None = None, idle: bool = True) -> DataFrame:
     """The union of every source's own chain; sources by the stream or measurement that they read."""
     out = None
@@ -161,7 +191,7 @@ def start_job(job: Job, sources: dict[str, DataFrame], folder: str, kv: Callable
         batch.sparkSession.createDataFrame(counters, COUNTERS).coalesce(1).write.mode("overwrite").parquet(f"{folder}/counters/batch={batch_id}")
         batch.unpersist()
 
-    whole = run_chain(job, sources, kv, job.operators[:cut], not available_now)
+    whole = run_chain(job, {k: seen_times(df) for k, df in sources.items()}, kv, job.operators[:cut], not available_now)
     writer = whole.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").queryName(job.name)
     poll = min(s.settings["poll_interval_ms"] for s in job.sources)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{poll} milliseconds")).start()

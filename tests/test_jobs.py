@@ -343,3 +343,79 @@ def test_count_windows_over_batches(spark, tmp_path):
         live = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
         start_job(job, {"s": live}, str(tmp_path / function)).awaitTermination(120)
         assert sorted(r.value for r in spark.read.parquet(str(tmp_path / function / "sink0-stream")).collect()) == sorted(values(run_chain(job, {"s": df})))
+
+
+def test_a_batch_that_runs_again_replaces_its_writes(spark, tmp_path):
+    """Without the mark that a batch was committed, the next start runs it again: sinks and counters stay as they were."""
+    df = stream(spark, [json.dumps({"user": f"u{i % 2}", "amount": i}) for i in range(9)])
+    for part in range(3):
+        df.where(F.floor(F.col("seq") / 3) == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    job = parse_job(json.dumps(JOB))
+    read = lambda what: sorted(map(tuple, spark.read.parquet(str(tmp_path / "out" / what)).collect()), key=repr)
+    live = lambda: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    start_job(job, {"s": live()}, str(tmp_path / "out")).awaitTermination(120)
+    before = [read(x) for x in ("sink0-stream", "sink1-kv", "counters")]
+    last = max((tmp_path / "out/checkpoint/commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    start_job(job, {"s": live()}, str(tmp_path / "out")).awaitTermination(120)
+    assert [read(x) for x in ("sink0-stream", "sink1-kv", "counters")] == before
+
+
+def test_blocking_read(spark, tmp_path):
+    from tarnflow.streaming.runner import blocking_read
+
+    df = stream(spark, list("abcdef"))
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    assert [r.value for r in blocking_read(live, (2, 2), 2)] == ["d", "e"]
+    assert blocking_read(live, (9, 9), timeout_s=3) == []
+
+
+def test_event_time_streams_equal_tables(spark, tmp_path):
+    """Windows, dedup, silence and a join in time on a stream in three batches, the last of which moves time far on."""
+    from tarnflow.streaming import event_time
+
+    rows = [("s", "ab"[i % 2], str(i % 5), 4000 + i * 1000, [], i * 1000, i) for i in range(20)] + [("s", "z", "99", 10_000_000, [], 10_000_000, 99)]
+    df = spark.createDataFrame(rows, RECORD)
+    for low, high in ((0, 9), (10, 19), (20, 200)):
+        df.where(F.col("seq").between(low, high)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    live = lambda: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+    def streamed(out, name):
+        q = out.writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"{name}-c")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return sorted(map(tuple, spark.read.parquet(str(tmp_path / name)).where("key <> 'z'").collect()))
+
+    table = lambda out: sorted(map(tuple, out.where("key <> 'z'").collect()))
+    for name, make in (("w", lambda d: event_time.window_aggregate(d, "count", None, 4000)), ("d", lambda d: event_time.dedup(d, ["key", "value"], 60_000).select("key", "value", "seq")), ("j", lambda d: event_time.join_within(d.where("key = 'a'"), d.where("key = 'a'"), 2000).select("key", "left_seq", "right_seq"))):
+        assert streamed(make(live()), name) == table(make(df)), name
+    assert streamed(event_time.watch_silence(live(), 5000).select("key", "last_ms"), "q") == [("a", 22_000), ("b", 23_000)]
+    assert event_time.quiet_keys(df, 5000, 30_000).where("key <> 'z'").count() == 2
+    for bad in (lambda: event_time.window_aggregate(df, "count", None, 0), lambda: event_time.session_aggregate(df, "count", None, 0), lambda: event_time.join_within(df, df, -1), lambda: event_time.timed(df, -1)):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_strict_limits(spark):
+    from tarnflow.operators.series import run_pipe
+    from tarnflow.sources.tables import POINTS
+
+    p = spark.range(5000).selectExpr("'m' measurement", "'value' field", "cast(map() as map<string,string>) tags", "'' tag_key", "id * 1000000 ts_ns", "id pos", "cast(id as double) value").to(spark.createDataFrame([], POINTS).schema)
+    ask = lambda text, strict: run_pipe(lambda a, b: p, text, 10_000, True, strict).count()
+    assert ask("m[0..9999]", False) == 5000 and ask("m[0..9999] | window(1s) | sum()", True) == 5
+    with pytest.raises(Exception, match="more than 4096"):
+        ask("m[0..9999]", True)
+
+
+def test_catalog_and_pages(spark):
+    from tarnflow.operators import points
+    from tarnflow.operators.catalog import fold_catalog
+
+    ops = spark.createDataFrame([("s", "x", i, op, None) for i, op in enumerate(["alter", "create", "drop", None, "delete", "delete"])], "scope string, name string, seq long, op string, settings map<string,string>")
+    assert [(r.applied, r.exists) for r in fold_catalog(ops).orderBy("seq").collect()] == [(False, False), (True, True), (False, True), (False, True), (True, False), (False, False)]
+    df = stream(spark, list("abcde"))
+    page = logs.read_stream(df, count=2)
+    at = points.next_cursor(page, 2, ("ts_ms", "seq"))
+    assert at == (1, 1) and values(logs.read_stream(df, at, count=3)) == ["c", "d", "e"]
+    assert points.next_cursor(logs.read_stream(df, (2, 2), count=3), 3, ("ts_ms", "seq")) is None
