@@ -27,7 +27,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,24 +71,29 @@ def _grouped(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, doc_id, own): own is null once for each hash; where several documents of this task have the
-    anchor, each gets a row with its doc_id as own, which needs no company to count."""
+    """(h, doc_id, mark, own): own is null once for each hash; where several documents of this task have the
+    anchor, each gets a row with its doc_id as own, which needs no company to count. mark tells apart the texts that
+    share a doc_id."""
     held: list[tuple] = []
 
     def out():
-        h, doc = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((doc, h))
-        h, doc = h[order], doc[order]
-        fresh = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]
-        h, doc = h[fresh], doc[fresh]
+        h, doc, mark = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((mark, doc, h))
+        h, doc, mark = h[order], doc[order], mark[order]
+        fresh = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])]
+        h, doc, mark = h[fresh], doc[fresh], mark[fresh]
         first = np.r_[True, h[1:] != h[:-1]]
         last = np.r_[np.flatnonzero(first)[1:], len(h)] - 1
-        several = (doc[last] != doc[first])[np.cumsum(first) - 1]
-        for rows, own in ((first, False), (several, True)):
+        group = np.cumsum(first) - 1
+        several = (doc[last] != doc[first])[group]
+        # other texts of the first document wait for company as it does
+        alone = first | ~several & (doc == doc[first][group])
+        for rows, own in ((alone, False), (several, True)):
             i = np.flatnonzero(rows)
             for s in range(0, len(i), 50_000):
-                d = pa.array(doc[i[s : s + 50_000]])
-                yield pa.RecordBatch.from_arrays([pa.array(h[i[s : s + 50_000]].view(np.int64)), d, d if own else pa.nulls(len(d), pa.int64())], ["h", "doc_id", "own"])
+                at = i[s : s + 50_000]
+                d = pa.array(doc[at])
+                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), d, pa.array(mark[at]), d if own else pa.nulls(len(d), pa.int64())], ["h", "doc_id", "mark", "own"])
 
     size = 0
     for batch in batches:
@@ -97,7 +101,8 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, _ = hash_words(words)
         at, anchors = _anchors(offsets, h)
         if len(at):
-            held.append((anchors, np.asarray(batch.column("doc_id"))[np.searchsorted(offsets, at, side="right") - 1]))
+            row = np.searchsorted(offsets, at, side="right") - 1
+            held.append((anchors, np.asarray(batch.column("doc_id"))[row], np.asarray(batch.column("mark"))[row]))
             size += len(at)
         if size > HELD:
             yield from out()
@@ -106,11 +111,6 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out()
 
 
-def _marks(texts: pa.Array) -> np.ndarray:
-    """31 bits of each text, which keep apart the starts of texts that share a doc_id."""
-    return np.array([xxhash.xxh3_64_intdigest(t or b"") & 0x7FFFFFFF for t in texts.cast(pa.binary()).to_pylist()], np.int64)
-
-
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(k1, k2, doc_id, start, run, more): windows around marked anchors. run > 0: so many windows from start
     on that a smaller document of this task settles; run 0: still to settle by key, once for each document,
@@ -125,7 +125,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settled = np.zeros(len(order), bool)
         settled[order] = doc[order] > doc[order[least]][group]
         i = order[~settled[order]]
-        first = np.r_[True, np.diff(_grouped(i, k1, k2, doc)) > 0][: len(i)]
+        first = np.r_[True, np.diff(_grouped(i, k1, k2, doc, start >> 32)) > 0][: len(i)]
         again = np.diff(np.r_[np.flatnonzero(first), len(i)]) - 1
         more = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(again)].astype(np.int32)), pa.array(start[i[~first]]), mask=pa.array(again == 0))
         i = i[first]
@@ -168,7 +168,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero((np.cumsum(edge[:-1]) > 0) & (place + WINDOW <= np.diff(offsets)[doc]))
         d = doc[starts]
         k1, k2 = runs_of(h, WINDOW)[starts], (runs_of(g, WINDOW)[starts] >> _U(33)).astype(np.int32)
-        held.append((k1, k2, np.asarray(batch.column("doc_id"))[d], (_marks(batch.column("text"))[d] << 32) + place[starts]))
+        held.append((k1, k2, np.asarray(batch.column("doc_id"))[d], (np.asarray(batch.column("mark")).astype(np.int64)[d] << 32) + place[starts]))
         size += len(starts)
         if size > HELD:
             yield from out()
@@ -204,8 +204,7 @@ def _kept(texts: bool):
                 start, size = runs.of(i) if runs else ((), ())
                 if len(start):
                     edge = np.zeros(n + 1, np.int64)
-                    mine = start >> 32 == _marks(pa.array([text]))[0]
-                    start, size = start[mine] & 0xFFFFFFFF, size[mine]
+                    start = start & 0xFFFFFFFF
                     np.add.at(edge, start, 1)
                     np.add.at(edge, np.minimum(start + size + WINDOW - 1, n), -1)
                     stay = np.cumsum(edge[:-1]) == 0
@@ -220,7 +219,7 @@ def _kept(texts: bool):
             cols = [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(digest, pa.string())]
             names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
             if texts:
-                rest = [c for c in batch.schema.names if c not in ("doc_id", "runs", "text")]
+                rest = [c for c in batch.schema.names if c not in ("doc_id", "runs", "text", "mark")]
                 cols, names = cols + [pa.array(whole, pa.string())] + [batch.column(c) for c in rest], names + ["text", *rest]
             yield pa.RecordBatch.from_arrays(cols, names)
 
@@ -235,19 +234,22 @@ def repeated_passages(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """
     ship(docs.sparkSession)
     cols = ["doc_id", "text", *keep]
-    base = docs.select(*cols).where("doc_id is not null")
-    found = base.select("doc_id", "text").mapInArrow(tidy(_anchor_rows), "h long, doc_id long, own long")
+    # 31 bits of a text keep apart those that share a doc_id, so that a repeated one is no hot key
+    mark = F.pmod(F.xxhash64("text"), F.lit(1 << 31)).cast("int")
+    base = docs.select(*cols).where("doc_id is not null").withColumn("mark", mark)
+    found = base.select("doc_id", "text", "mark").mapInArrow(tidy(_anchor_rows), "h long, doc_id long, mark int, own long")
     same = Window.partitionBy("h", "own")
-    marked = found.select("h", "doc_id", "own", F.min("doc_id").over(same).alias("lo"), F.max("doc_id").over(same).alias("hi")).where("own is not null or lo <> hi")
-    anchors = materialize(marked.groupBy("doc_id").agg(F.collect_list("h").alias("anchors")), "passages")
-    # both joins deal the same columns of base by doc_id, so its texts are shuffled once
-    around = base.join(anchors, "doc_id").select(*cols, "anchors")
+    marked = found.select("h", "doc_id", "mark", "own", F.min("doc_id").over(same).alias("lo"), F.max("doc_id").over(same).alias("hi")).where("own is not null or lo <> hi")
+    anchors = materialize(marked.groupBy("doc_id", "mark").agg(F.collect_set("h").alias("anchors")), "passages")
+    # both joins deal the same columns of base by doc_id and mark, so its texts are shuffled once
+    around = base.join(anchors, ["doc_id", "mark"]).select(*cols, "mark", "anchors")
     keyed = around.mapInArrow(tidy(_window_rows), "k1 long, k2 int, doc_id long, start long, run int, more array<long>")
     settled = keyed.withColumn("lo", F.min("doc_id").over(Window.partitionBy("k1", "k2"))).where("run > 0 or lo < doc_id")
-    runs = settled.select("doc_id", F.struct("start", F.greatest("run", F.lit(1)).alias("run"), "more").alias("r")).groupBy("doc_id").agg(F.collect_list("r").alias("runs"))
+    run = F.struct("start", F.greatest("run", F.lit(1)).alias("run"), "more").alias("r")
+    runs = settled.select("doc_id", F.shiftright("start", 32).cast("int").alias("mark"), run).groupBy("doc_id", "mark").agg(F.collect_set("r").alias("runs"))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", text string" if keep else "") + "".join(f", `{c}` {kinds[c]}" for c in keep)
-    out = base.join(runs, "doc_id", "left").mapInArrow(tidy(_kept(bool(keep))), schema)
+    out = base.join(runs, ["doc_id", "mark"], "left").mapInArrow(tidy(_kept(bool(keep))), schema)
     return out.unionAll(docs.where("doc_id is null").select(*cols).mapInArrow(tidy(_kept(bool(keep))), schema))
 
 

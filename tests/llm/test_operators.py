@@ -226,6 +226,15 @@ def test_substring_one_word_over_and_over(spark):
         assert result(substring_dedup.repeated_passages(df), "doc_id", "n_words", "n_removed", "kept_sha256") == passages(rows)
 
 
+@pytest.mark.parametrize("parts", [1, 2, 7])
+def test_substring_texts_that_share_an_id(spark, parts):
+    """One doc_id with many texts and many equal rows, whose passages a smaller document owns."""
+    shared = " ".join(f"s{i}" for i in range(70))
+    rows = [(5, f"{k} {shared} own{k} " + " ".join(f"t{k}x{i}" for i in range(k * 9))) for k in range(12)] + [(5, f"0 {shared} own0 ")] * 9 + [(2, shared), (7, shared + " " + shared), (2, "z " + shared)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    assert result(substring_dedup.repeated_passages(df), "doc_id", "n_words", "n_removed", "kept_sha256") == passages(rows)
+
+
 def test_substring_random_overlaps(spark):
     rng = np.random.default_rng(9)
     pool = [f"p{x}" for x in range(3000)]
@@ -371,45 +380,54 @@ def test_language_id(request, spark, docs, edge, empty):
     assert {r.lang_pred for r in language_id.predict(edge, language_id.train(empty)).collect()} == {"und"}
 
 
-def brute_language(text, counts):
-    """The same decision letter by letter: n-gram counts of each language, one classifier a codeword bit, loss by bit."""
-    import math
+def brute_grams(text):
+    """Buckets of a text's letter n-grams, one letter at a time."""
+    c = [x if x.isalpha() else "\0" for x in f" {text.lower()} "]
+    c = [x for k, x in enumerate(c) if not k or x != "\0" or c[k - 1] != "\0"]
+    for k, n in enumerate(language_id.ORDERS):
+        for a in range(len(c) - n + 1):
+            h = 0
+            for x in c[a : a + n]:
+                h = ((h ^ (0 if x == "\0" else ord(x))) * 0x9E3779B1) & 0xFFFFFFFF
+                h ^= h >> 15
+            yield (h >> 3) % language_id.BUCKETS + k * language_id.BUCKETS
 
-    size, langs = language_id.BUCKETS, sorted(counts)
-    codes = language_id.code_matrix(len(langs))
 
-    def grams(t):
-        c = [x if x.isalpha() else "\0" for x in f" {t.lower()} "]
-        c = [x for k, x in enumerate(c) if not k or x != "\0" or c[k - 1] != "\0"]
-        for k, n in enumerate(language_id.ORDERS):
-            for a in range(len(c) - n + 1):
-                h = 0
-                for x in c[a : a + n]:
-                    h = ((h ^ (0 if x == "\0" else ord(x))) * 0x9E3779B1) & 0xFFFFFFFF
-                    h ^= h >> 15
-                yield (h >> 3) % size + k * size
+def brute_model(texts):
+    """texts of each language -> languages, codewords, log odds and weight of each bit."""
+    import math
 
-    if not any(x.isalpha() for x in text or ""):
-        return "und", 0.0
+    langs = sorted(texts)
+    codes = language_id.code_matrix(len(langs))
     p = {}
     for x in langs:
-        total = [language_id.SMOOTH] * (size * len(language_id.ORDERS))
-        for t in counts[x]:
-            for g in grams(t):
+        total = [language_id.SMOOTH] * (language_id.BUCKETS * len(language_id.ORDERS))
+        for t in texts[x]:
+            for g in brute_grams(t):
                 total[g] += 1
         whole = sum(total)
         p[x] = [v / whole for v in total]
-    found = list(grams(text))
-    margin, weight = [], []
+    odds, weight = [], []
     for b in range(codes.shape[1]):
         sides = [[p[x] for k, x in enumerate(langs) if codes[k, b] * s > 0] for s in (1, -1)]
         up, down = ([sum(v) / len(side) for v in zip(*side, strict=True)] for side in sides)
-        odds = [math.log(u / d) for u, d in zip(up, down, strict=True)]
-        margin.append(sum(odds[g] for g in found) / len(found))
-        weight.append(sum((u - d) * w for u, d, w in zip(up, down, odds, strict=True)))
-    mean = sum(weight) / len(weight)
-    loss = [sum(math.log1p(math.exp(-language_id.SLOPE * m * codes[k, b])) * weight[b] / mean for b, m in enumerate(margin)) for k in range(len(langs))]
-    return langs[loss.index(min(loss))], 1 / sum(math.exp(min(loss) - x) for x in loss)
+        odds.append([math.log(u / d) for u, d in zip(up, down, strict=True)])
+        weight.append(sum((u - d) * w for u, d, w in zip(up, down, odds[-1], strict=True)))
+    return langs, codes, odds, [w * len(weight) / sum(weight) for w in weight]
+
+
+def brute_language(text, model):
+    """Language, score and lead over the second, by loss-weighted decoding one bit at a time."""
+    import math
+
+    langs, codes, odds, weight = model
+    if not any(x.isalpha() for x in text or ""):
+        return "und", 0.0, 0.0
+    found = list(brute_grams(text))
+    margin = [sum(o[g] for g in found) / len(found) for o in odds]
+    loss = [sum(math.log1p(math.exp(-language_id.SLOPE * m * codes[k, b])) * weight[b] for b, m in enumerate(margin)) for k in range(len(langs))]
+    best = sorted(loss)
+    return langs[loss.index(best[0])], 1 / sum(math.exp(best[0] - x) for x in loss), best[1] - best[0]
 
 
 def test_language_id_equals_brute_force(spark):
@@ -417,12 +435,12 @@ def test_language_id_equals_brute_force(spark):
     rows = [(i, t, x) for x, ts in said.items() for i, t in enumerate(ts * 3)]
     asked = [(100 + i, t, None) for i, t in enumerate(["the house", "das Haus der Katze", "la maison", "la casa del gato est\u00e1 aqu\u00ed", "12 !", None, "", "Der the LE el", "long " * 60])]
     kept = lambda i: zlib.crc32(str(i).encode()) % 5 != 0
-    counts = {x: [t for i, t, y in rows if y == x and kept(i)] for x in said}
+    plain = brute_model({x: [t for i, t, y in rows if y == x and kept(i)] for x in said})
     schema = "doc_id long, text string, lang string"
     model = language_id.train(spark.createDataFrame(rows, schema))
     got = {r.doc_id: r for r in language_id.predict(spark.createDataFrame(asked, schema), model).collect()}
     for i, t, _ in asked:
-        lang, score = brute_language(t, counts)
+        lang, score, _ = brute_language(t, plain)
         assert got[i].lang_pred == lang and abs(got[i].score - score) < 1e-3
     assert [got[i].lang_pred for i in (104, 105, 106)] == ["und"] * 3
     with pytest.raises(ValueError, match="languages"):

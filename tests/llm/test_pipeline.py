@@ -2,12 +2,15 @@
 
 import hashlib
 import re
+import zlib
 
 import corpus_pipeline
+import numpy as np
 
+from tarnflow.llm import language_id, packing
 from tarnflow.llm.common import materialize
 
-from .test_operators import EDGE, WORDS, least_reachable, passages, shingles
+from .test_operators import EDGE, WORDS, brute_language, brute_model, least_reachable, library_ids, passages, shingles
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, sig string, start long, set_key string"
 
@@ -20,7 +23,15 @@ def test_stages(spark, sf):
         assert tuple(docs.columns) == corpus_pipeline.COLUMNS
         after = {r.doc_id: r.text for r in docs.collect()}
         if name == "language":
-            assert len(after) >= 0.99 * len(before) and after.items() <= before.items()
+            told = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+            learnt = {}
+            for i, t in before.items():
+                if told[i] is not None and t is not None and zlib.crc32(str(i).encode()) % 5:
+                    learnt.setdefault(told[i], []).append(t)
+            model = brute_model(learnt)
+            judged = {i: brute_language(t, model) for i, t in before.items()}
+            assert after == {i: t for i, t in before.items() if judged[i][0] != "und" and judged[i][2] >= language_id.LEAD}
+            assert len(after) >= 0.99 * len(before)
         elif name == "exact":
             first = {}
             for i in sorted(before):
@@ -38,7 +49,19 @@ def test_stages(spark, sf):
                 assert hashlib.sha256(" ".join(WORDS.findall(t)).encode()).hexdigest() == want[i][2]
                 assert want[i][1] or t == before[i]
         before = after
-    assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()} == before.keys()
+    want = []
+    for i, text in before.items():
+        ids = library_ids("word_bpe_49k.json", text)[1] + [0]
+        want += [(i, p // 2048, p, len(ids[p : p + 2048]), zlib.crc32(np.array(ids[p : p + 2048], "<u4").tobytes())) for p in range(0, len(ids), 2048)]
+    got = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
+    places = {}
+    for r in got:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for some in places.values():
+        ends = [a + n for a, n in sorted(some)]
+        assert [a for a, _ in sorted(some)] == [0, *ends[:-1]] and ends[-1] <= 2048
+    assert len(places) <= packing.lower_bound([r.length for r in got], 2048) + 1
 
 
 def test_stages_on_edge_rows(spark, sf):
