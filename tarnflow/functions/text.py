@@ -71,11 +71,15 @@ def json_at(doc: Column, path: str, kind: str, indexes: bool = False) -> Column:
     return F.try_variant_get(doc, variant_path(path, indexes), kind)
 
 
+def is_number(kind: Column) -> Column:
+    """Of the type that schema_of_variant tells."""
+    return kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+
+
 def json_kind(doc: Column, path: str) -> Column:
     """STRING, NUMBER, BOOLEAN, NULL, OTHER, or null where nothing is there."""
     node = F.schema_of_variant(json_at(doc, path, "variant"))
-    number = node.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
-    return F.when(node.isNull(), None).when(node == "STRING", "STRING").when(number, "NUMBER").when(node == "BOOLEAN", "BOOLEAN").when(node == "VOID", "NULL").otherwise("OTHER")
+    return F.when(node.isNull(), None).when(node == "STRING", "STRING").when(is_number(node), "NUMBER").when(node == "BOOLEAN", "BOOLEAN").when(node == "VOID", "NULL").otherwise("OTHER")
 
 
 def number_text(col: Column) -> Column:

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import as_variant, json_at, json_kind
+from ..functions.text import as_variant, is_number, json_at
 
 _JSON = re.compile(r"^json:(.*?)(!\^=|!\*=|\^=|\*=|!=|>=|<=|=|>|<)(.*)$", re.S)
 _TEXT = {"value_contains": ("value", "contains"), "key_contains": ("key", "contains"), "key_prefix": ("key", "startswith"), "value_prefix": ("value", "startswith")}
@@ -21,18 +21,22 @@ class ConditionError(ValueError):
 
 
 def _json(path: str, op: str, want: str, doc: Column) -> Column:
-    """By type: text operators on strings, numeric ones on numbers, = and != on booleans; all else is false."""
-    kind, text = json_kind(doc, path), json_at(doc, path, "string")
-    on_text = {"=": text == want, "!=": text != want, "^=": text.startswith(want), "*=": text.contains(want), "!^=": ~text.startswith(want), "!*=": ~text.contains(want)}.get(op, F.lit(False))
-    on_number = F.lit(False)
+    """By type: text operators on strings, numeric ones on numbers, = and != on booleans; all else is false.
+
+    Only the types that the operator and its operand can meet are looked at.
+    """
+    kind = F.schema_of_variant(json_at(doc, path, "variant"))
+    text = lambda: json_at(doc, path, "string")
+    on_text = {"=": lambda: text() == want, "!=": lambda: text() != want, "^=": lambda: text().startswith(want), "*=": lambda: text().contains(want), "!^=": lambda: ~text().startswith(want), "!*=": lambda: ~text().contains(want)}
+    tests = [(kind == "STRING") & on_text[op]()] if op in on_text else []
     if op in ("=", "!=", ">", ">=", "<", "<=") and re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", want):
         v, n = json_at(doc, path, "double"), F.lit(float(want))
-        on_number = {"=": v == n, "!=": v != n, ">": v > n, ">=": v >= n, "<": v < n, "<=": v <= n}[op]
-    on_bool = F.lit(False)
+        holds = {"=": v == n, "!=": v != n, ">": v > n, ">=": v >= n, "<": v < n, "<=": v <= n}[op]
+        tests.append(holds & is_number(kind))
     if op in ("=", "!=") and want in ("true", "false"):
-        b = json_at(doc, path, "boolean")
-        on_bool = (b == (want == "true")) if op == "=" else (b != (want == "true"))
-    return F.coalesce(F.when(kind == "STRING", on_text).when(kind == "NUMBER", on_number).when(kind == "BOOLEAN", on_bool), F.lit(False))
+        flag = json_at(doc, path, "boolean")
+        tests.append((kind == "BOOLEAN") & (flag == ((want == "true") == (op == "="))))
+    return F.coalesce(functools.reduce(operator.or_, [F.coalesce(x, F.lit(False)) for x in tests], F.lit(False)), F.lit(False))
 
 
 @dataclass(frozen=True)

@@ -75,9 +75,10 @@ def flat_map(df: DataFrame, path: str, element_key: str | None = None) -> DataFr
 def classify(df: DataFrame, rules: list[tuple[str, str]], default: str | None = None) -> DataFrame:
     """Every rule that holds adds its tag; the default only where none holds."""
     df = parsed(df)
-    found = F.array_distinct(F.array_compact(F.array(*[F.when(condition(c, F.col("_doc")), F.lit(t)) for c, t in rules])))
-    if default is not None:
-        found = F.when(F.size(found) == 0, F.array(F.lit(default))).otherwise(found)
+    tags = F.array(*[F.when(condition(c, F.col("_doc")), F.lit(t)) for c, t in rules]).cast("array<string>")
+    # bound to a name, so that the rules are tested once though their tags are looked at twice
+    other = F.array().cast("array<string>") if default is None else F.array(F.lit(default))
+    found = F.element_at(F.transform(F.array(F.array_compact(tags)), lambda f: F.when(F.size(f) == 0, other).otherwise(f)), 1)
     return df.withColumn("tags", F.array_union("tags", found)).drop("_doc")
 
 
