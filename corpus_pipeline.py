@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnflow.llm import exact_dedup, language_id, minhash_dedup, packing, substring_dedup
-from tarnflow.llm.common import materialize
+from tarnflow.llm.common import by_id, discard, materialize, settled
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -25,19 +25,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the smallest doc_id stays."""
-    gone = materialize(exact_dedup.exact_duplicates(docs).where("not kept").select("doc_id").distinct(), "exact-gone")
-    return _without(docs, gone)
+    return _without(docs, exact_dedup.exact_duplicates(docs), "exact-gone")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate component the smallest doc_id stays."""
-    gone = materialize(minhash_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct(), "near-gone")
-    return _without(docs, gone)
+    return _without(docs, minhash_dedup.near_duplicates(docs), "near-gone")
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    from tarnflow.llm.common import by_id
-
+def _without(docs: DataFrame, judged: DataFrame, tag: str) -> DataFrame:
+    """docs but for those that a settled table doesn't keep. A null doc_id, which that can't name, stays."""
+    gone = materialize(judged.where("not kept and doc_id is not null").select("doc_id").distinct(), tag)
+    discard(judged)
     return by_id(docs.select(*COLUMNS), gone, "doc_id", "left_anti")
 
 
@@ -59,7 +58,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; a stage's tables go once the next one's result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        before, docs = docs, settled(f"stage-{name}")(lambda d, stage=stage: stage(spark, d, sf_dir))(docs)
+        discard(before)
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    discard(docs)
+    return out
