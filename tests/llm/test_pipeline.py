@@ -88,3 +88,17 @@ def test_stages_on_an_empty_table(spark, sf):
     for name, stage in corpus_pipeline.STAGES:
         docs = materialize(stage(spark, docs, sf), f"test-{name}")
         assert docs.count() == 0
+
+
+def test_run_leaves_its_result_alone_behind(spark, tmp_path):
+    import os
+
+    from tarnflow.llm.common import shared_folder
+
+    docs = spark.createDataFrame([(i, t, x, "web", 1) for i, t, x in EDGE[:9]], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    folder = shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before} == {"packed"}
+    assert {r.doc_id for r in out.collect()} >= {4, 6, 7}
