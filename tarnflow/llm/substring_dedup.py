@@ -235,7 +235,8 @@ def repeated_passages(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     ship(docs.sparkSession)
     cols = ["doc_id", "text", *keep]
     # 31 bits of a text keep apart those that share a doc_id, so that a repeated one is no hot key
-    mark = F.pmod(F.xxhash64("text"), F.lit(1 << 31)).cast("int")
+    # (never null by its type, or the inner join would filter its side and the texts be shuffled twice)
+    mark = F.xxhash64("text").bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
     base = docs.select(*cols).where("doc_id is not null").withColumn("mark", mark)
     found = base.select("doc_id", "text", "mark").mapInArrow(tidy(_anchor_rows), "h long, doc_id long, mark int, own long")
     same = Window.partitionBy("h", "own")
