@@ -116,16 +116,17 @@ def apply_stage(df: DataFrame, stage: Stage, width_ms: int, called: str | None =
     return df  # field and window act at plan time
 
 
-def run_pipe(source: Source, text: str, now_ms: int | None = None, merged: bool = False, strict_limits: bool = False) -> DataFrame:
+def run_pipe(source: Source, text: str, now_ms: int | None = None, merged: bool = False, strict_limits: bool = False, most_scanned: int | None = MOST_SCANNED) -> DataFrame:
     """Runs a pipe query; merged serves all matching series as one tagless series. With strict_limits a query that
-    scans or answers more points than a server would is an error; analytics do without.
+    scans or answers more points than a server would is an error; analytics do without. A server bounds what it scans
+    because it holds all of it at once; with most_scanned None the scan has no bound, and only the answer has one.
 
     An alias renames series and merges none: stages behind it still tell them apart by their own keys.
     """
     query = parse(text, int(time.time() * 1000) if now_ms is None else now_ms)
     df, width, called = scan(source, query, merged), DEFAULT_WINDOW_MS, None
-    if strict_limits:
-        df = guarded(df, MOST_SCANNED, "scan")
+    if strict_limits and most_scanned is not None:
+        df = guarded(df, most_scanned, "scan")
     for stage in query.stages:
         if stage.name == "window":
             width = stage.args[0]

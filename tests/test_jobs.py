@@ -408,6 +408,23 @@ def test_strict_limits(spark):
         ask("m[0..9999]", True)
 
 
+def test_strict_query_answers_whole(spark, tmp_path):
+    """More clicks than a server scans: the registered query takes them all, while the library's strict limits refuse."""
+    from tarnflow.operators.series import MOST_SCANNED, run_pipe
+    from tarnflow.plans.chain_registry import HIGH, LOW, QUERIES
+    from tarnflow.sources.tables import event_points
+
+    n, sf = MOST_SCANNED + 1, str(tmp_path)
+    ts = f"timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(id * 3 div {n})"
+    spark.range(n).selectExpr("id event_id", f"{ts} ts", "id % 9 user_id", "'click' event_type", "1d value").write.parquet(f"{sf}/events.parquet")
+    got = QUERIES["pq_strict"](spark, sf).orderBy("ts_ns").collect()
+    assert [r.ts_ns - LOW * 10**6 for r in got] == [d * 86_400 * 10**9 for d in range(3)] and sum(r.value for r in got) == n
+    ask = lambda **most: run_pipe(lambda a, b: event_points(spark, sf, a, b), f"click[{LOW}..{HIGH}] | window(1d) | sum()", HIGH, True, True, **most).count()
+    with pytest.raises(Exception, match=f"scan: more than {MOST_SCANNED}"):
+        ask()
+    assert ask(most_scanned=n) == ask(most_scanned=None) == 3
+
+
 def test_catalog_and_pages(spark):
     from tarnflow.operators import points
     from tarnflow.operators.catalog import fold_catalog
