@@ -9,6 +9,9 @@ from .ordered import running
 
 #: Edges of the late-point histogram in milliseconds (fixed values).
 LATE_EDGES_MS = (0, 1000, 5000, 15_000, 30_000, 60_000, 300_000, 3_600_000)
+#: The order in which points came. Points of one position came in time order, so that what is late depends on the points
+#: alone, not on where a shuffle puts them; points that share both are late together or not at all.
+ARRIVAL = ["pos", "ts_ns"]
 _AGG = {"avg": F.avg, "sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
 
 

@@ -1,8 +1,9 @@
 """Points of a ts source in time order: what comes too late is told apart, what may still be overtaken is held back.
 
 A point is late when it is more than the source's lateness behind the newest point that came before it, by arrival
-(the long column pos). That depends on the order of arrival alone, not on how a stream is cut into batches, so a
-batch and a stream of the same points agree. A stream holds each point until the newest is its lateness ahead, or
+(the long column pos; points that share one came in time order, see ARRIVAL). That depends on the order of arrival
+alone, not on how a stream is cut into batches, so a batch and a stream of the same points agree, unless a batch ends
+between points of one position. A stream holds each point until the newest is its lateness ahead, or
 until its field has had no write for that long.
 """
 
@@ -18,13 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.ordered import running
+from ..operators.points import ARRIVAL
 
 _MS = 1_000_000
 
 
 def mark_late(points: DataFrame, lateness_ms: int) -> DataFrame:
     """A finished table of points with the boolean column late. Without lateness all points that go back are late."""
-    seen = running(points, ["measurement", "field"], ["pos"], {"_newest": ("max", "ts_ns")}, before=True)
+    seen = running(points, ["measurement", "field"], ARRIVAL, {"_newest": ("max", "ts_ns")}, before=True)
     return seen.withColumn("late", F.coalesce(F.col("_newest") - F.col("ts_ns") > lateness_ms * _MS, F.lit(False))).drop("_newest")
 
 
@@ -69,7 +71,7 @@ def hold_back(points: DataFrame, lateness_ms: int, idle: bool = True) -> DataFra
             if len(held):
                 yield _shaped(held.assign(late=False))
             return
-        new = pd.concat(list(pdfs)).sort_values("pos", kind="stable")
+        new = pd.concat(list(pdfs)).sort_values(ARRIVAL, kind="stable")
         if tags:
             new["tags"] = [sorted(t.items()) if isinstance(t, dict) else [] for t in new["tags"]]
         before = new["ts_ns"].cummax().shift(1)

@@ -397,6 +397,45 @@ def test_event_time_streams_equal_tables(spark, tmp_path):
             bad()
 
 
+def _tied_lineitem(spark, path):
+    """Several items share each position; ship dates rise with it, so that the order within a position counts."""
+    at = "timestamp_ntz'1995-01-01 00:00:00' + make_dt_interval(cast(id * 7919 % 2000 div 20 + hash(id) % 20 as int))"
+    df = spark.range(2000).selectExpr("id * 7919 % 2000 div 8 l_orderkey", "cast(1 + id % 2 as int) l_linenumber", "cast(id as double) l_quantity", "1d l_extendedprice", "0d l_discount", "0d l_tax", "'A' l_returnflag", "'F' l_linestatus", f"{at} l_shipdate")
+    df.repartition(3).write.parquet(f"{path}/lineitem.parquet")
+
+
+def _in_time_order(sql, path, order, tie):
+    """Rows of a query's SQL, ties of whose order are settled by time."""
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute("SET TimeZone = 'UTC'")
+    db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{path}/lineitem.parquet/*.parquet'")
+    assert f"ORDER BY {order} ROWS" in sql
+    return sorted(db.execute(sql.replace(f"ORDER BY {order} ROWS", f"ORDER BY {order}, {tie} ROWS")).fetchall())
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_late_points_of_one_position(spark, tmp_path, monkeypatch, small):
+    """Four fields of the same rows have the same late points, and those are the SQL's with ties in time order."""
+    from tarnflow.operators import ordered
+    from tarnflow.plans.chain_registry import ORACLES, QUERIES
+    from tarnflow.sources.tables import POINTS
+    from tarnflow.streaming.lateness import mark_late, ready_points
+
+    if not small:
+        monkeypatch.setattr(ordered, "SMALL_BYTES", 0)
+        monkeypatch.setattr(ordered, "CHUNK_ROWS", 500)
+    rows = [("m", "value", {}, "", t * 10**9, p, float(t)) for p, t in ((0, 90), (0, 10), (0, 50), (1, 95), (1, 20), (2, 80))]
+    for data in (rows, rows[::-1]):
+        df = spark.createDataFrame(data, POINTS).coalesce(1)
+        assert sorted(r.value for r in mark_late(df, 10_000).where("late").collect()) == [20, 80]
+        assert sorted(r.value for r in ready_points(df, 10_000).collect()) == [10, 50]
+    _tied_lineitem(spark, tmp_path)
+    got = QUERIES["ts_late_points"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == _in_time_order(ORACLES["ts_late_points"], tmp_path, "l_orderkey * 8 + l_linenumber", "l_shipdate")
+
+
 def test_strict_limits(spark):
     from tarnflow.operators.series import run_pipe
     from tarnflow.sources.tables import POINTS
