@@ -118,8 +118,8 @@ def delete_series(points: DataFrame, measurement: str, tags: dict[str, str] | No
 
 
 def late_histogram(points: DataFrame) -> DataFrame:
-    """Per measurement and field, points later than each edge behind the newest seen before, by position."""
-    seen = running(points.select("measurement", "field", "ts_ns", "pos"), ["measurement", "field"], ["pos"], {"newest": ("max", "ts_ns")}, before=True)
+    """Per measurement and field, points later than each edge behind the newest seen before, by ARRIVAL."""
+    seen = running(points.select("measurement", "field", "ts_ns", "pos"), ["measurement", "field"], ARRIVAL, {"newest": ("max", "ts_ns")}, before=True)
     behind = F.col("newest") - F.col("ts_ns")
     return seen.groupBy("measurement", "field").agg(*[F.count_if(behind > e * 1_000_000).alias(f"late_{e}") for e in LATE_EDGES_MS])
 

@@ -436,6 +436,26 @@ def test_late_points_of_one_position(spark, tmp_path, monkeypatch, small):
     assert sorted(map(tuple, got)) == _in_time_order(ORACLES["ts_late_points"], tmp_path, "l_orderkey * 8 + l_linenumber", "l_shipdate")
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_late_histogram_of_one_position(spark, tmp_path, monkeypatch, small):
+    """As above, for every edge of the histogram."""
+    from tarnflow.operators import ordered
+    from tarnflow.operators.points import late_histogram
+    from tarnflow.plans.registry import ORACLES, QUERIES
+    from tarnflow.sources.tables import POINTS
+
+    if not small:
+        monkeypatch.setattr(ordered, "SMALL_BYTES", 0)
+        monkeypatch.setattr(ordered, "CHUNK_ROWS", 500)
+    rows = [("m", "value", {}, "", t * 10**9, p, float(t)) for p, t in ((0, 90), (0, 10), (0, 50), (1, 95), (1, 20), (2, 80))]
+    for data in (rows, rows[::-1]):
+        r = late_histogram(spark.createDataFrame(data, POINTS).coalesce(1)).first()
+        assert (r.late_0, r.late_5000, r.late_15000, r.late_60000) == (2, 2, 1, 1)
+    _tied_lineitem(spark, tmp_path)
+    got = QUERIES["ts_late_histogram"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == _in_time_order(ORACLES["ts_late_histogram"], tmp_path, "pos", "ts_ns")
+
+
 def test_strict_limits(spark):
     from tarnflow.operators.series import run_pipe
     from tarnflow.sources.tables import POINTS
