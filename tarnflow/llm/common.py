@@ -29,9 +29,10 @@ BROADCAST_IDS = 500_000
 BATCH_ROWS, BATCH_BYTES = 1500, 16 << 20
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_RECORDS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 _U = np.uint64
 _writing = threading.Lock()
-_writers: dict[int, list] = {}
+_held: dict[tuple[int, str], list] = {}
 _open: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("tarnflow_tables", default=None)
 
 
@@ -51,21 +52,35 @@ def scratch(spark: SparkSession, tag: str) -> str:
 
 
 @contextlib.contextmanager
-def _freeing_shuffles(spark: SparkSession):
-    """Shuffle files of what runs within go when it ends. The session's own setting is back once the last of
-    several threads is out."""
+def _setting(spark: SparkSession, name: str, value: str):
+    """The session's own setting is back once the last of several threads is out."""
     with _writing:
-        held = _writers.setdefault(id(spark), [0, spark.conf.get(_CLEANUP, "false")])
+        held = _held.setdefault((id(spark), name), [0, spark.conf.get(name, None)])
         held[0] += 1
-        spark.conf.set(_CLEANUP, "true")
+        spark.conf.set(name, value)
     try:
         yield
     finally:
         with _writing:
             held[0] -= 1
             if not held[0]:
-                spark.conf.set(_CLEANUP, held[1])
-                del _writers[id(spark)]
+                if held[1] is None:
+                    spark.conf.unset(name)
+                else:
+                    spark.conf.set(name, held[1])
+                del _held[id(spark), name]
+
+
+def _freeing_shuffles(spark: SparkSession):
+    """Shuffle files of what runs within go when it ends."""
+    return _setting(spark, _CLEANUP, "true")
+
+
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession):
+    """What runs within sends its workers batches as tidy() cuts them, so that neither side holds larger ones."""
+    with _setting(spark, _RECORDS, str(BATCH_ROWS)), _setting(spark, _BYTES, str(BATCH_BYTES)):
+        yield
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -99,10 +114,11 @@ def _forget(spark: SparkSession, path: str) -> None:
     delete_path(spark, path)
 
 
-def settled(tag: str) -> Callable:
+def settled(tag: str, small_batches: bool = False) -> Callable:
     """An operator whose result is written as one table; every other table that it wrote goes, errors included.
 
-    The result, a row a document or less, stays until its caller discards it.
+    The result, a row a document or less, stays until its caller discards it. small_batches: workers get batches of
+    at most BATCH_ROWS and about BATCH_BYTES, for an operator that sends them wide rows.
     """
 
     def around(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
@@ -112,7 +128,8 @@ def settled(tag: str) -> Callable:
             outer, mine = _open.get(), []
             token = _open.set(mine)
             try:
-                out = materialize(operator(first, *args, **kwargs), tag)
+                with _small_batches(first.sparkSession) if small_batches else contextlib.nullcontext():
+                    out = materialize(operator(first, *args, **kwargs), tag)
                 mine.remove(out._tarn_path)
             finally:
                 _open.reset(token)

@@ -1,17 +1,18 @@
 """BPE ids by a table of distinct words, and decoding through the id-to-piece table.
 
-1. Spark splits every text into its words; within each input split they are folded, so a split's distinct
-   words leave it once, grouped by word hash, sorted and compressed, one row for each split and word group.
+1. Spark splits every text into its words. The rows of an input split, in their order, are cut into chunks of 32 MB
+   of words, so what a worker holds doesn't grow with the split. Within a chunk the words are folded: its distinct
+   words leave it once, grouped by word hash, sorted and compressed, one row for each chunk and word group.
 2. Word groups are as many as the bytes of text ask for, so a group stays small however large the corpus is. In
-   its group every distinct word is encoded exactly once by the library; the ids go back to the splits that
-   asked, so a frequent word costs a row a split and no more.
-3. The answers are laid out by split in the shared folder, one file a split. A second scan joins them to its words
-   by position: a shuffle of every word's place would move the corpus several times over, while a split's answers
-   are a small table that its task reads. Ids become text by a join of the distinct words' ids with the
-   vocabulary's pieces, a table of fixed size that each worker holds, as the library decodes: the pieces joined
-   by one space.
-
-A word that isn't in its split's answers (a split cut anew by another plan) is encoded on the spot, so the
+   its group every distinct word is encoded exactly once by the library; the ids go back to the chunks that
+   asked, so a frequent word costs a row a chunk and no more.
+3. The answers are laid out by chunk in the shared folder, one file a chunk. A second scan, which cuts its splits
+   alike, joins them to its words by position: a shuffle of every word's place would move the corpus several times
+   over, while a chunk's answers are a small table that its task reads. Ids become text by a join of the ids of a
+   batch's distinct words with the vocabulary's pieces, a table of fixed size that each worker holds, as the
+   library decodes: the pieces joined by one space.
+
+A word that isn't in its chunk's answers (a split cut anew by another plan) is encoded on the spot, so the
 result never depends on the cut. Texts that hold special tokens' text need no care: a special token has no
 white space and so lies within one word.
 
@@ -37,8 +38,8 @@ from pyspark.sql import functions as F
 from .common import WHITE_SPACE, hash_words, materialize, settled, tidy, working_folder
 from .tokens import encode_units, tokenizer, vocabulary_path
 
-#: Words that a task holds before it sends them; bytes of text for each word group.
-HELD, GROUP_BYTES = 600_000, 32 << 20
+#: Bytes of words of a chunk, at most but for one text; bytes of text for each word group; words hashed at once.
+CHUNK_BYTES, GROUP_BYTES, HASHED = 32 << 20, 32 << 20, 100_000
 
 
 def _packed(data: bytes) -> bytes:
@@ -64,37 +65,62 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return offsets - offsets[0], lists.flatten()
 
 
-def _asked(groups: int):
-    """(split, part, word_group, words): sorted distinct words of a split, newline-joined and compressed; part is the
-    task that read the split."""
+class _Chunks:
+    """Cuts a split's rows by the bytes of words before them, so both scans cut alike, however they are batched."""
+
+    def __init__(self, size: int):
+        self.size, self.split, self.seen = size, None, 0
+
+    def of(self, batch: pa.RecordBatch) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+        """(split, chunk, rows) in order."""
+        splits = np.asarray(batch.column("split"))
+        offsets, words = _flat(batch.column("words"))
+        before = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(words)), dtype=np.int64)])[offsets]
+        cuts = [0, *(np.flatnonzero(splits[1:] != splits[:-1]) + 1).tolist(), len(splits)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            if splits[a] != self.split:
+                self.split, self.seen = int(splits[a]), 0
+            chunk = (self.seen + before[a:b] - before[a]) // self.size
+            self.seen += int(before[b] - before[a])
+            ends = [0, *(np.flatnonzero(chunk[1:] != chunk[:-1]) + 1).tolist(), b - a]
+            for x, y in zip(ends[:-1], ends[1:], strict=True):
+                yield self.split, int(chunk[x]), batch.slice(a + x, y - x)
+
+
+def _asked(groups: int, chunk_bytes: int = CHUNK_BYTES):
+    """(split, chunk, part, word_group, words): sorted distinct words of a chunk, newline-joined and compressed; part is
+    the task that read the split."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        split, held, part = None, [], TaskContext.get().partitionId()
+        at, held, part, chunks = None, [], TaskContext.get().partitionId(), _Chunks(chunk_bytes)
 
         def out():
             words = pa.concat_arrays(held).unique()
+            held.clear()
             words = words.take(pc.sort_indices(words))
-            group = hash_words(words)[0] % np.uint64(groups)
+            group = np.concatenate([hash_words(words.slice(a, HASHED))[0] % np.uint64(groups) for a in range(0, len(words), HASHED)])
             order = np.argsort(group, kind="stable")
             ends = np.searchsorted(group[order], np.arange(groups + 1, dtype=np.uint64))
-            rows = [(g, _packed("\n".join(words.take(pa.array(order[a:b])).to_pylist()).encode())) for g, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array([split] * len(rows), pa.int64()), pa.array([part] * len(rows), pa.int32()), pa.array([g for g, _ in rows], pa.int32()), pa.array([w for _, w in rows], pa.binary())], ["split", "part", "word_group", "words"])
+            some = np.flatnonzero(np.diff(ends))
+            rows = _joined(words.take(pa.array(order)), np.append(ends[some], len(words)), "\n").cast(pa.binary())
+            n = len(some)
+            yield pa.RecordBatch.from_arrays([pa.array([at[0]] * n, pa.int64()), pa.array([at[1]] * n, pa.int32()), pa.array([part] * n, pa.int32()), pa.array(some, pa.int32()), pa.array([_packed(r.as_buffer()) for r in rows], pa.binary())], ["split", "chunk", "part", "word_group", "words"])
 
         for batch in batches:
-            ids = np.asarray(batch.column("split"))
-            for s in dict.fromkeys(ids.tolist()):
-                if s != split or sum(map(len, held)) > HELD:
+            for *key, rows in chunks.of(batch):
+                if key != at:
                     if held:
                         yield from out()
-                    split, held = s, []
-                lists = batch.column("words")
-                words = _flat(lists if len(set(ids.tolist())) == 1 else lists.filter(pa.array(ids == s)))[1]
+                    at = key
+                words = rows.column("words").flatten()
                 if len(words):
                     held.append(words.unique())
                     if len(held) > 8:
-                        held = [pa.concat_arrays(held).unique()]
+                        held[:] = [pa.concat_arrays(held).unique()]
         if held:
             yield from out()
 
@@ -102,7 +128,7 @@ def _asked(groups: int):
 
 
 def _answered(vocabulary: str):
-    """(split, part, words, sizes, ids): each word of a group is encoded once, however many splits ask."""
+    """(split, chunk, part, words, sizes, ids): each word of a group is encoded once, however many chunks ask."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, bytes] = {}
@@ -118,7 +144,7 @@ def _answered(vocabulary: str):
                 got = [known[w] for w in words]
                 sizes.append(_packed(np.fromiter((len(g) >> 2 for g in got), np.uint32, len(got)).tobytes()))
                 ids.append(_packed(b"".join(got)))
-            yield pa.RecordBatch.from_arrays([batch.column("split"), batch.column("part"), batch.column("words"), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], ["split", "part", "words", "sizes", "ids"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("split", "chunk", "part", "words")), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], ["split", "chunk", "part", "words", "sizes", "ids"])
 
     return of
 
@@ -131,52 +157,49 @@ def _pieces(vocabulary: str) -> tuple[pa.Array, pa.Array]:
     return pa.array([str(i) for i in range(n)], pa.string()), pa.array([t.id_to_token(i) for i in range(n)], pa.string())
 
 
-def _joined(strings: pa.Array, offsets: np.ndarray) -> pa.Array:
-    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), strings), " ")
+def _joined(strings: pa.Array, offsets: np.ndarray, by: str = " ") -> pa.Array:
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), strings), by)
 
 
 class _Answers:
-    """A split's words with sizes, id digits and decoded pieces."""
+    """A chunk's words with sizes and ids; digits and pieces are made for the words that a batch asks."""
 
-    def __init__(self, vocabulary: str, folder: str, split: int):
+    def __init__(self, vocabulary: str, folder: str, split: int, chunk: int):
         self.vocabulary = vocabulary
         fs, base = pafs.FileSystem.from_uri(folder)
-        at = f"{base}/split={split}"
-        rows = pads.dataset(at, filesystem=fs, format="parquet").to_table(["words", "sizes", "ids"]).to_pylist() if fs.get_file_info(at).type == pafs.FileType.Directory else []
-        words = [w for r in rows for w in _unpacked(r["words"]).decode().split("\n")]
-        sizes = np.concatenate([np.frombuffer(_unpacked(r["sizes"]), np.uint32) for r in rows] or [np.zeros(0, np.uint32)])
-        ids = np.concatenate([np.frombuffer(_unpacked(r["ids"]), np.uint32) for r in rows] or [np.zeros(0, np.uint32)])
-        self.words, self.parts = pa.array(words, pa.string()), self._parts(sizes, ids)
-
-    def _parts(self, sizes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array]:
-        digits, pieces = _pieces(self.vocabulary)
-        offsets = np.concatenate([[0], np.cumsum(sizes)])
-        at = pa.array(ids.astype(np.int64))
-        return sizes.astype(np.int64), _joined(digits.take(at), offsets), _joined(pieces.take(at), offsets)
+        at = f"{base}/split={split}/chunk={chunk}"
+        table = pads.dataset(at, filesystem=fs, format="parquet").to_table(["words", "sizes", "ids"]) if fs.get_file_info(at).type == pafs.FileType.Directory else None
+        column = lambda name: (_unpacked(x.as_buffer()) for x in table.column(name)) if table else ()
+        self.words = pa.concat_arrays([pa.array([], pa.string()), *(pc.split_pattern(pa.array([w], pa.string()), "\n").flatten() for w in column("words"))])
+        self.sizes, self.ids = (np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(x, np.uint32) for x in column(name))]) for name in ("sizes", "ids"))
+        self.begins = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
 
     def of(self, words: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
         """Sizes, digits and pieces of distinct words."""
-        at = pc.index_in(words, value_set=self.words)
-        sizes, digits, pieces = self.parts
-        if not at.null_count:
-            return sizes[np.asarray(at)], digits.take(at), pieces.take(at)
-        made = encode_units(self.vocabulary, words.filter(pc.is_null(at)).to_pylist())
-        fresh = self._parts(np.array([len(m) >> 2 for m in made], np.uint32), np.frombuffer(b"".join(made), np.uint32))
-        place = np.asarray(pc.fill_null(at, -1)).astype(np.int64)
-        place[place < 0] = len(self.words) + np.arange(len(made))
-        take = pa.array(place)
-        return np.concatenate([sizes, fresh[0]])[place], pa.concat_arrays([digits, fresh[1]]).take(take), pa.concat_arrays([pieces, fresh[2]]).take(take)
-
-
-def _digests(vocabulary: str, folder: str):
+        place = np.asarray(pc.fill_null(pc.index_in(words, value_set=self.words), -1)).astype(np.int64)
+        sizes, begins, ids = self.sizes, self.begins, self.ids
+        fresh = place < 0
+        if fresh.any():
+            made = encode_units(self.vocabulary, words.filter(pa.array(fresh)).to_pylist())
+            place[fresh] = len(sizes) + np.arange(len(made))
+            more = np.array([len(m) >> 2 for m in made], np.uint32)
+            begins = np.concatenate([begins, len(ids) + np.cumsum(more, dtype=np.int64) - more])
+            sizes, ids = np.concatenate([sizes, more]), np.concatenate([ids, np.frombuffer(b"".join(made), np.uint32)])
+        sizes = sizes[place].astype(np.int64)
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        at = pa.array(ids[np.arange(offsets[-1]) + np.repeat(begins[place] - offsets[:-1], sizes)])
+        digits, pieces = _pieces(self.vocabulary)
+        return sizes, _joined(digits.take(at), offsets), _joined(pieces.take(at), offsets)
+
+
+def _digests(vocabulary: str, folder: str, chunk_bytes: int = CHUNK_BYTES):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, answers = None, None
+        at, answers, chunks = None, None, _Chunks(chunk_bytes)
         for batch in batches:
-            ids = np.asarray(batch.column("split"))
-            for s in dict.fromkeys(ids.tolist()):
-                if s != split:
-                    split, answers = s, _Answers(vocabulary, folder, s)
-                part = batch.filter(pa.array(ids == s))
+            for *key, part in chunks.of(batch):
+                if key != at:
+                    at, answers = key, None  # one chunk's answers are held at a time
+                    answers = _Answers(vocabulary, folder, *key)
                 offsets, words = _flat(part.column("words"))
                 coded = words.dictionary_encode()
                 sizes, digits, pieces = answers.of(coded.dictionary)
@@ -195,8 +218,8 @@ def _digests(vocabulary: str, folder: str):
     return of
 
 
-@settled("word-digests")
-def word_table_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+@settled("word-digests", small_batches=True)
+def word_table_digests(docs: DataFrame, vocabulary: str | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_tokens, ids_sha256, decoded_sha256."""
     spark = docs.sparkSession
     vocabulary = vocabulary or vocabulary_path("word_bpe_49k.json")
@@ -206,11 +229,11 @@ def word_table_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFr
     split = F.xxhash64(F.input_file_name(), F.input_file_block_start())
     rows = docs.select("doc_id", _split_words("text").alias("words"), split.alias("split"))
     groups = max(4 * spark.sparkContext.defaultParallelism, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // GROUP_BYTES))
-    asked = rows.select("words", "split").mapInArrow(tidy(_asked(groups)), "split long, part int, word_group int, words binary")
+    asked = rows.select("words", "split").mapInArrow(tidy(_asked(groups, chunk_bytes)), "split long, chunk int, part int, word_group int, words binary")
     # as many tasks as groups: none grows with the corpus
-    answered = asked.repartition(groups, "word_group").sortWithinPartitions("word_group").mapInArrow(tidy(_answered(vocabulary)), "split long, part int, words binary, sizes binary, ids binary")
+    answered = asked.repartition(groups, "word_group").sortWithinPartitions("word_group").mapInArrow(tidy(_answered(vocabulary)), "split long, chunk int, part int, words binary, sizes binary, ids binary")
     folder = working_folder(spark, "words")
     # a task for each that read splits, so what one of them lays out doesn't grow with the corpus either
     parts = max(1, rows.rdd.getNumPartitions())
-    answered.repartitionById(parts, "part").drop("part").write.partitionBy("split").option("compression", "none").parquet(folder)
-    return rows.mapInArrow(tidy(_digests(vocabulary, folder)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    answered.repartitionById(parts, "part").drop("part").write.partitionBy("split", "chunk").option("compression", "none").parquet(folder)
+    return rows.mapInArrow(tidy(_digests(vocabulary, folder, chunk_bytes)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

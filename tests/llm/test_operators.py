@@ -301,6 +301,77 @@ def test_word_table(request, table):
     assert result(word_table.word_table_digests(df), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("table", ["docs", "edge"])
+def test_word_table_by_small_chunks(request, table):
+    df = request.getfixturevalue(table)
+    cols = ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    assert result(word_table.word_table_digests(df, chunk_bytes=3000), *cols) == result(word_table.word_table_digests(df), *cols)
+
+
+def test_word_table_holds_one_chunk(monkeypatch, tmp_path):
+    """What a worker holds of a split is a chunk's words, and both scans cut alike however they are batched."""
+    import types
+
+    import pyarrow as pa
+    import pyarrow.dataset as pads
+
+    texts = [" ".join(f"w{i % 290}x{j}" for j in range(40)) for i in range(300)]
+    vocabulary = tokens.vocabulary_path("word_bpe_49k.json")
+
+    def batches(rows):
+        for a in range(0, len(texts), rows):
+            part = texts[a : a + rows]
+            yield pa.record_batch([pa.array(range(a, a + len(part))), pa.array([t.split() for t in part]), pa.array([7] * len(part), pa.int64())], ["doc_id", "words", "split"])
+
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: types.SimpleNamespace(partitionId=lambda: 0))
+    asked = pa.Table.from_batches(word_table._asked(2, 5000)(batches(70))).sort_by("word_group")
+    answered = pa.Table.from_batches(word_table._answered(vocabulary)(iter(asked.to_batches())))
+    pads.write_dataset(answered.drop(["part"]), tmp_path / "f", format="parquet", partitioning=["split", "chunk"], partitioning_flavor="hive")
+    held = []
+
+    class Seen(word_table._Answers):
+        def __init__(self, *args):
+            super().__init__(*args)
+            held.append(sum(map(len, self.words.to_pylist())))
+
+    monkeypatch.setattr(word_table, "_Answers", Seen)
+    monkeypatch.setattr(word_table, "encode_units", None)  # every word has its answer
+    got = pa.Table.from_batches(word_table._digests(vocabulary, (tmp_path / "f").as_uri(), 5000)(batches(11))).to_pylist()
+    assert len(held) > 10 and max(held) <= 5000 + max(map(len, texts))
+    for r, text in zip(got, texts, strict=True):
+        ids = library_ids("word_bpe_49k.json", text)[1]
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+
+
+def test_small_batches_are_set_for_one_call(spark):
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    def run(df):
+        return df.mapInArrow(sizes, "n long")
+
+    records, size = common._RECORDS, common._BYTES
+    before = spark.conf.get(records), spark.conf.get(size)
+    spark.conf.set(records, "4000")
+    try:
+        df = spark.range(0, 4000, 1, 1)
+        small = common.settled("probe", small_batches=True)(run)(df)
+        assert {r.n for r in small.collect()} == {common.BATCH_ROWS, 4000 % common.BATCH_ROWS}
+        assert spark.conf.get(records) == "4000" and spark.conf.get(size) == before[1]
+        usual = common.settled("probe")(run)(df)
+        assert [r.n for r in usual.collect()] == [4000]
+        common.discard(small), common.discard(usual)
+        long = common.settled("probe", small_batches=True)(run)(df.selectExpr("repeat('x', 100000) AS text"))
+        assert max(r.n for r in long.collect()) <= common.BATCH_BYTES // 100_000 + 1
+        common.discard(long)
+    finally:
+        spark.conf.unset(records)
+    assert spark.conf.get(records) == before[0]
+
+
 @pytest.mark.parametrize("table", ["docs", "edge", "empty"])
 def test_packing(request, table):
     df = request.getfixturevalue(table)
